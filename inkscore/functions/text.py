@@ -29,12 +29,34 @@ SPACES = (
 )
 
 
+# Ways in which two of . and , can follow each other.
+_RUNS = ("..", ".,", ",.", ",,")
+
+
+def _split_marks(text: Column) -> Column:
+    """The four patterns, for texts where no two of . and , are neighbours.
+
+    Without such neighbours a match never depends on what an earlier match has
+    consumed, so each pattern reduces to a character and what stands beside it,
+    and the two for . and , become one. These start with a rare character, which
+    is a fraction of the work of the patterns as published.
+    """
+    text = F.regexp_replace(text, r"[!-&(-+/:-@\[-`{-~]", " $0 ")
+    text = F.regexp_replace(text, r"[.,](?:(?=[^0-9])|(?<=[^0-9].))", " $0 ")
+    return F.regexp_replace(text, r"-(?<=[0-9]-)", " $0 ")
+
+
 def tokenize_13a(text: Column) -> Column:
     """array<string> of 13a tokens; NULL stays NULL."""
     for old, new in LITERALS:
         text = F.replace(text, F.lit(old), F.lit(new))
+    spaced = text
     for pattern, new in PATTERNS:
-        text = F.regexp_replace(text, pattern, new)
+        spaced = F.regexp_replace(spaced, pattern, new)
+    run = F.lit(False)
+    for pair in _RUNS:
+        run = run | F.contains(text, F.lit(pair))
+    text = F.when(run, spaced).otherwise(_split_marks(text))
     # translate + a one-character split is several times faster here than a
     # split on a character class with that many members.
     text = F.translate(text, SPACES, " " * len(SPACES))

@@ -1,6 +1,6 @@
-"""N-gram tables, clipped precision and BLEU as grouped aggregations.
+"""N-gram tables, clipped precision and BLEU of text pairs.
 
-Every position of a text starts one window of ``max_n`` tokens (shorter at the
+The grouped form: every position of a text starts one window of ``max_n`` tokens (shorter at the
 end). The first n tokens of a window are one n-gram, so a single exploded row
 serves all orders: windows are grouped first by all their tokens, the result by
 all but the last, and so on. Candidate windows count +1, reference windows -1.
@@ -76,7 +76,10 @@ def _matches(
     keys = list(keys)
     columns = (*keys, cand, ref)
     texts = pairs.select(*columns)
-    texts = texts.repartition(partitions, *keys) if partitions else texts.repartition(*keys)
+    # A stated number of partitions is kept; one left open would be cut down to
+    # the size of the texts, of which the windows are many times as large.
+    partitions = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(partitions, *keys)
     tokens = texts.select(*keys, _tokens(pairs, cand).alias("c"), _tokens(pairs, ref).alias("r"))
     names = [f"t{n}" for n in range(1, max_n + 1)]
     windows = tokens.select(
@@ -144,18 +147,22 @@ def bleu(
     ref: str = "ref",
     max_n: int = 4,
     partitions: int | None = None,
-    method: str = "grams",
+    method: str = "rows",
 ) -> DataFrame:
     """Unsmoothed BLEU of every pair: ``keys, len_c, len_r, bleu``.
 
     ``keys`` must tell the pairs apart. ``cand`` and ``ref`` are texts or token
     arrays. A pair with an empty side scores 0.
 
-    ``method="grams"`` runs as grouped aggregations and spills when a task holds
-    many grams. ``method="rows"`` counts inside each row in Arrow batches: no
-    exchange and no state beyond one pair, at the price of Python workers.
+    ``method="rows"`` counts inside each row in Arrow batches: the texts stay
+    where the join left them (or are spread over ``partitions`` tasks) and a task
+    holds one pair at a time. ``method="grams"`` is the same score as grouped
+    aggregations inside the JVM; its hash tables hold every gram of a task, which
+    is many times the text and spills on long inputs.
     """
     if method == "rows":
+        if partitions:
+            pairs = pairs.repartition(partitions, *keys)
         return _bleu_rows(pairs, keys, cand, ref, max_n)
     wide = _matches(pairs, keys, cand, ref, max_n, partitions)
     shares = [

@@ -214,12 +214,24 @@ def _summary(source: str, by: str, name: str = "summary") -> str:
           {_FAILURES} FROM {source} GROUP BY {by}))"""
 
 
+def _grams(source: str, key: str) -> str:
+    """CTE ``grams(key, n, gram)`` of the token lists ``t`` of ``source``."""
+    return f"""words AS (SELECT {key}, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM {source}),
+nexts AS (
+  SELECT {key}, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
+  FROM words WINDOW o AS (PARTITION BY {key} ORDER BY i)),
+grams AS (
+  SELECT {key}, 1 AS n, w AS gram FROM nexts
+  UNION ALL SELECT {key}, 2, w || ' ' || w2 FROM nexts WHERE w2 IS NOT NULL
+  UNION ALL SELECT {key}, 3, w || ' ' || w2 || ' ' || w3 FROM nexts WHERE w3 IS NOT NULL
+  UNION ALL SELECT {key}, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM nexts
+    WHERE w4 IS NOT NULL)"""
+
+
 def _ngrams(source: str, key: str, text: str) -> str:
     """CTEs ``toks`` and ``grams(key, n, gram)`` of one text column."""
     return f"""toks AS (SELECT {key}, {_tokens(text)} AS t FROM {source}),
-grams AS (
-  SELECT {key}, n, array_to_string(t[j:j + n - 1], ' ') AS gram
-  FROM toks, unnest(range(1, 5)) AS a(n), unnest(range(1, len(t) - n + 2)) AS b(j))"""
+{_grams('toks', key)}"""
 
 
 def _bleu(source: str, key: str, cand: str, ref: str) -> str:
@@ -228,9 +240,7 @@ def _bleu(source: str, key: str, cand: str, ref: str) -> str:
   SELECT {key}, {_tokens(cand)} AS ct, {_tokens(ref)} AS rt FROM {source}),
 sides AS (SELECT {key}, 1 AS cand, ct AS t FROM toks UNION ALL
           SELECT {key}, 0 AS cand, rt AS t FROM toks),
-grams AS (
-  SELECT {key}, cand, n, array_to_string(t[j:j + n - 1], ' ') AS gram
-  FROM sides, unnest(range(1, 5)) AS a(n), unnest(range(1, len(t) - n + 2)) AS b(j)),
+{_grams('sides', key + ', cand')},
 counts AS (
   SELECT {key}, n, gram, count(*) FILTER (WHERE cand = 1) AS c,
     count(*) FILTER (WHERE cand = 0) AS r FROM grams GROUP BY {key}, n, gram),
@@ -397,7 +407,7 @@ ORACLE: dict[str, str] = {
         FROM orders""",
     "bleu_pages": f"{PAGE_BLEU} SELECT pair_id, len_c, len_r, round(bleu, 9) AS bleu FROM bleu",
     "bleu_documents": f"{DOC_BLEU} SELECT pair_id, len_c, len_r, round(bleu, 9) AS bleu FROM bleu",
-    "bleu_documents_rows": f"""{DOC_BLEU} SELECT pair_id, len_c, len_r, round(bleu, 9) AS bleu
+    "bleu_documents_grams": f"""{DOC_BLEU} SELECT pair_id, len_c, len_r, round(bleu, 9) AS bleu
         FROM bleu""",
     "bleu_outputs": f"""WITH {OUTPUT_BLEU} SELECT run_time, model, record, len_c, len_r,
         round(bleu, 9) AS bleu FROM bleu""",

@@ -21,7 +21,8 @@ def score(
     tgt_images: DataFrame,
     restore: bool = False,
     mode: str = "wrap",
-    bleu_method: str = "grams",
+    bleu_method: str = "rows",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Score rows of every (run, model) present and every record of ``examples``.
 
@@ -49,9 +50,8 @@ def score(
     texts = pair_candidates(usable, target, hot)
     if restore:
         texts = texts.withColumn("markup", restore_assets(F.col("markup"), F.col("assets")))
-    code = bleu(texts, keys, "markup", "ref", method=bleu_method).where(
-        (F.col("len_c") > 0) & (F.col("len_r") > 0)
-    )
+    code = bleu(texts, keys, "markup", "ref", partitions=partitions, method=bleu_method)
+    code = code.where((F.col("len_c") > 0) & (F.col("len_r") > 0))
 
     # Image bytes move once, to meet their target; the rest joins narrow rows.
     shared = [k for k in keys if k in gen_images.columns]
