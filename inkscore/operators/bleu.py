@@ -31,10 +31,14 @@ _END = 2**31 - 1
 
 
 def _tokens(df: DataFrame, name: str) -> Column:
-    """Tokens of a text column; an array column is taken as tokens already."""
-    if isinstance(df.schema[name].dataType, T.ArrayType):
-        return F.col(name)
-    return tokenize_13a(F.col(name))
+    """Tokens of a text column; an array column is taken as tokens already.
+
+    A missing text has no tokens.
+    """
+    column = F.col(name)
+    if not isinstance(df.schema[name].dataType, T.ArrayType):
+        column = tokenize_13a(column)
+    return F.coalesce(column, F.array().cast("array<string>"))
 
 
 def _windows(tokens: Column, max_n: int, sign: int) -> Column:
@@ -52,18 +56,32 @@ def ngrams(df: DataFrame, keys: Sequence[str], text: str, max_n: int = 4) -> Dat
     """
     tokens = df.select(*keys, _tokens(df, text).alias("tokens"))
     windows = tokens.select(*keys, F.explode(_windows(F.col("tokens"), max_n, 1)).alias("w"))
-    fields = windows.schema["w"].dataType.names[:max_n]
-    windows = windows.select(
-        *keys, F.array_compact(F.array(*[F.col("w")[f] for f in fields])).alias("window")
-    )
-    sizes = F.sequence(F.lit(1), F.size("window"))
-    return windows.select(*keys, F.explode(sizes).alias("n"), "window").select(
-        *keys, "n", F.array_join(F.slice("window", F.lit(1), F.col("n")), " ").alias("gram")
+    parts = [F.col("w")[f] for f in windows.schema["w"].dataType.names[:max_n]]
+    # Short windows at the end of a text give NULL for the longer grams.
+    grams = [parts[0]]
+    for part in parts[1:]:
+        grams.append(F.concat(grams[-1], F.lit(" "), part))
+    rows = windows.select(*keys, F.posexplode(F.array(*grams)).alias("i", "gram"))
+    return rows.where(F.col("gram").isNotNull()).select(
+        *keys, (F.col("i") + 1).alias("n"), "gram"
     )
 
 
-def ngram_counts(df: DataFrame, keys: Sequence[str], text: str, max_n: int = 4) -> DataFrame:
-    """``keys, n, gram, count``; counts are combined before they are shuffled."""
+def ngram_counts(
+    df: DataFrame,
+    keys: Sequence[str],
+    text: str,
+    max_n: int = 4,
+    partitions: int | None = None,
+) -> DataFrame:
+    """``keys, n, gram, count``.
+
+    Counts are combined before they are shuffled, which holds for any ``keys``.
+    Where ``keys`` tell single texts apart, ``partitions`` spreads the texts by
+    them instead, and no gram is shuffled at all.
+    """
+    if partitions:
+        df = df.select(*keys, text).repartition(partitions, *keys)
     return ngrams(df, keys, text, max_n).groupBy(*keys, "n", "gram").agg(
         F.count("*").alias("count")
     )

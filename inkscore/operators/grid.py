@@ -25,13 +25,22 @@ def pair_candidates(
 
 
 def complete_grid(
-    scores: DataFrame, groups: DataFrame, records: DataFrame, metrics: Sequence[str] = METRICS
+    scores: DataFrame,
+    groups: DataFrame,
+    records: DataFrame,
+    metrics: Sequence[str] = METRICS,
+    flags: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per group (model, or run and model) and record, missing scores 0."""
+    """One row per group (model, or run and model) and record.
+
+    Missing scores become 0, missing ``flags`` false.
+    """
     grid = pair_all(records.select("record"), groups)
     keys = [*groups.columns, "record"]
     filled = [F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in metrics]
-    return grid.join(scores.select(*keys, *metrics), keys, "left").select(*keys, *filled)
+    filled += [F.coalesce(F.col(f), F.lit(False)).alias(f) for f in flags]
+    found = scores.select(*keys, *metrics, *flags)
+    return grid.join(found, keys, "left").select(*keys, *filled)
 
 
 def missing_list(has_markup: Column, has_render: Column) -> Column:

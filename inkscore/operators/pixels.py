@@ -168,17 +168,27 @@ def resample_to(
     its exact row count allows it and met by a salted join otherwise.
     """
     keys = list(keys)
+    shapes = sizes.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.col(a).alias("n_in"), F.col(b).alias("n_out"))
+                    for a, b in (("w", "out_w"), ("h", "out_h"))
+                ]
+            )
+        )
+    ).distinct()
+    # At most this many weights: every output cell reaches over 2 * LOBES inputs.
+    reach = 2 * LOBES * F.greatest(F.col("n_in") / F.col("n_out"), F.lit(1.0)) + 1
+    bound = shapes.agg(F.sum(F.col("n_out") * reach)).first()[0] or 0
+    table = lanczos_weights(shapes)
 
     def one_way(df: DataFrame, n_in: str, n_out: str, axis: str, other: str) -> DataFrame:
-        shapes = sizes.select(F.col(n_in).alias("n_in"), F.col(n_out).alias("n_out")).distinct()
-        rows = shapes.agg(
-            F.sum(F.col("n_out") * (2 * LOBES * F.greatest(F.col("n_in") / F.col("n_out"), F.lit(1.0)) + 1))
-        ).first()[0]
-        weights = lanczos_weights(shapes).select(
+        weights = table.select(
             F.col("n_in").alias(n_in), F.col("n_out").alias(n_out), "o", F.col("i").alias(axis), "k"
         )
         on = [n_in, n_out, axis]
-        if (rows or 0) <= broadcast_rows:
+        if bound <= broadcast_rows:
             weights = F.broadcast(weights)
         else:
             weights = weights.withColumn("_salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))

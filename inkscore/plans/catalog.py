@@ -27,6 +27,7 @@ from inkscore.operators import prompts as Q
 from inkscore.operators import reports as R
 from inkscore.operators import rows as W
 from inkscore.operators import summary as S
+from inkscore.operators.skew import hot_keys
 from inkscore.plans import fixtures as X
 from inkscore.plans.scoring import score, score_summary
 from inkscore.session import configure
@@ -54,6 +55,14 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.to_artifacts(X.model_outputs(spark, sf_dir), "rendered")
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All extracted markup with the target of its record."""
+    found = _artifacts(spark, sf_dir)
+    targets = X.eval_examples(spark, sf_dir).select("record", "completion")
+    # Hot records are looked for on the key alone, before the markup is cut out.
+    return G.pair_candidates(found.where(F.col("has_markup")), targets, hot_keys(found, "record"))
+
+
 def _bad_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All examples, some without completion and some without width."""
     df = X.eval_examples(spark, sf_dir)
@@ -65,6 +74,11 @@ def _bad_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tasks(spark):
+    """The small test files are one split each; spread their rows."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 # sources, projections, checks
 
 
@@ -149,7 +163,8 @@ def restore_assets_rows(spark, sf_dir):
     targets = X.eval_examples(spark, sf_dir).select(
         "record", extract_assets(F.col("completion")).alias("assets")
     )
-    pairs = G.pair_candidates(found.where(F.col("markup").isNotNull()), targets)
+    hot = hot_keys(found, "record")
+    pairs = G.pair_candidates(found.where(F.col("markup").isNotNull()), targets, hot)
     restored = restore_assets(F.col("markup"), F.col("assets"))
     return pairs.select("run_time", "model", "record", restored.alias("markup"))
 
@@ -278,10 +293,7 @@ def artifacts(spark, sf_dir):
 
 @query
 def candidate_pairs(spark, sf_dir):
-    targets = X.eval_examples(spark, sf_dir).select("record", "completion")
-    found = _artifacts(spark, sf_dir).where(F.col("has_markup"))
-    pairs = G.pair_candidates(found, targets)
-    return pairs.select("run_time", "model", "record", "markup", "completion")
+    return _candidates(spark, sf_dir).select("run_time", "model", "record", "markup", "completion")
 
 
 @query
@@ -309,7 +321,8 @@ def missing_artifacts(spark, sf_dir):
 
 @query
 def ngram_counts(spark, sf_dir):
-    return B.ngram_counts(X.table(spark, sf_dir, "pages"), ["page_id"], "html")
+    pages = X.table(spark, sf_dir, "pages")
+    return B.ngram_counts(pages, ["page_id"], "html", partitions=_tasks(spark))
 
 
 @query
@@ -318,11 +331,6 @@ def ngram_precision(spark, sf_dir):
     return _round(rows, "precision", digits=9)
 
 
-def _tasks(spark):
-    """The small test files are one split each; spread their rows."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 @query
 def bleu_pages(spark, sf_dir):
     rows = B.bleu(X.page_pairs(spark, sf_dir), ["pair_id"], partitions=_tasks(spark))
@@ -345,8 +353,7 @@ OUTPUT_KEYS = ["run_time", "model", "record"]
 
 
 def _output_bleu(spark, sf_dir):
-    targets = X.eval_examples(spark, sf_dir).select("record", "completion")
-    pairs = G.pair_candidates(_artifacts(spark, sf_dir).where(F.col("has_markup")), targets)
+    pairs = _candidates(spark, sf_dir)
     return B.bleu(pairs, OUTPUT_KEYS, "markup", "completion", partitions=_tasks(spark))
 
 
@@ -421,7 +428,8 @@ def _scores(spark, sf_dir):
     images = X.packed_images(spark, sf_dir, ragged=True)
     gen = images.select(F.col("image_id").alias("record"), "image")
     tgt = images.select((F.col("image_id") - 1).alias("record"), "image")
-    return score(_artifacts(spark, sf_dir), X.eval_examples(spark, sf_dir), gen, tgt)
+    candidates, targets = _artifacts(spark, sf_dir), X.eval_examples(spark, sf_dir)
+    return score(candidates, targets, gen, tgt, partitions=_tasks(spark))
 
 
 @query

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from inkscore.functions.markup import extract_assets, restore_assets
 from inkscore.functions.text import tokenize_13a
 from inkscore.operators.bleu import bleu
-from inkscore.operators.grid import complete_grid, pair_candidates
+from inkscore.operators.grid import METRICS, complete_grid, pair_candidates
 from inkscore.operators.images import image_similarity_packed
-from inkscore.operators.skew import hot_keys
+from inkscore.operators.skew import hot_keys, salted_join
 from inkscore.operators.summary import round_scores, summarize
 
 
@@ -37,8 +37,10 @@ def score(
     The scores are rounded to three significant figures.
     """
     keys = ["run_time", "model", "record"]
+    flags = ["has_markup", "has_render"]
     hot = hot_keys(artifacts, "record")
-    usable = artifacts.where(F.col("has_markup") & F.col("has_render")).select(*keys, "markup")
+    usable = F.col("has_markup") & F.col("has_render")
+    candidates = artifacts.select(*keys, *flags, F.when(usable, F.col("markup")).alias("markup"))
 
     # Tokens of a target are made once, before it meets its many candidates.
     completion = F.col("completion")
@@ -47,32 +49,28 @@ def score(
         tokenize_13a(completion).alias("ref"),
         *([extract_assets(completion).alias("assets")] if restore else []),
     )
-    texts = pair_candidates(usable, target, hot)
+    texts = pair_candidates(candidates, target, hot)
     if restore:
         texts = texts.withColumn("markup", restore_assets(F.col("markup"), F.col("assets")))
-    code = bleu(texts, keys, "markup", "ref", partitions=partitions, method=bleu_method)
-    code = code.where((F.col("len_c") > 0) & (F.col("len_r") > 0))
+    code = bleu(texts, [*keys, *flags], "markup", "ref", partitions=partitions, method=bleu_method)
 
     # Image bytes move once, to meet their target; the rest joins narrow rows.
     shared = [k for k in keys if k in gen_images.columns]
     ours = gen_images.select(*shared, F.col("image").alias("gen"))
     theirs = tgt_images.select("record", F.col("image").alias("tgt"))
-    images = pair_candidates(ours, theirs, [] if shared == ["record"] else hot)
-    looks = image_similarity_packed(images, shared, mode)
+    if shared == ["record"]:
+        looks = image_similarity_packed(ours.join(theirs, "record"), shared, mode)
+        scored = salted_join(code, looks, "record", ["run_time", "model"], "left", hot)
+    else:
+        looks = image_similarity_packed(pair_candidates(ours, theirs, hot), shared, mode)
+        scored = code.join(looks, shared, "left")
 
-    scored = code.join(looks, shared, "left")
+    # Without tokens on either side there is no score at all.
+    complete = (F.col("len_c") > 0) & (F.col("len_r") > 0)
+    scored = scored.withColumns({m: F.when(complete, F.col(m)) for m in METRICS})
     groups = artifacts.select("run_time", "model").distinct()
-    full = complete_grid(scored, groups, examples)
-    flags = artifacts.select(*keys, "has_markup", "has_render")
-    flagged = full.join(flags, keys, "left").select(
-        *keys,
-        F.coalesce("has_markup", F.lit(False)).alias("has_markup"),
-        F.coalesce("has_render", F.lit(False)).alias("has_render"),
-        "bleu",
-        "structural",
-        "pixel",
-    )
-    return round_scores(flagged)
+    full = complete_grid(scored, groups, examples, flags=flags)
+    return round_scores(full.select(*keys, *flags, *METRICS))
 
 
 def score_summary(scores: DataFrame, by_run: bool = True) -> DataFrame:

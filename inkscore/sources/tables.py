@@ -51,12 +51,14 @@ def read_raw_csv(spark: SparkSession, path: str, run_time: str | None = None) ->
 def write_artifacts(df: DataFrame, path: str) -> None:
     """Markup and flags per run, model and record, one folder per run and model.
 
-    The rows are hashed on the record as well, so a run or model that holds
-    most of the rows is written by many tasks.
+    Writing a run and model again replaces its folder and leaves the others. The
+    rows are hashed on the record as well, so a run or model that holds most of
+    the rows is written by many tasks.
     """
     spread = F.pmod(F.xxhash64("record"), F.lit(64))
     laid_out = df.repartition("run_time", "model", spread)
-    laid_out.write.mode("overwrite").partitionBy("run_time", "model").parquet(path)
+    writer = laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_time", "model").parquet(path)
 
 
 def read_artifacts(spark: SparkSession, path: str, run_time: str | None = None) -> DataFrame:

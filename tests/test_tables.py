@@ -58,6 +58,9 @@ def test_examples_and_artifacts(spark, tmp_path):
     T.write_artifacts(found, str(tmp_path / "artifacts"))
     back = T.read_artifacts(spark, str(tmp_path / "artifacts"), "r").select(*found.columns)
     assert data(back) == data(found)
+    again = found.withColumn("run_time", F.lit("r2"))
+    T.write_artifacts(again, str(tmp_path / "artifacts"))
+    assert T.read_artifacts(spark, str(tmp_path / "artifacts")).count() == 4
 
 
 def test_score_files(spark, tmp_path):
