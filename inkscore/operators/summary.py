@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkscore.functions.bands import BANDS, band, disagreement
-from inkscore.functions.rounding import sig3
+from inkscore.functions.rounding import sig3, steady_mean
 from inkscore.operators.grid import METRICS
 from inkscore.operators.rows import SHOWN
 
@@ -56,12 +56,12 @@ def round_scores(scores: DataFrame) -> DataFrame:
 
 
 def _means() -> list[Column]:
-    return [F.avg(m).alias(m) for m in METRICS] + [F.count("*").alias("count")]
+    return [steady_mean(F.col(m)).alias(m) for m in METRICS] + [F.count("*").alias("count")]
 
 
 def _successful_means() -> list[Column]:
     good = ~is_failure()
-    means = [F.avg(F.when(good, F.col(m))).alias(f"{m}_successful") for m in METRICS]
+    means = [steady_mean(F.when(good, F.col(m))).alias(f"{m}_successful") for m in METRICS]
     return means + [F.count(F.when(good, 1)).alias("successful_count")]
 
 

@@ -193,14 +193,23 @@ _FAILURES = """count(*) FILTER (WHERE has_markup AND NOT has_render) AS render_f
     count(*) FILTER (WHERE NOT has_markup AND NOT has_render) AS generation_failures"""
 
 
+def _mean(value: str) -> str:
+    """Mean by whole multiples of 2^-60, since a plain sum misses exact ties."""
+    unit = "1152921504606846976::DOUBLE"
+    whole = f"trunc({value} * {unit})"
+    return f"""((sum(CAST({whole} AS HUGEINT))::DOUBLE / {unit}
+      + sum({value} - {whole} / {unit})) / count({value}))"""
+
+
 def _summary(source: str, by: str, name: str = "summary") -> str:
     """CTE with the summary of ``source``, grouped by the columns ``by``."""
     run = by.replace("model", "").strip(", ")
     over = f"OVER (PARTITION BY {run})" if run else "OVER ()"
     wins = f"sum(ok) {over} = 0"
-    means = ", ".join(f"avg({m}) AS {m}" for m in ("bleu", "structural", "pixel"))
+    means = ", ".join(f"{_mean(m)} AS {m}" for m in ("bleu", "structural", "pixel"))
     good = ", ".join(
-        f"avg({m}) FILTER (WHERE {_OK}) AS {m}_ok" for m in ("bleu", "structural", "pixel")
+        f"{_mean(f'CASE WHEN {_OK} THEN {m} END')} AS {m}_ok"
+        for m in ("bleu", "structural", "pixel")
     )
     rounded = ", ".join(f"{_sig3(m)} AS {m}" for m in ("bleu", "structural", "pixel"))
     rounded_good = ", ".join(
