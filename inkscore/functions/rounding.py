@@ -1,4 +1,4 @@
-"""Rounding to three significant figures, and means that survive it."""
+"""Rounding to three significant figures, and sums whose means survive it."""
 
 from __future__ import annotations
 
@@ -22,15 +22,13 @@ def sig3(value: Column) -> Column:
 _UNIT = float(1 << 60)
 
 
-def steady_mean(value: Column) -> Column:
-    """Mean (aggregate) that does not depend on the order of the rows.
+def steady_sum(value: Column) -> Column:
+    """Sum (aggregate) that does not depend on the order of the rows.
 
     A mean of rounded scores is often an exact tie, where the last bit of the
     sum decides the third figure. Multiples of 2^-60 are summed as whole
     numbers, only what is left below them (or a value of 8 and more) as doubles.
     """
-    small = F.abs(value) < 8
-    units = F.when(small, (value * _UNIT).cast("bigint")).when(value.isNotNull(), 0)
-    rest = F.sum(value - units.cast("double") / _UNIT)
-    whole = F.sum(units.cast("decimal(20,0)")).cast("double") / _UNIT
-    return (whole + rest) / F.count(value)
+    units = F.when(F.abs(value) < 8, (value * _UNIT).cast("bigint")).otherwise(0)
+    rest = F.sum(value - units / _UNIT)
+    return F.sum(units.cast("decimal(20,0)")).cast("double") / _UNIT + rest

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkscore.functions.bands import BANDS, band, disagreement
-from inkscore.functions.rounding import sig3, steady_mean
+from inkscore.functions.rounding import sig3, steady_sum
 from inkscore.operators.grid import METRICS
 from inkscore.operators.rows import SHOWN
 
@@ -55,14 +55,30 @@ def round_scores(scores: DataFrame) -> DataFrame:
     return scores.withColumns({m: sig3(F.col(m)) for m in METRICS})
 
 
-def _means() -> list[Column]:
-    return [steady_mean(F.col(m)).alias(m) for m in METRICS] + [F.count("*").alias("count")]
+def _totals() -> list[Column]:
+    """Sums and counts all means are made of. A failed row adds 0 to each sum,
+    so the sums over all rows and over the successful rows are the same."""
+    sums = [steady_sum(F.col(m)).alias(f"_{m}") for m in METRICS]
+    good = F.count(F.when(~is_failure(), 1)).alias("successful_count")
+    return [*sums, F.count("*").alias("count"), good]
 
 
-def _successful_means() -> list[Column]:
-    good = ~is_failure()
-    means = [steady_mean(F.when(good, F.col(m))).alias(f"{m}_successful") for m in METRICS]
-    return means + [F.count(F.when(good, 1)).alias("successful_count")]
+def _means() -> dict[str, Column]:
+    return {m: F.col(f"_{m}") / F.col("count") for m in METRICS}
+
+
+def _successful_means(by: Sequence[str]) -> dict[str, Column]:
+    """Means over the successful rows, and their number. Groups without any hold
+    NULL where another group of the same run succeeded, 0 where none did."""
+    run = [c for c in by if c != "model"]
+    wins = F.sum("successful_count").over(Window.partitionBy(*run))
+    count = F.when((F.col("successful_count") > 0) | (wins == 0), F.col("successful_count"))
+
+    def mean(metric: str) -> Column:
+        share = F.col(f"_{metric}") / F.nullif(F.col("successful_count"), F.lit(0))
+        return F.when(wins == 0, 0.0).otherwise(share)
+
+    return {**{f"{m}_successful": mean(m) for m in METRICS}, "successful_count": count}
 
 
 def _failures() -> list[Column]:
@@ -73,25 +89,17 @@ def _failures() -> list[Column]:
     ]
 
 
-def mean_scores(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    return scores.groupBy(*by).agg(*_means())
+def _select(df: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    return df.select(*by, *[column.alias(name) for name, column in columns.items()])
 
 
-def _fill_successful(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Groups without success hold NULL where another group of the same run
-    succeeded, 0 where none did."""
-    run = [c for c in by if c != "model"]
-    wins = F.sum("successful_count").over(Window.partitionBy(*run))
-    names = [f"{m}_successful" for m in METRICS] + ["successful_count"]
-    zero = {c: F.when(wins == 0, F.lit(0).cast(df.schema[c].dataType)) for c in names}
-    some = F.when(F.col("successful_count") > 0, F.lit(True))
-    return df.withColumns(
-        {c: F.coalesce(zero[c], F.when(some, F.col(c))) for c in names}
-    )
+def mean_scores(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    totals = scores.groupBy(*by).agg(*_totals())
+    return _select(totals, by, {**_means(), "count": F.col("count")})
 
 
 def successful_means(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    return _fill_successful(scores.groupBy(*by).agg(*_successful_means()), by)
+    return _select(scores.groupBy(*by).agg(*_totals()), by, _successful_means(by))
 
 
 def failure_counts(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -140,11 +148,13 @@ def summarize(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     Scores are taken as already rounded per record; the means are rounded again.
     """
     by = list(by)
-    wide = scores.groupBy(*by).agg(*_means(), *_successful_means(), *_failures())
-    wide = _fill_successful(wide, by)
-    rounded = {c: sig3(F.col(c)) for m in METRICS for c in (m, f"{m}_successful")}
+    totals = scores.groupBy(*by).agg(*_totals(), *_failures())
+    columns = {c: F.col(c) for c in SUMMARY_COLUMNS} | _means() | _successful_means(by)
+    for name in columns:
+        if name.removesuffix("_successful") in METRICS:
+            columns[name] = sig3(columns[name])
     lead = [c for c in by if c != "model"]
-    return wide.withColumns(rounded).select(*lead, *SUMMARY_COLUMNS)
+    return _select(totals, lead, {c: columns[c] for c in SUMMARY_COLUMNS})
 
 
 def leaderboard(summary: DataFrame, metric: str = "bleu") -> DataFrame:
