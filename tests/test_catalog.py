@@ -7,9 +7,9 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as driver
+from inkscore.plans.catalog import QUERIES
+from inkscore.plans.oracle import ORACLE
 
-QUERIES = driver.queries()
-ORACLE = driver.oracle_sql()
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
@@ -32,6 +32,8 @@ def rows(frame):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
