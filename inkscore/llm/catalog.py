@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .neardup import near_duplicates
 from .packing import pack_documents
+from .spans import remove_repeats
 from .token_files import token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
 
@@ -23,8 +30,38 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=1024, end_id=2)
 
 
+def op10_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), size=20)
+    kept_sha256 = F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_words", "n_removed", kept_sha256)
+
+
 QUERIES = {
+    "op5_simhash_covering": op5_simhash_covering,
     "op7_token_files": op7_token_files,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_de_bruijn_spans": op10_de_bruijn_spans,
 }
-ORACLE: dict[str, str] = {}
+SPANS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), k AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)
+), f AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM k
+), c AS (
+  SELECT DISTINCT doc_id, s + o AS i FROM (SELECT * FROM f WHERE r > 1), unnest(range(0, 20)) AS t(o)
+), u AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), g AS (
+  SELECT u.doc_id, count(c.i) AS n_removed,
+         string_agg(word, ' ' ORDER BY u.i) FILTER (WHERE c.i IS NULL) AS kept
+  FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.i = c.i GROUP BY u.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op10_de_bruijn_spans": SPANS_SQL}
