@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
+from .language import identify
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .spans import remove_repeats
@@ -18,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item it holds."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contaminated(docs, items)
+
+
 def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
@@ -37,6 +49,8 @@ def op10_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_gru_language": op1_byte_gru_language,
+    "op3_pigeonhole_decontamination": op3_pigeonhole_decontamination,
     "op5_simhash_covering": op5_simhash_covering,
     "op7_token_files": op7_token_files,
     "op9_best_fit_packing": op9_best_fit_packing,

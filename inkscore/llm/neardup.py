@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import in_batches, settle, text_bytes
+from .shared import free_name, in_batches, settle, text_bytes
 
 SHINGLE = 3
 RADIUS = 3
@@ -53,17 +53,24 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed long, a row for each row."""
+    """doc_id, a hash of the text, and the fingerprint as a signed long: a row for each row."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [fingerprint(t, shingle) for t in text_bytes(batch.column(1))]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))],
-            names=["doc_id", "fp"],
+            [
+                batch.column(0),
+                batch.column(2),
+                pa.array(np.array(found, np.uint64).view(np.int64)),
+            ],
+            names=["doc_id", "text_hash", "fp"],
         )
 
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plain.mapInArrow(in_batches(make), "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    plain = docs.select(
+        F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash")
+    )
+    return plain.mapInArrow(in_batches(make), "doc_id long, text_hash long, fp long")
 
 
 def covering_masks(free: list[int], radius: int) -> list[int]:
@@ -196,6 +203,13 @@ def near_duplicates(
     group; a null id is kept and is never a component's id unless the component has
     no other. An empty table gives no rows; other columns are ignored.
     """
+    found = _grouped(docs, shingle, radius, together)
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.select("doc_id", shown, "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int, radius: int, together: int) -> DataFrame:
+    """doc_id, text_hash, fp, label (a fingerprint of the component), component_id."""
     own = settle(fingerprints(docs, shingle), "fingerprints")
     distinct = settle(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = components(links(distinct.select("fp"), radius, together))
@@ -203,6 +217,27 @@ def near_duplicates(
         "fp", "least", F.coalesce("label", "fp").alias("label")
     )
     named = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = placed.select("fp", "label").join(named, "label").select("fp", "component_id")
-    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return own.join(of, "fp").select("doc_id", shown, "component_id")
+    of = placed.select("fp", "label").join(named, "label").select("fp", "label", "component_id")
+    return own.join(of, "fp")
+
+
+def first_of_each(
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, together: int = TOGETHER
+) -> DataFrame:
+    """One row of each group, all columns: that of the smallest id.
+
+    A null id is larger than any other; of rows with that id the one with the least
+    hash of its text stays, and of rows that share both any one.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    found = _grouped(docs, shingle, radius, together)
+    chosen = found.groupBy("label").agg(F.min(order).alias("c")).select(
+        F.col("c.doc_id").alias("_doc"), F.col("c.text_hash").alias("_hash")
+    )
+    name = free_name(docs, "text_hash")
+    hashed = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
+    own = (hashed["doc_id"].cast("long").eqNullSafe(chosen["_doc"])) & (
+        hashed[name] == chosen["_hash"]
+    )
+    kept = hashed.join(chosen, own, "left_semi")
+    return kept.dropDuplicates(["doc_id", name]).select(*docs.columns)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..session import checkpoint_dir
 
@@ -93,3 +94,28 @@ class WordHashes(dict):
 
 
 WORD_HASHES = WordHashes()
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, or a longer name where the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def with_column(
+    df: DataFrame,
+    name: str,
+    kind: DataType,
+    make: Callable[[list[str | None]], pa.Array],
+) -> DataFrame:
+    """``df`` with a column made from its texts, batch by batch, in place."""
+    at = [c.lower() for c in df.columns].index("text")
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = make(batch.column(at).to_pylist())
+        return pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+
+    schema = StructType([*df.schema.fields, StructField(name, kind)])
+    return df.mapInArrow(in_batches(add), schema)

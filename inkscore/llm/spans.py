@@ -16,8 +16,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import WORD_HASHES, in_batches, mix, settle, text_bytes
 
@@ -132,12 +133,13 @@ def _place_rows(batch: pa.RecordBatch, size: int, kmer: int) -> Iterator[list[np
         ]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """The documents under a key without nulls: the id, and a hash of the text."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"),
         F.hash("text").alias("tie"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        *more,
     )
 
 
@@ -254,45 +256,89 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, kmer: int = KMER) -> DataF
     same result. An empty table gives no rows; other columns are ignored.
     """
     keyed = _keyed(docs)
+    cut = _with_cut(keyed, keyed, size, kmer)
+    doc_id = F.when(F.col("doc") != LEAST, F.col("doc")).alias("doc_id")
+    return cut.select(doc_id, "cut.n_words", "cut.n_removed", "cut.kept", "cut.removed")
+
+
+def with_repeats_removed(docs: DataFrame, size: int = SIZE, kmer: int = KMER) -> DataFrame:
+    """All rows and columns, the texts without what :func:`remove_repeats` removes.
+
+    A text that loses nothing stays as it is, white space and nulls included; the
+    words that another one keeps are joined by one space. A column n_chars follows
+    the text.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    row = F.struct(*others).alias("row")
+    whole = _keyed(docs, row, F.col("text").isNull().alias("none"))
+    cut = _with_cut(whole, _keyed(docs), size, kmer)
+    lost = F.col("cut.n_removed") > 0
+    text = F.when(lost, F.col("cut.kept")).when(~F.col("none"), F.col("text"))
+    kinds = {f.name: f.dataType for f in docs.schema}
+
+    def column(name: str) -> Column:
+        if name.lower() == "text":
+            return text.cast(kinds[name]).alias(name)
+        own = F.col("row").getField(name)
+        if name.lower() == "n_chars":
+            own = F.when(lost, F.length(F.col("cut.kept")).cast(kinds[name])).otherwise(own)
+        return own.alias(name)
+
+    return cut.select(*[column(c) for c in docs.columns])
+
+
+CUT = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("kept", T.StringType()),
+        T.StructField(
+            "removed",
+            T.ArrayType(
+                T.StructType(
+                    [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
+                )
+            ),
+        ),
+    ]
+)
+
+
+def cut_text(text: bytes, runs: list[dict] | None, size: int) -> dict:
+    """The text without the words under the runs of windows."""
+    words = text.split()
+    if not runs:
+        return {"n_words": len(words), "n_removed": 0, "kept": b" ".join(words).decode(), "removed": []}
+    level = np.zeros(len(words) + 1, np.int64)
+    pos, n = np.array([(r["pos"], r["n"]) for r in runs]).T
+    np.add.at(level, pos, 1)
+    np.add.at(level, pos + n + size - 1, -1)
+    gone = np.cumsum(level[:-1]) > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+    return {
+        "n_words": len(words),
+        "n_removed": int(gone.sum()),
+        "kept": b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]).decode(),
+        "removed": [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()],
+    }
+
+
+def _with_cut(whole: DataFrame, keyed: DataFrame, size: int, kmer: int) -> DataFrame:
+    """``whole`` (doc, tie, text and more) with the struct CUT in column ``cut``."""
     runs = repeated_windows(keyed, size, kmer)
     lists = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
+    names = whole.columns
+    met = whole.join(lists, ["doc", "tie"], "left").select(*names, "runs")
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("removed", span)]
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, removed, kept, spans = [], [], [], []
-        for text, runs in zip(text_bytes(batch.column(2)), batch.column(3).to_pylist()):
-            words = text.split()
-            counts.append(len(words))
-            if not runs:
-                removed.append(0)
-                kept.append(b" ".join(words))
-                spans.append([])
-                continue
-            level = np.zeros(len(words) + 1, np.int64)
-            pos = np.array([r["pos"] for r in runs])
-            n = np.array([r["n"] for r in runs])
-            np.add.at(level, pos, 1)
-            np.add.at(level, pos + n + size - 1, -1)
-            gone = np.cumsum(level[:-1]) > 0
-            removed.append(int(gone.sum()))
-            kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]))
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-            spans.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
-        ids = [None if d == LEAST else d for d in batch.column(0).to_pylist()]
-        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+        texts, runs = text_bytes(batch.column("text")), batch.column("runs").to_pylist()
+        made = [cut_text(text, own, size) for text, own in zip(texts, runs)]
+        kept = batch.select(names)
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array(counts, pa.int64()),
-                pa.array(removed, pa.int64()),
-                pa.array(kept, pa.binary()).cast(pa.string()),
-                pa.array(spans, pa.list_(span)),
-            ],
-            names=["doc_id", "n_words", "n_removed", "kept", "removed"],
+            [*kept.columns, pa.array(made, pa.struct(kinds))], names=[*names, "cut"]
         )
 
-    met = keyed.join(lists, ["doc", "tie"], "left").select("doc", "tie", "text", "runs")
-    schema = (
-        "doc_id long, n_words long, n_removed long, kept string,"
-        " removed array<struct<start:int,end:int>>"
-    )
+    schema = T.StructType([*whole.schema.fields, T.StructField("cut", CUT)])
     return met.mapInArrow(in_batches(cut), schema)
