@@ -12,6 +12,8 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .spans import remove_repeats
 from .token_files import token_files
+from .toxicity import score_toxicity
+from .wordpiece import count_pieces
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,10 +36,18 @@ def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op6_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_pieces(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
 
 
+def op8_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=1024, end_id=2)
 
@@ -52,7 +62,9 @@ QUERIES = {
     "op1_byte_gru_language": op1_byte_gru_language,
     "op3_pigeonhole_decontamination": op3_pigeonhole_decontamination,
     "op5_simhash_covering": op5_simhash_covering,
+    "op6_wordpiece_counts": op6_wordpiece_counts,
     "op7_token_files": op7_token_files,
+    "op8_weak_supervision_toxicity": op8_weak_supervision_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_de_bruijn_spans": op10_de_bruijn_spans,
 }
