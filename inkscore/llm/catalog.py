@@ -10,6 +10,7 @@ from .decontaminate import contaminated
 from .language import identify
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .quality import rate_quality
 from .spans import remove_repeats
 from .token_files import token_files
 from .toxicity import score_toxicity
@@ -32,6 +33,11 @@ def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(docs, items)
 
 
+def op4_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("features")
+
+
 def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
@@ -61,6 +67,7 @@ def op10_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_gru_language": op1_byte_gru_language,
     "op3_pigeonhole_decontamination": op3_pigeonhole_decontamination,
+    "op4_decision_list_quality": op4_decision_list_quality,
     "op5_simhash_covering": op5_simhash_covering,
     "op6_wordpiece_counts": op6_wordpiece_counts,
     "op7_token_files": op7_token_files,

@@ -2,9 +2,10 @@
 
 Many voters look at a text: lexicons of insults, patterns, and words and word
 beginnings that the labelled rows show to be telling. A generative model of the
-votes estimates, without labels, how often each voter speaks on toxic and on
-clean texts and which voters speak together; its posterior labels then train a
-linear classifier, which scores every text.
+votes estimates how often each voter speaks on toxic and on
+clean texts and which voters speak together, given a prior belief from the
+labelled rows; its posterior labels then train a linear classifier, which scores
+every text.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SAMPLE = 4000
 FOUND_VOTERS = 300
 # Log-likelihood ratio from which a word is a voter: about one in a million by chance.
 LEAST_RATIO = 25.0
+# Correlation, given the class, from which two voters are held to say the same.
+SAME = 0.5
 BEGINNINGS = range(3, 8)
 LONGEST = 40
 
@@ -40,7 +43,7 @@ LEXICONS = {
     "fr": "idiot imbécile stupide crétin débile minable ordure déchet dégoûtant nul pathétique",
     "es": "idiota imbécil estúpido estúpida tonto basura escoria asqueroso patético inútil payaso",
 }
-PATTERNS = ("shouting", "exclaiming", "you_insult")
+PATTERNS = ("shouting", "exclaiming", "you_insult", "silence")
 SHOUT = re.compile(rb"[A-Z]{3,}")
 LETTERS = re.compile(r"[^\W\d_]+")
 YOU = {b"you", b"your", b"du", b"ihr", b"tu", b"vous", b"eres", b"usted"}
@@ -110,12 +113,17 @@ def count_votes(text: bytes, votes: WordVotes) -> dict[int, int]:
     )
     if insulted:
         counts[first + 2] = insulted
+    if not counts:
+        counts[first + 3] = 1
     return counts
 
 
 @dataclass
 class LabelModel:
-    """P(toxic), and how often each voter speaks on clean and on toxic texts."""
+    """P(toxic), and how often each voter speaks on clean and on toxic texts.
+
+    A voter that does not speak abstains; silence of all is a vote of its own.
+    """
 
     prior: float
     speaks: np.ndarray  # (2, voters)
@@ -123,9 +131,7 @@ class LabelModel:
 
     def posterior(self, spoken: np.ndarray) -> np.ndarray:
         log = np.log(self.speaks)
-        quiet = np.log1p(-self.speaks)
         odds = (spoken * self.weight) @ (log[1] - log[0])
-        odds += ((1 - spoken) * self.weight) @ (quiet[1] - quiet[0])
         odds += np.log(self.prior) - np.log1p(-self.prior)
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
@@ -135,38 +141,49 @@ class LabelModel:
         return toxic / (toxic + (1 - self.prior) * self.speaks[0])
 
 
-def fit_label_model(spoken: np.ndarray, start: np.ndarray, prior: float, rounds: int = 6) -> LabelModel:
-    """Expectation maximization over the votes alone.
+def fit_label_model(
+    spoken: np.ndarray, told: np.ndarray, prior: float, rounds: int = 4, belief: float = 1.0
+) -> LabelModel:
+    """Expectation maximization over the votes, without the labels of their texts.
 
-    ``spoken`` is 0/1 by text and voter, ``start`` a first guess of P(toxic).
+    ``spoken`` is 0/1 by text and voter. ``told`` is the prior belief in the
+    rates at which each voter speaks on clean and on toxic texts; it counts as
+    ``belief`` times the texts and so keeps the two classes in their places.
     After each round the correlation of every two voters, given the class, is
     estimated; a voter's vote counts for 1 / (1 + sum of its correlations), so
-    that many voters that speak as one count for about one.
+    that voters that speak as one count for about one.
     """
     n, m = spoken.shape
-    guess = start
-    weight = np.ones(m)
-    model = LabelModel(prior, np.full((2, m), 0.5), weight)
+    share = np.array([1 - prior, prior])[:, None] * n * belief
+    model = LabelModel(prior, np.clip(told, 1e-4, 1 - 1e-4), np.ones(m))
     for _ in range(rounds):
-        for _ in range(5):
-            mass = np.stack([1 - guess, guess])
-            speaks = (mass @ spoken + 0.5) / (mass.sum(axis=1, keepdims=True) + 1.0)
-            # A lexicon voter is held to speak at least as often on toxic texts.
-            speaks[1] = np.maximum(speaks[1], speaks[0])
-            model = LabelModel(prior, np.clip(speaks, 1e-4, 1 - 1e-4), weight)
+        for _ in range(3):
             guess = model.posterior(spoken)
+            mass = np.stack([1 - guess, guess])
+            speaks = (mass @ spoken + told * share) / (mass.sum(axis=1, keepdims=True) + share)
+            model = LabelModel(prior, np.clip(speaks, 1e-4, 1 - 1e-4), model.weight)
         together, alone = np.zeros((m, m)), np.zeros(m)
+        guess = model.posterior(spoken)
         for y, mass in enumerate((1 - guess, guess)):
             rest = (spoken - model.speaks[y]) * np.sqrt(mass)[:, None]
             together += rest.T @ rest
             alone += (rest * rest).sum(axis=0)
-        correlation = np.abs(together) / np.sqrt(np.outer(alone, alone) + 1e-12)
+        correlation = together / np.sqrt(np.outer(alone, alone) + 1e-12)
         np.fill_diagonal(correlation, 0)
-        correlation[correlation < 0.1] = 0
-        weight = 1 / (1 + correlation.sum(axis=1))
+        correlation[correlation < SAME] = 0
+        model.weight = 1 / (1 + correlation.sum(axis=1))
     return model
 
 
+def told_rates(spoken: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How often each voter speaks on labelled clean and toxic texts, smoothed
+    towards its rate on all of them."""
+    rate = (spoken.sum(axis=0) + 0.5) / (len(spoken) + 1)
+    return np.stack(
+        [(spoken[toxic == y].sum(axis=0) + rate) / ((toxic == y).sum() + 1) for y in (0, 1)]
+    )
+
+
 @dataclass
 class Scorer:
     voters: Voters
@@ -178,7 +195,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
-def fit_classifier(features: np.ndarray, wanted: np.ndarray, decay: float = 1e-3) -> tuple:
+def fit_classifier(features: np.ndarray, wanted: np.ndarray, decay: float = 1e-5) -> tuple:
     """Logistic regression on posterior labels, both classes of equal weight; Newton steps."""
     x = np.concatenate([features, np.ones((len(features), 1))], axis=1)
     toxic = wanted.sum()
@@ -218,7 +235,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learned: Column, sample:
     chosen = F.broadcast(some[0].union(some[1]))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     met = texts.join(chosen, F.col("doc_id") == F.col("_id"))
-    return settle(met.select("doc_id", "text", "toxic").where("text is not null"), "labelled")
+    # A text that is there many times tells no more than once.
+    once = met.select("doc_id", "text", "toxic").where("text is not null")
+    return settle(once.dropDuplicates(["text", "toxic"]), "labelled")
 
 
 def telling_terms(sample: DataFrame, least_ratio: float, most: int) -> list[str]:
@@ -255,7 +274,19 @@ def telling_terms(sample: DataFrame, least_ratio: float, most: int) -> list[str]
     ratio = 2 * (part(F.col("bad"), all_of * share) + part(F.col("good"), all_of * (1 - share)))
     more = F.col("bad") * n_good > 3 * F.col("good") * n_bad
     best = counts.select("term", ratio.alias("ratio")).where(more & (F.col("ratio") >= least_ratio))
-    return [r["term"] for r in best.orderBy(F.desc("ratio"), "term").limit(most).collect()]
+    order = [F.desc("ratio"), F.desc(F.length("term")), F.col("term")]
+    found = [r["term"] for r in best.orderBy(*order).limit(20 * most).collect()]
+    return without_relatives(found)[:most]
+
+
+def without_relatives(terms: list[str]) -> list[str]:
+    """The terms, best first, but none that begins a better one or is begun by it."""
+    kept: list[str] = []
+    for term in terms:
+        stem = term.rstrip("*")
+        if not any(stem.startswith(k) or k.startswith(stem) for k in (t.rstrip("*") for t in kept)):
+            kept.append(term)
+    return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, learned: Column, sample: int = SAMPLE) -> Scorer:
@@ -279,12 +310,13 @@ def fit(docs: DataFrame, labels: DataFrame, learned: Column, sample: int = SAMPL
         for voter, n in row["votes"].items():
             counts[i, voter] = n
     if not len(found) or not counts.any():
-        weights = np.append(np.ones(voters.size), 0)[: voters.size]
+        weights = np.zeros(voters.size)
+        weights[: len(LEXICONS)] = 1
         return Scorer(voters, weights, -1.0)
     spoken = (counts > 0).astype(float)
     prior = min(0.95, max(0.05, sum(r["toxic"] for r in found) / len(found)))
-    start = np.where(spoken.sum(axis=1) > 0, 0.8, 0.1)
-    model = fit_label_model(spoken, start, prior)
+    toxic = np.array([r["toxic"] for r in found])
+    model = fit_label_model(spoken, told_rates(spoken, toxic), prior)
     weights, offset = fit_classifier(np.log1p(counts), model.posterior(spoken))
     return Scorer(voters, weights, offset)
 
@@ -301,6 +333,7 @@ def score_toxicity(
     gives no rows. Without labels the lexicons and patterns alone vote.
     """
     scorer = fit(docs, labels, fold("doc_id", folds) != 0, sample)
+    silence = len(LEXICONS) + PATTERNS.index("silence")
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         votes = WordVotes(scorer.voters)
@@ -312,7 +345,7 @@ def score_toxicity(
                 batch.column(1),
                 pa.array(scores),
                 pa.array((scores >= 0.5).astype(np.int32)),
-                pa.array([sum(c.values()) for c in found], pa.int64()),
+                pa.array([sum(n for v, n in c.items() if v != silence) for c in found], pa.int64()),
             ],
             names=["doc_id", "held_out", "score", "predicted", "n_votes"],
         )
