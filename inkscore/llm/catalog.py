@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .language import identify
 from .neardup import near_duplicates
+from .ngram_lm import score_texts
 from .packing import pack_documents
 from .quality import rate_quality
 from .spans import remove_repeats
@@ -27,6 +28,10 @@ def op1_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_bloom_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item it holds."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -66,6 +71,7 @@ def op10_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_gru_language": op1_byte_gru_language,
+    "op2_bloom_ngram_lm": op2_bloom_ngram_lm,
     "op3_pigeonhole_decontamination": op3_pigeonhole_decontamination,
     "op4_decision_list_quality": op4_decision_list_quality,
     "op5_simhash_covering": op5_simhash_covering,
