@@ -122,7 +122,9 @@ def star_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
         shift += 1
         at = at[at + shift < n]
         at = at[bucket[at] == bucket[at + shift]]
-        near = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
+        # Unsigned: of a negative number the bits of its absolute value are counted.
+        apart_bits = np.bitwise_count((fp[at] ^ fp[at + shift]).view(np.uint64))
+        near = at[apart_bits <= radius]
         a, b = parent[near], parent[near + shift]
         while (apart := a != b).any():
             a, b = a[apart], b[apart]
