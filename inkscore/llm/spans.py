@@ -31,17 +31,6 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SECOND_LANE = np.uint64(0xD6E8FEB86659FD93)
 LEAST = -(1 << 63)
 
-PATHS = pa.schema(
-    [
-        ("doc", pa.int64()),
-        ("tie", pa.int32()),
-        ("pos", pa.int32()),
-        ("n", pa.int32()),
-        ("seed", pa.int64()),
-        ("content", pa.int64()),
-    ]
-)
-
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     values = np.full(n, base, np.uint64)
@@ -143,49 +132,63 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def _all_paths(keyed: DataFrame, size: int, kmer: int) -> DataFrame:
-    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for columns in _place_rows(batch, size, kmer):
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=PATHS)
+def _later(keys: list[np.ndarray], place: list[np.ndarray]) -> np.ndarray:
+    """Rows whose keys stand at a smaller place in the same arrays."""
+    order = np.lexsort([*reversed(place), *keys])
+    same = np.ones(max(0, len(order) - 1), bool)
+    for key in keys:
+        same &= np.diff(key[order]) == 0
+    # Each row's first row of the same keys, then whether its place is another one.
+    head = np.maximum.accumulate(np.append(0, np.where(same, 0, np.arange(1, len(order)))))[: len(order)]
+    first = order[head]
+    later = np.zeros(len(order), bool)
+    later[order] = np.any([p[order] != p[first] for p in place], axis=0)
+    return later
 
-    schema = "doc long, tie int, pos int, n int, seed long, content long"
-    return keyed.mapInArrow(make, schema)
+
+def _dealt(key: np.ndarray, later: np.ndarray, place: list[np.ndarray]) -> np.ndarray:
+    """Where a row is judged: by its key, or anywhere if it is known to repeat.
+
+    So of a run of words that a batch of texts has many times one row goes to the
+    task of its key, and no task gets all the copies.
+    """
+    anywhere = mix(place[0].view(np.uint64) + place[2].astype(np.uint64) * BASE)
+    return np.where(later, anywhere.view(np.int64), key)
 
 
-def _merged_paths(keyed: DataFrame, size: int, kmer: int) -> DataFrame:
-    """As all paths, but equal ones of some texts are one row with their first
-    place and their number, so that a hot path comes once from each batch."""
+def _paths(keyed: DataFrame, size: int, kmer: int) -> DataFrame:
+    """All paths: doc, tie, pos, n, content, later (a batch has it before), route."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for columns in _place_rows(batch, size, kmer):
-                doc, tie, pos, n, seed, content = columns
-                order = np.lexsort((pos, tie, doc, content, seed))
-                same = (np.diff(seed[order]) == 0) & (np.diff(content[order]) == 0)
-                heads = np.flatnonzero(np.append(True, ~same)) if len(order) else order
-                times = np.diff(np.append(heads, len(order)))
-                kept = [pa.array(c[order[heads]]) for c in columns]
+            for doc, tie, pos, n, seed, content in _place_rows(batch, size, kmer):
+                place = [doc, tie, pos]
+                later = _later([seed, content], place)
+                route = _dealt(seed, later, place)
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(times)], names=[*PATHS.names, "times"]
+                    [pa.array(c) for c in (doc, tie, pos, n, content, later, route)],
+                    names=["doc", "tie", "pos", "n", "content", "later", "route"],
                 )
 
-    schema = "doc long, tie int, pos int, n int, seed long, content long, times long"
+    schema = "doc long, tie int, pos int, n int, content long, later boolean, route long"
     return keyed.mapInArrow(make, schema)
 
 
-def compacted_paths(keyed: DataFrame, size: int = SIZE, kmer: int = KMER) -> DataFrame:
-    """Paths that repeat, or whose minimizer has another path as well.
+def _judged(rows: DataFrame, *keys: str) -> DataFrame:
+    """Adds ``again``: the keys stand at a smaller place. Rows are dealt by route."""
+    place = F.struct("doc", "tie", "pos")
+    own = Window.partitionBy("route", *keys, "later").orderBy("doc", "tie", "pos")
+    again = F.col("later") | (place != F.first(place).over(own))
+    return rows.repartition("route").withColumn("again", again)
 
-    Columns seed, content, n, times, first (doc, tie, pos) and beside, the number
-    of paths with the minimizer.
-    """
-    dealt = _merged_paths(keyed, size, kmer).repartition("seed")
-    paths = dealt.groupBy("seed", "content", "n").agg(
-        F.sum("times").alias("times"), F.min(F.struct("doc", "tie", "pos")).alias("first")
-    )
-    beside = F.count("*").over(Window.partitionBy("seed")).alias("beside")
-    return paths.select("*", beside).where("times > 1 or beside > 1")
+
+def repeated_paths(keyed: DataFrame, size: int = SIZE, kmer: int = KMER) -> DataFrame:
+    """Paths that repeat (again), and first ones whose minimizer has other paths
+    beside them, where the graph branches: doc, tie, pos, n, again."""
+    judged = _judged(_paths(keyed, size, kmer), "content", "n")
+    beside = F.sum((~F.col("again")).cast("int")).over(Window.partitionBy("route", "later"))
+    counted = judged.withColumn("beside", beside)
+    return counted.where("again or beside > 1").select("doc", "tie", "pos", "n", "again")
 
 
 def _windows_at(keyed: DataFrame, places: DataFrame, size: int) -> DataFrame:
@@ -212,34 +215,26 @@ def _windows_at(keyed: DataFrame, places: DataFrame, size: int) -> DataFrame:
                         hash_between(second, at, at + size).view(np.int64),
                     ]
                 )
-        columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "pos", "h1", "h2"])
+        *place, one, two = (np.concatenate(c) for c in zip(*found))
+        later = _later([one, two], place)
+        columns = [*place, two, later, _dealt(one, later, place)]
+        return pa.RecordBatch.from_arrays(
+            list(map(pa.array, columns)), names=["doc", "tie", "pos", "h", "later", "route"]
+        )
 
     lists = places.groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", "n")).alias("asked"))
     met = keyed.join(lists, ["doc", "tie"]).select("doc", "tie", "text", "asked")
-    return met.mapInArrow(in_batches(make), "doc long, tie int, pos int, h1 long, h2 long")
+    schema = "doc long, tie int, pos int, h long, later boolean, route long"
+    return met.mapInArrow(in_batches(make), schema)
 
 
 def repeated_windows(keyed: DataFrame, size: int = SIZE, kmer: int = KMER) -> DataFrame:
     """Runs of windows whose words also start at a place before: doc, tie, pos, n."""
-    paths = settle(compacted_paths(keyed, size, kmer), "paths")
-    place = F.struct("doc", "tie", "pos")
-    often = paths.where("times > 1").select("seed", "content", "first")
-    later = (
-        _all_paths(keyed, size, kmer)
-        .join(often, ["seed", "content"])
-        .where(place != F.col("first"))
-        .select("doc", "tie", "pos", "n")
-    )
-    branching = paths.where("beside > 1").select("first.doc", "first.tie", "first.pos", "n")
-    windows = settle(_windows_at(keyed, branching, size), "windows")
-    least = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
-    repeats = (
-        windows.join(least.where("c > 1"), ["h1", "h2"])
-        .where(place != F.col("first"))
-        .select("doc", "tie", "pos", F.lit(1).alias("n"))
-    )
-    return later.unionByName(repeats)
+    paths = settle(repeated_paths(keyed, size, kmer), "paths")
+    again = paths.where("again").select("doc", "tie", "pos", "n")
+    branching = paths.where("not again").select("doc", "tie", "pos", "n")
+    windows = _judged(_windows_at(keyed, branching, size), "h").where("again")
+    return again.unionByName(windows.select("doc", "tie", "pos", F.lit(1).alias("n")))
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, kmer: int = KMER) -> DataFrame:
