@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkscore.operators.skew import SALTS, salted_join
+from inkscore.operators.skew import SALTS, hot_keys, salted_join
 
 WINDOW = 7  # side of the SSIM window
 # Stabilising constants (0.01 * 255)^2 and (0.03 * 255)^2.
@@ -25,10 +25,11 @@ BROADCAST_WEIGHTS = 1_000_000
 
 
 def image_sizes(pixels: DataFrame, key: str = "image_id") -> DataFrame:
-    """``key, w, h`` of every image."""
-    return pixels.groupBy(key).agg(
-        (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")
+    """``key, w, h, complete`` of every image; an image with holes is not complete."""
+    sizes = pixels.groupBy(key).agg(
+        (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count("v").alias("n")
     )
+    return sizes.select(key, "w", "h", (F.col("n") == 3 * F.col("w") * F.col("h")).alias("complete"))
 
 
 def pair_pixels(
@@ -37,10 +38,18 @@ def pair_pixels(
     """Generated (a) and target (b) values of every pair, side by side.
 
     ``pairs`` holds ``gen_id, tgt_id``. Images shown in very many pairs are met
-    by a salted join; the target is then met pixel by pixel.
+    by a salted join; the target is then met pixel by pixel. A pair of different
+    sizes, or with an image that has holes, cannot be compared and gives no row.
     """
+    whole = F.col("complete")
+    ours_is = image_sizes(gen).where(whole).drop("complete").withColumnRenamed("image_id", "gen_id")
+    theirs_is = image_sizes(tgt).where(whole).drop("complete").withColumnRenamed("image_id", "tgt_id")
+    if hot is None:
+        hot = hot_keys(pairs, "gen_id")
+    sized = salted_join(pairs, ours_is, "gen_id", ["tgt_id"], hot=hot)
+    comparable = sized.join(theirs_is, ["tgt_id", "w", "h"], "left_semi").select("gen_id", "tgt_id")
     ours = salted_join(
-        pairs,
+        comparable,
         gen.select(
             F.col("image_id").alias("gen_id"), F.struct("y", "x", "c", "v").alias("p")
         ),
@@ -78,8 +87,8 @@ def ssim(side: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Uniform 7 x 7 windows, sample covariance, windows that leave the image left
     out. The window sums are taken along rows, then along columns; a full window
-    is one that counts seven values in both passes, so images with a side below
-    seven give no row.
+    is one of seven neighbours in both passes, so images with a side below seven
+    give no row, and windows with a hole in them are left out.
     """
     half = WINDOW // 2
     sums = ("a", "b", "aa", "bb", "ab")
@@ -105,9 +114,11 @@ def ssim(side: DataFrame, keys: Sequence[str]) -> DataFrame:
             "x",
             "c",
             F.count("*").over(window).alias("n"),
+            (F.max(along).over(window) - F.min(along).over(window)).alias("reach"),
             *[F.sum(s).over(window).alias(s) for s in sums],
         )
-        return moved.where(F.col("n") == WINDOW).drop("n")
+        full = (F.col("n") == WINDOW) & (F.col("reach") == WINDOW - 1)
+        return moved.where(full).drop("n", "reach")
 
     full = slide(slide(squares, "x", "y"), "y", "x")
     area = F.lit(float(WINDOW * WINDOW))
@@ -216,13 +227,19 @@ def image_similarity(
     """``gen_id, tgt_id, structural, pixel`` of every pair in ``pairs``.
 
     Generated images of another size are resampled to the target first. A pair
-    that cannot be compared (an image missing, a target side below seven) gets
-    0 for both scores.
+    that cannot be compared (an image missing or with holes, a target side below
+    seven) gets 0 for both scores. ``hot`` are ids in very many pairs; left out,
+    they are counted on the pairs alone.
     """
-    gen_sizes = image_sizes(gen).withColumnRenamed("image_id", "gen_id")
-    tgt_sizes = image_sizes(tgt).select(
+    whole = F.col("complete")
+    gen_sizes = image_sizes(gen).where(whole).select(
+        F.col("image_id").alias("gen_id"), "w", "h"
+    )
+    tgt_sizes = image_sizes(tgt).where(whole).select(
         F.col("image_id").alias("tgt_id"), F.col("w").alias("out_w"), F.col("h").alias("out_h")
     )
+    if hot is None:
+        hot = sorted({*hot_keys(pairs, "gen_id"), *hot_keys(pairs, "tgt_id")})
     sized = salted_join(pairs, gen_sizes, "gen_id", ["tgt_id"], hot=hot)
     sized = salted_join(sized, tgt_sizes, "tgt_id", ["gen_id"], hot=hot)
     usable = sized.where((F.col("out_w") >= WINDOW) & (F.col("out_h") >= WINDOW))

@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 
 from inkscore.operators.grid import METRICS
 
-LABEL_HEIGHT = 30  # fixed value: room for the label above each cell
+# Fixed values, as the tables must equal those published: the room for the label
+# above each cell, and the status of a cell without an image.
+LABEL_HEIGHT = 30
 NOT_FOUND = "Image not found"
 
 
 def chart_table(summary: DataFrame) -> DataFrame:
-    """``model, pos, metric, value``, metrics in their fixed order."""
+    """``model, pos, metric, value``, metrics in their fixed order.
+
+    Columns before ``model``, as the run of a summary by run, stay in front.
+    """
+    lead = summary.columns[: summary.columns.index("model")]
     order = F.array_position(F.array(*[F.lit(m) for m in METRICS]), F.col("metric")).cast("int")
-    long = summary.unpivot(["model"], list(METRICS), "metric", "value")
-    return long.select("model", (order - 1).alias("pos"), "metric", "value")
+    long = summary.unpivot([*lead, "model"], list(METRICS), "metric", "value")
+    return long.select(*lead, "model", (order - 1).alias("pos"), "metric", "value")
 
 
 def comparison_manifest(

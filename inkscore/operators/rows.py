@@ -27,7 +27,9 @@ def with_record(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
-    laid_out = df.orderBy(*order_by, tie).checkpoint()
+    # Equal rows are told apart by their place, so they do not end in one partition.
+    place = F.monotonically_increasing_id()
+    laid_out = df.orderBy(*order_by, tie, place).checkpoint()
     placed = laid_out.select(
         "*",
         F.spark_partition_id().alias("_part"),
@@ -88,9 +90,9 @@ def require_examples(
 def example_error(completion: Column, width: Column, height: Column) -> Column:
     """Why an example cannot be used, NULL when it can."""
     return F.when(
-        completion.isNull() | (completion == ""), "Example completion is empty"
+        completion.isNull() | (completion == ""), "no completion"
     ).when(
-        width.isNull() | height.isNull(), "Invalid image object: missing width/height attributes"
+        width.isNull() | height.isNull(), "image without width or height"
     )
 
 
@@ -101,14 +103,43 @@ def validate_examples(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_targets(records: DataFrame, targets: DataFrame, key: str = "record") -> DataFrame:
-    """Wanted records without a usable target."""
-    return records.select(key).distinct().join(targets.select(key), key, "left_anti")
-
+def missing_targets(
+    records: DataFrame, targets: DataFrame, key: str = "record", needs: Sequence[str] | None = None
+) -> DataFrame:
+    """Wanted records without a usable target.
 
-def require_targets(records: DataFrame, targets: DataFrame, key: str = "record") -> DataFrame:
-    """``targets`` itself, or an error naming wanted records that have none."""
-    bad = [row[0] for row in missing_targets(records, targets, key).orderBy(key).take(SHOWN)]
+    A target is usable if none of the columns ``needs`` is NULL, a blank text or
+    false; left out, those are ``completion`` and ``has_render``, where present.
+    """
+    if needs is None:
+        needs = [c for c in ("completion", "has_render") if c in targets.columns]
+    usable = F.lit(True)
+    kinds = dict(targets.dtypes)
+    for name in needs:
+        column = F.col(name)
+        given = {"string": F.trim(column) != "", "boolean": column}.get(kinds[name], column.isNotNull())
+        usable = usable & F.coalesce(given, F.lit(False))
+    there = targets.where(usable).select(key)
+    return records.select(key).distinct().join(there, key, "left_anti")
+
+
+def require_targets(
+    records: DataFrame, targets: DataFrame, key: str = "record", needs: Sequence[str] | None = None
+) -> DataFrame:
+    """``targets`` itself, or an error naming wanted records without a usable one."""
+    missing = missing_targets(records, targets, key, needs)
+    bad = [row[0] for row in missing.orderBy(key).take(SHOWN)]
     if bad:
-        raise ValueError(f"records without a target: {bad}")
+        more = "" if len(bad) < SHOWN else f" ({len(bad)} of {missing.count()})"
+        raise ValueError(f"records without a target: {bad}{more}")
     return targets
+
+
+def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` itself, or an error naming keys that stand more than once."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    bad = [tuple(row)[:-1] for row in counts.orderBy(*keys).take(SHOWN)]
+    if bad:
+        more = "" if len(bad) < SHOWN else f" ({len(bad)} of {counts.count()})"
+        raise ValueError(f"more than one row for {list(keys)}: {bad}{more}")
+    return df

@@ -7,20 +7,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A key is hot when it holds more than this share of the rows, so there are at
-# most 1 / HOT_SHARE of them: the list is small whatever the data.
+# A key is hot when it holds more than this share of the rows, or more than one
+# shuffle partition's share where there are more partitions. So the list of hot
+# keys has at most as many rows as there are partitions.
 HOT_SHARE = 0.001
 SALTS = 64
+COMPLEX = (T.ArrayType, T.MapType, T.StructType)
 # Rows of a table that may be written into the plan as a literal.
 LITERAL_ROWS = 1000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 100_000) -> list:
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys(
+    df: DataFrame, key: str, share: float | None = None, least: int = 100_000
+) -> list:
     """Keys with more than ``share`` of all rows and more than ``least`` rows.
 
-    One pass over the key column alone, counted before it is shuffled.
+    Reads the key column alone, counted before it is shuffled: one job where no
+    key is hot, up to three where some may be.
     """
+    if share is None:
+        share = min(HOT_SHARE, 1 / _partitions(df))
     counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNotNull())
     heavy = counts.where(F.col("n") > least)
     if heavy.limit(1).count() == 0:
@@ -67,10 +79,20 @@ def _literal(rows: list, names: Sequence[str], types: dict) -> Column:
 def pair_all(left: DataFrame, right: DataFrame, literal_rows: int = LITERAL_ROWS) -> DataFrame:
     """Every row of ``left`` with every row of the short table ``right``.
 
-    Up to ``literal_rows`` rows (of plain columns) are written into the plan and
-    exploded, which moves nothing. A longer table is cut into parts and met by
-    an equi join on (part, salt), so that neither side lands in one task.
+    Only plain columns of ``right`` are paired; arrays, maps and structs are met
+    by an equi join on the plain ones, which must then tell the rows apart. Up to
+    ``literal_rows`` rows are written into the plan and exploded, which moves
+    nothing. A longer table is cut into parts and met by an equi join on (part,
+    salt), so that neither side lands in one task.
     """
+    rich = [f.name for f in right.schema if isinstance(f.dataType, COMPLEX)]
+    if rich:
+        keys = [c for c in right.columns if c not in rich]
+        paired = pair_all(left, right.select(*keys), literal_rows)
+        named = right.select(*[F.col(c).alias(f"_{c}") for c in keys], *rich)
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        met = paired.join(named, same)
+        return met.select(*left.columns, *right.columns)
     plain = right.select(*right.columns)
     types = {field.name: field.dataType for field in right.schema}
     rows = plain.limit(literal_rows + 1).collect()
@@ -80,12 +102,15 @@ def pair_all(left: DataFrame, right: DataFrame, literal_rows: int = LITERAL_ROWS
     if len(rows) <= literal_rows:
         return left.select("*", F.inline(_literal(rows, right.columns, types)))
     parts = -(-right.count() // literal_rows)
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    # As many salts as fill the shuffle partitions, whatever their number.
+    salts = max(SALTS, -(-2 * _partitions(left) // parts))
+    hashed = [f.name for f in left.schema if not isinstance(f.dataType, COMPLEX)]
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
     chosen = F.pmod(F.xxhash64(*right.columns), F.lit(parts)).cast("int")
     many = left.withColumn("_salt", spread).withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     )
     few = plain.withColumn("_part", chosen).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     return many.join(few, ["_part", "_salt"]).drop("_part", "_salt")

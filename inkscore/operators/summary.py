@@ -134,14 +134,31 @@ def incomplete_models(scores: DataFrame, n: int, by: Sequence[str] = ("model",))
     return scores.groupBy(*by).agg(F.count("*").alias("count")).where(F.col("count") != n)
 
 
-def check_complete(scores: DataFrame, n: int, by: Sequence[str] = ("model",)) -> DataFrame:
-    """``scores`` itself, or an error naming groups with more or fewer rows."""
-    bad = [tuple(row) for row in incomplete_models(scores, n, by).take(SHOWN)]
+def check_complete(
+    scores: DataFrame, n: int, by: Sequence[str] = ("model",), groups: int | None = None
+) -> DataFrame:
+    """``scores`` itself, or an error naming groups with more or fewer rows.
+
+    With ``groups``, their number is checked too: a model without any row has no
+    group of its own that could be found wanting.
+    """
+    wrong = incomplete_models(scores, n, by)
+    bad = [tuple(row) for row in wrong.take(SHOWN)]
     if bad:
-        raise ValueError(f"expected {n} records per group but found {bad}")
+        raise ValueError(f"expected {n} records per group but found {named(bad, wrong)}")
+    if groups is not None:
+        there = scores.select(*by).distinct().count()
+        if there != groups:
+            raise ValueError(f"expected {groups} groups of {n} records but found {there}")
     return scores
 
 
+def named(shown: list, all_of: DataFrame) -> str:
+    """The offenders shown, and how many there are if those are not all."""
+    more = "" if len(shown) < SHOWN else f" ({len(shown)} of {all_of.count()})"
+    return f"{shown}{more}"
+
+
 def summarize(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """The summary table of ``scores`` rows that carry ``has_markup, has_render``.
 
@@ -158,10 +175,15 @@ def summarize(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 
 
 def leaderboard(summary: DataFrame, metric: str = "bleu") -> DataFrame:
-    """Models by their mean over successful rows, best first, ties by name."""
+    """Models by their mean over successful rows, best first, ties by name.
+
+    Columns before ``model``, as the run of a summary by run, stay in front and
+    every run is ranked on its own.
+    """
+    lead = summary.columns[: summary.columns.index("model")]
     score = f"{metric}_successful"
-    return summary.select("model", score, "successful_count").orderBy(
-        F.desc_nulls_last(score), "model"
+    return summary.select(*lead, "model", score, "successful_count").orderBy(
+        *lead, F.desc_nulls_last(score), "model"
     )
 
 

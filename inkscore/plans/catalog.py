@@ -34,7 +34,7 @@ from inkscore.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-PICKED = (1, 27, 29, 4, 6, 9, 23, 10_000_000)
+PICKED = (2, 31, 14, 5, 8, 17, 40, 10_000_000)
 IDS = ["gen_id", "tgt_id"]
 
 
@@ -514,6 +514,16 @@ def chart_table(spark, sf_dir):
     return R.chart_table(S.summarize(_rounded_scores(spark, sf_dir)))
 
 
+@query
+def leaderboard_by_run(spark, sf_dir):
+    return S.leaderboard(S.summarize(_rounded_scores(spark, sf_dir), ("run_time", "model")), "bleu")
+
+
+@query
+def chart_table_by_run(spark, sf_dir):
+    return R.chart_table(S.summarize(_rounded_scores(spark, sf_dir), ("run_time", "model")))
+
+
 def _manifest(spark, sf_dir):
     examples = X.eval_examples(spark, sf_dir)
     found = W.for_run(_artifacts(spark, sf_dir), X.RUNS[0])

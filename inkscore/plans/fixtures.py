@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from inkscore.operators.images import pack_rgb
 from inkscore.operators.skew import pair_all
 
-RUNS = ("2024-03-26_21-45-30", "2024-03-27_09-00-00")
+RUNS = ("2025-01-10_08-00-00", "2025-01-11_09-30-00")
 MODELS = ("m_exact", "m_alt", "m_trunc")
 SIDE = 8  # embeddings of 64 values become 8 x 8 rasters
 

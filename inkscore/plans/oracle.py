@@ -305,9 +305,9 @@ _BAD = f"""{EXAMPLES}, bad AS (
   SELECT record, width AS w, height, CASE WHEN record % 13 = 0 THEN '' ELSE completion END AS done,
     CASE WHEN record % 17 <> 0 THEN width END AS width FROM examples),
 checked AS (
-  SELECT *, CASE WHEN done = '' THEN 'Example completion is empty'
+  SELECT *, CASE WHEN done = '' THEN 'no completion'
     WHEN width IS NULL OR height IS NULL
-    THEN 'Invalid image object: missing width/height attributes' END AS error FROM bad)"""
+    THEN 'image without width or height' END AS error FROM bad)"""
 
 _PICK = ", ".join(str(i) for i in PICKED)
 _PICK_ROWS = ", ".join(f"({row}, {record})" for row, record in enumerate(PICKED))
@@ -478,6 +478,12 @@ ORACLE: dict[str, str] = {
         SELECT model, 0 AS pos, 'bleu' AS metric, bleu AS value FROM summary
         UNION ALL SELECT model, 1, 'structural', structural FROM summary
         UNION ALL SELECT model, 2, 'pixel', pixel FROM summary""",
+    "leaderboard_by_run": f"""WITH {ROUNDED}, {_summary('rounded', 'run_time, model')}
+        SELECT run_time, model, bleu_successful, successful_count FROM summary""",
+    "chart_table_by_run": f"""WITH {ROUNDED}, {_summary('rounded', 'run_time, model')}
+        SELECT run_time, model, 0 AS pos, 'bleu' AS metric, bleu AS value FROM summary
+        UNION ALL SELECT run_time, model, 1, 'structural', structural FROM summary
+        UNION ALL SELECT run_time, model, 2, 'pixel', pixel FROM summary""",
     "comparison_manifest": f"WITH {_MANIFEST} SELECT * FROM manifest",
     "comparison_pivot": f"""WITH {_MANIFEST} SELECT row, record, {", ".join(
         f"max(status) FILTER (WHERE model = {_q(m)}) AS {m}" for m in ("target", *MODELS)

@@ -10,6 +10,7 @@ from inkscore.functions.text import tokenize_13a
 from inkscore.operators.bleu import bleu
 from inkscore.operators.grid import METRICS, complete_grid, pair_candidates
 from inkscore.operators.images import image_similarity_packed
+from inkscore.operators.rows import require_unique
 from inkscore.operators.skew import hot_keys, salted_join
 from inkscore.operators.summary import round_scores, summarize
 
@@ -23,11 +24,13 @@ def score(
     mode: str = "wrap",
     bleu_method: str = "rows",
     partitions: int | None = None,
+    check_unique: bool = False,
 ) -> DataFrame:
     """Score rows of every (run, model) present and every record of ``examples``.
 
     ``artifacts``: run_time, model, record, markup, has_markup, has_render, with
-    one row per (run_time, model, record). ``gen_images``: packed ``image`` by
+    one row per (run_time, model, record); ``check_unique`` makes sure of that at
+    the cost of a pass over the keys. ``gen_images``: packed ``image`` by
     record and, where the drawings differ, by model and run_time as well.
     ``tgt_images``: record, packed ``image``.
 
@@ -37,6 +40,8 @@ def score(
     The scores are rounded to three significant figures.
     """
     keys = ["run_time", "model", "record"]
+    if check_unique:
+        require_unique(artifacts, keys)
     flags = ["has_markup", "has_render"]
     hot = hot_keys(artifacts, "record")
     usable = F.col("has_markup") & F.col("has_render")

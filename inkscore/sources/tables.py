@@ -52,11 +52,10 @@ def write_artifacts(df: DataFrame, path: str) -> None:
     """Markup and flags per run, model and record, one folder per run and model.
 
     Writing a run and model again replaces its folder and leaves the others. The
-    rows are hashed on the record as well, so a run or model that holds most of
-    the rows is written by many tasks.
+    rows are rebalanced by run and model: one that holds most of the rows is
+    split over as many tasks as its size asks for.
     """
-    spread = F.pmod(F.xxhash64("record"), F.lit(64))
-    laid_out = df.repartition("run_time", "model", spread)
+    laid_out = df.hint("rebalance", F.col("run_time"), F.col("model"))
     writer = laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("run_time", "model").parquet(path)
 
@@ -69,22 +68,48 @@ def read_artifacts(spark: SparkSession, path: str, run_time: str | None = None)
     return for_run(spark.read.schema(schema).parquet(path), run_time)
 
 
+def _write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def _read_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """A CSV table of these columns, with a leading ``run_time`` where its header has one.
+
+    The header decides, and a header that names other columns raises.
+    """
+    options = {"header": True, "enforceSchema": False}
+    found = spark.read.option("header", True).csv(path).columns
+    lead = "run_time STRING, " if "run_time" in found else ""
+    schema = T.StructType.fromDDL(lead + columns)
+    if found and found != schema.names:
+        raise ValueError(f"columns {found} in {path}; expected {schema.names}")
+    return spark.read.schema(schema).options(**options).csv(path)
+
+
 def write_scores(df: DataFrame, path: str) -> None:
     """Per-record scores as CSV with a header, in model and record order."""
     lead = [c for c in ("run_time",) if c in df.columns]
     ordered = df.select(*lead, "record", "model", "bleu", "structural", "pixel")
-    ordered = ordered.orderBy(*lead, "model", "record")
-    ordered.write.mode("overwrite").option("header", True).csv(path)
+    _write_csv(ordered.orderBy(*lead, "model", "record"), path)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCORE_SCHEMA).option("header", True).csv(path)
+    return _read_csv(spark, path, SCORE_SCHEMA)
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    """The summary as CSV with a header, one row per model."""
-    df.orderBy("model").write.mode("overwrite").option("header", True).csv(path)
+    """The summary as CSV with a header, one row per model, or per run and model."""
+    lead = [c for c in ("run_time",) if c in df.columns]
+    _write_csv(df.orderBy(*lead, "model"), path)
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SUMMARY_SCHEMA).option("header", True).csv(path)
+    return _read_csv(spark, path, SUMMARY_SCHEMA)
+
+
+def append_raw_csv(df: DataFrame, path: str, run_time: str) -> None:
+    """Append one run's responses to a CSV log; an error stands in for its response."""
+    response = F.coalesce("response", "error").alias("response")
+    stamped = df.select("record", "model", response, F.lit(run_time).alias("run_time"))
+    options = {"header": True, "quote": '"', "escape": '"'}
+    stamped.write.mode("append").options(**options).csv(path)

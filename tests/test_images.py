@@ -179,3 +179,29 @@ def test_scan_artifacts(spark, tmp_path):
         file.write_text("x")
     rows = {(r.model, r.record): (r.has_markup, r.has_render) for r in scan_artifacts(spark, str(tmp_path)).collect()}
     assert rows == {("m1", 0): (True, True), ("m1", 1): (True, False), ("m two", 2): (False, True)}
+
+
+def test_holes_and_unequal_sizes_are_not_compared(spark):
+    """An image with a missing column or pixel, or of another size, has no score of its own."""
+    def table(image_id, height, width, skip=()):
+        return [
+            (image_id, y, x, c, (7 * y + 11 * x + 5 * c + image_id) % 256)
+            for y in range(height)
+            for x in range(width)
+            for c in range(3)
+            if (y, x) not in skip
+        ]
+
+    schema = "image_id long, y int, x int, c int, v int"
+    column = {(y, 5) for y in range(12)}
+    rows = table(1, 12, 12) + table(2, 12, 12, column) + table(3, 12, 12, {(4, 4)}) + table(4, 8, 9)
+    pixels = spark.createDataFrame(rows, schema)
+    pairs = spark.createDataFrame([(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3)], "gen_id long, tgt_id long")
+    scores = {(r.gen_id, r.tgt_id): (r.structural, r.pixel) for r in P.image_similarity(pixels, pixels, pairs).collect()}
+    assert scores[1, 1] == (1.0, 1.0)
+    assert scores[4, 1] != (0.0, 0.0)  # complete, and resampled to the target
+    assert all(scores[p] == (0.0, 0.0) for p in scores if {2, 3} & set(p))
+    side = P.pair_pixels(pixels, pixels, pairs)
+    assert {tuple(r) for r in side.select("gen_id", "tgt_id").distinct().collect()} == {(1, 1)}
+    holed = side.where("x <> 5")
+    assert P.ssim(holed, ["gen_id", "tgt_id"]).collect() == []

@@ -74,6 +74,67 @@ def test_score_files(spark, tmp_path):
     assert back.columns == list(S.SUMMARY_COLUMNS) and data(back) == data(summary)
 
 
+def test_score_files_keep_the_run(spark, tmp_path):
+    rows = [("r2", 1, "b", 0.5, 0.25, 1.0), ("r1", 0, "a", 0.125, 0.5, 0.0)]
+    scores = spark.createDataFrame(rows, "run_time STRING, " + T.SCORE_SCHEMA)
+    T.write_scores(scores, str(tmp_path / "scores"))
+    back = T.read_scores(spark, str(tmp_path / "scores"))
+    assert back.columns == scores.columns and data(back) == data(scores)
+    flags = scores.withColumns({"has_markup": F.lit(True), "has_render": F.lit(True)})
+    summary = S.summarize(flags, ("run_time", "model"))
+    T.write_summary(summary, str(tmp_path / "summary"))
+    back = T.read_summary(spark, str(tmp_path / "summary"))
+    assert back.columns == summary.columns and data(back) == data(summary)
+    assert S.leaderboard(back).columns[:2] == ["run_time", "model"]
+    with pytest.raises(ValueError, match="expected"):
+        T.read_summary(spark, str(tmp_path / "scores"))
+
+
+def test_csv_log_round_trip(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [(1, "m", 'a "b",\n<svg/>', None), (2, "m", None, "too slow")],
+        "record long, model string, response string, error string",
+    )
+    T.append_raw_csv(raw, str(tmp_path / "log"), "r1")
+    T.append_raw_csv(raw, str(tmp_path / "log"), "r2")
+    found = {(r.run_time, r.record): r.response for r in T.read_raw_csv(spark, str(tmp_path / "log")).collect()}
+    texts = {1: 'a "b",\n<svg/>', 2: "too slow"}
+    assert found == {(t, i): texts[i] for t in ("r1", "r2") for i in texts}
+
+
+def test_usable_targets_and_unique_keys(spark):
+    records = spark.range(4).withColumnRenamed("id", "record")
+    targets = spark.createDataFrame(
+        [(0, "x", True), (1, None, True), (2, " ", True), (3, "y", False)],
+        "record long, completion string, has_render boolean",
+    )
+    assert sorted(r[0] for r in W.missing_targets(records, targets).collect()) == [1, 2, 3]
+    assert [r[0] for r in W.missing_targets(records, targets, needs=[]).collect()] == []
+    with pytest.raises(ValueError, match="20 of 100"):
+        W.require_targets(spark.range(100).withColumnRenamed("id", "record"), targets.limit(0))
+    twice = spark.createDataFrame([("r", "m", 1), ("r", "m", 1)], "run_time string, model string, record long")
+    with pytest.raises(ValueError, match="more than one row"):
+        W.require_unique(twice, twice.columns)
+    scores = spark.createDataFrame([("a", 1)], "model string, record long")
+    with pytest.raises(ValueError, match="2 groups"):
+        S.check_complete(scores, 1, groups=2)
+
+
+def test_pairing_keeps_every_type(spark):
+    right = spark.sql(
+        "SELECT 'm' AS model, map('k', 1) AS params, struct(1 AS a) AS s, array(2) AS l,"
+        " CAST(1.5 AS DECIMAL(5,2)) AS d, TIMESTAMP '2025-01-01' AS t, X'01' AS b, CAST(NULL AS INT) AS z"
+        " UNION ALL SELECT 'n', NULL, NULL, NULL, NULL, NULL, NULL, 3"
+    )
+    left = spark.range(3).withColumn("m", F.create_map(F.lit("x"), F.col("id")))
+    for limit in (1000, 1):
+        rows = pair_all(left, right, limit).collect()
+        assert len(rows) == 6
+        assert {(r.id, r.model, str(r.params), r.z) for r in rows} == {
+            (i, *rest) for i in range(3) for rest in (("m", "{'k': 1}", None), ("n", "None", 3))
+        }
+
+
 # rows
 
 
@@ -95,8 +156,8 @@ def test_gates(spark):
     with pytest.raises(ValueError, match="missing columns"):
         W.require_examples(df.drop("width"))
     errors = {r.record: r.error for r in W.validate_examples(df).collect()}
-    assert errors[0] is None and "empty" in errors[1] and "width" in errors[2]
-    assert W.require_targets(df, df) is df
+    assert errors[0] is None and "completion" in errors[1] and "width" in errors[2]
+    assert W.require_targets(df, df, needs=[]) is df
     with pytest.raises(ValueError, match=r"\[1, 2\]"):
         W.require_targets(df, df.limit(1))
     assert [r.record for r in W.missing_ids(df, [0, 7]).collect()] == [7]
@@ -109,13 +170,13 @@ def test_gates(spark):
 
 def test_prompt(spark):
     df = spark.createDataFrame(
-        [(0, "base64data", 100, 200, '<svg><i h="data:image/png;base64,A"/><i h="data:image/jpeg;base64,B"/></svg>'), (1, "data:image/png;base64,Z", 1, 2, "<svg/>")],
+        [(0, "cGl4ZWxz", 100, 200, '<svg><i h="data:image/png;base64,A"/><i h="data:image/jpeg;base64,B"/></svg>'), (1, "data:image/png;base64,Z", 1, 2, "<svg/>")],
         "record long, image string, width int, height int, completion string",
     )
     rows = {r.record: r.prompt for r in Q.build_prompt(df).collect()}
     assert len(rows[0]) == 6 and len(rows[1]) == 2
     assert rows[0][0].text == "Write SVG code to recreate this 100 x 200 px design."
-    assert rows[0][1].image_url.url == "data:image/png;base64,base64data"
+    assert rows[0][1].image_url.url == "data:image/png;base64,cGl4ZWxz"
     assert rows[0][4].text == "Image asset href='cdn://2.jpg'"
     assert rows[0][5].image_url.url == "data:image/jpeg;base64,B"
     assert rows[1][1].image_url.url == "data:image/png;base64,Z"
@@ -142,6 +203,15 @@ def test_infer(spark):
     assert len(rows) == 20
     assert rows[5].error == "bad 5" and rows[5].response is None
     assert rows[1].error == "skip" and rows[2].response == "<svg>p</svg>"
+    odd = {0: {"a": 1}, 1: 5, 2: None, 3: "text"}
+    found = {r.record: r for r in N.infer(work.drop("error").where("record < 5"), lambda r: odd[r["record"]]).collect()}
+    assert found[3].response == "text" and found[2].response is found[2].error is None
+    assert all(found[i].response is None and "no text" in found[i].error for i in (0, 1))
+    assert found[4].error  # the function raised a KeyError
+    two = work.drop("error").withColumn("model", F.when(F.col("record") < 3, "a").otherwise("b"))
+    by = N.infer(two, {"a": lambda r: "from a"}, parallel={"a": 1}).collect()
+    assert len(by) == 20 and {r.response for r in by if r.model == "a"} == {"from a"}
+    assert all(r.error for r in by if r.model == "b")
     serial = N.infer(work.drop("error"), counting, setup=list, parallel=1).collect()
     assert sorted(int(r.response) for r in serial) == list(range(1, 21))  # one instance for all
 
