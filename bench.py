@@ -21,7 +21,6 @@ from inkscore.plans.catalog import QUERIES  # noqa: E402
 
 HEADLINE = (
     "bleu_documents",
-    "bleu_documents_grams",
     "bleu_pages",
     "bleu_outputs",
     "ngram_counts",

@@ -174,7 +174,7 @@ def bleu(
 
     ``method="rows"`` counts inside each row in Arrow batches: the texts stay
     where the join left them (or are spread over ``partitions`` tasks) and a task
-    holds one pair at a time. ``method="grams"`` is the same score as grouped
+    holds one batch of pairs at a time. ``method="grams"`` is the same score as grouped
     aggregations inside the JVM; its hash tables hold every gram of a task, which
     is many times the text and spills on long inputs.
     """
@@ -211,13 +211,21 @@ def _pair_bleu(cand: list[str], ref: list[str], max_n: int) -> float:
 def _bleu_rows(
     pairs: DataFrame, keys: Sequence[str], cand: str, ref: str, max_n: int
 ) -> DataFrame:
+    def of(side) -> list[str]:
+        return side.split() if isinstance(side, str) else list(side)
+
     @F.pandas_udf("double")
     def score(ours: pd.Series, theirs: pd.Series) -> pd.Series:
         return pd.Series(
-            [_pair_bleu(a.split(), b.split(), max_n) for a, b in zip(ours, theirs)],
-            dtype="float64",
+            [_pair_bleu(of(a), of(b), max_n) for a, b in zip(ours, theirs)], dtype="float64"
         )
 
+    def sent(name: str, tokens: str) -> Column:
+        # Tokens made from a text hold no space, so one string carries them; a
+        # given array may hold anything and goes as it is.
+        given = isinstance(pairs.schema[name].dataType, T.ArrayType)
+        return F.col(tokens) if given else F.array_join(tokens, " ")
+
     tokens = pairs.select(
         *keys, _tokens(pairs, cand).alias("c"), _tokens(pairs, ref).alias("r")
     )
@@ -225,5 +233,5 @@ def _bleu_rows(
         *keys,
         F.size("c").alias("len_c"),
         F.size("r").alias("len_r"),
-        score(F.array_join("c", " "), F.array_join("r", " ")).alias("bleu"),
+        score(sent(cand, "c"), sent(ref, "r")).alias("bleu"),
     )

@@ -189,3 +189,15 @@ def test_steady_sum(spark):
         df = spark.createDataFrame(rows, "g int, v double").repartition(5 + seed)
         for row in df.groupBy("g").agg(steady_sum(F.col("v")).alias("m")).collect():
             assert row.m == expected[row.g]
+
+
+def test_bleu_of_given_tokens(spark):
+    """Tokens with spaces and empty ones are the same for both methods."""
+    rows = [
+        (1, ["a b", "c", "d", "e f"], ["a", "b c", "d", "e f"]),
+        (2, ["a b", "", "d", "e f", "g"], ["a b", "", "d", "e f", "g"]),
+        (3, [], ["a"]),
+    ]
+    df = spark.createDataFrame(rows, "k long, cand array<string>, ref array<string>")
+    found = [{r.k: r.bleu for r in bleu(df, ["k"], method=m).collect()} for m in ("rows", "grams")]
+    assert found[0] == pytest.approx(found[1]) and found[0] == pytest.approx({1: 0.0, 2: 1.0, 3: 0.0})
