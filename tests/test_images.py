@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from inkscore.operators import images as I
 from inkscore.operators import pixels as P
-from inkscore.sources.files import read_images, read_images_packed, scan_artifacts
+from inkscore.plans.scoring import score
+from inkscore.sources.files import (
+    read_artifact_tree,
+    read_images,
+    read_images_packed,
+    scan_artifacts,
+)
 
 IDS = ["gen_id", "tgt_id"]
 
@@ -205,3 +211,27 @@ def test_holes_and_unequal_sizes_are_not_compared(spark):
     assert {tuple(r) for r in side.select("gen_id", "tgt_id").distinct().collect()} == {(1, 1)}
     holed = side.where("x <> 5")
     assert P.ssim(holed, ["gen_id", "tgt_id"]).collect() == []
+
+
+def test_artifact_tree_to_scores(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    same, other = rng.integers(0, 256, (9, 8, 3)), rng.integers(0, 256, (9, 8, 3))
+    for name in ("m1", "m two"):
+        (tmp_path / name).mkdir()
+        png(tmp_path / name / "0_target.png", same)
+        png(tmp_path / name / "1_target.png", same)
+    text = "<svg a b c d e f/>"
+    for name, markup, image in (("m1/0", text, same), ("m1/1", None, same), ("m two/0", text, other), ("m two/1", text, None)):
+        if markup:
+            (tmp_path / f"{name}.svg").write_text(markup)
+        if image is not None:
+            png(tmp_path / f"{name}.png", image)
+    (tmp_path / "m1" / "notes.txt").write_text("x")
+    artifacts, generated, target = read_artifact_tree(spark, str(tmp_path), "r")
+    assert artifacts.count() == 4 and generated.count() == 3 and target.count() == 2
+    examples = spark.createDataFrame([(0, text), (1, text)], "record long, completion string")
+    rows = {(r.model, r.record): r for r in score(artifacts, examples, generated, target, check_unique=True).collect()}
+    assert (rows["m1", 0].bleu, rows["m1", 0].structural, rows["m1", 0].pixel) == (1, 1, 1)
+    assert rows["m two", 0].bleu == 1 and rows["m two", 0].pixel < 1
+    for key in (("m1", 1), ("m two", 1)):
+        assert (rows[key].bleu, rows[key].structural, rows[key].pixel) == (0, 0, 0)
