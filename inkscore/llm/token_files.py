@@ -102,14 +102,17 @@ class TokenFile:
         self.batches = list(pa.ipc.open_stream(self.source))
         self.sequence = self.batches[0].schema.field("ids").type.list_size if self.batches else 0
         self.block = self.batches[0].num_rows * self.sequence if self.batches else 0
+        self.at, self.last = -1, None
 
     def sequences(self, batch: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of a batch, one row a sequence; the ids are a view."""
-        own = self.batches[batch]
-        shape = (own.num_rows, self.sequence)
-        ids = own.column("ids").flatten().to_numpy(zero_copy_only=True)
-        mask = own.column("mask").flatten().to_numpy(zero_copy_only=False)
-        return ids.reshape(shape), mask.reshape(shape)
+        if batch != self.at:
+            own = self.batches[batch]
+            shape = (own.num_rows, self.sequence)
+            ids = own.column("ids").flatten().to_numpy(zero_copy_only=True)
+            mask = own.column("mask").flatten().to_numpy(zero_copy_only=False)
+            self.at, self.last = batch, (ids.reshape(shape), mask.reshape(shape))
+        return self.last
 
     def tokens(self, at: int, count: int) -> np.ndarray:
         """``count`` ids from place ``at`` of the file."""
@@ -193,8 +196,12 @@ def read_tokens(index: DataFrame, folder: str) -> DataFrame:
     sizes = index.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    placed = index.join(first, "file").select(
-        "doc_id", (F.col("_first") + F.col("at")).alias("start"), "file", "at", "n_tokens"
+    files = max(1, sizes.count())
+    placed = (
+        index.join(first, "file")
+        .select("doc_id", (F.col("_first") + F.col("at")).alias("start"), "file", "at", "n_tokens")
+        .repartition(files, "file")
+        .sortWithinPartitions("file", "at")
     )
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
