@@ -33,7 +33,7 @@ ORDER = 2
 LEAST_COUNT = 2
 BITS_PER_ITEM = 10
 PROBES = 6
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 8_000_000
 SLICE_BYTES = 64_000_000
 BEGIN, END = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 STEP = np.uint64(0xE7037ED1A0B428DB)
