@@ -231,8 +231,12 @@ def first_of_each(
     A null id is larger than any other; of rows with that id the one with the least
     hash of its text stays, and of rows that share both any one.
     """
+    return first_rows(docs, _grouped(docs, shingle, radius, together))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The first row of each ``label``; ``found`` has doc_id and text_hash of each row."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    found = _grouped(docs, shingle, radius, together)
     chosen = found.groupBy("label").agg(F.min(order).alias("c")).select(
         F.col("c.doc_id").alias("_doc"), F.col("c.text_hash").alias("_hash")
     )
