@@ -29,7 +29,8 @@ def op1_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bloom_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    """Every n-gram of up to three tokens counts, also one found once."""
+    return score_texts(table(spark, sf_dir, "documents"), order=3, least=1)
 
 
 def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,44 @@ def test_scores_query(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def slow_model(rows, order):
+    """Mean log10 a held-out token, from counts of all n-grams, also those found once."""
+    own = [(fold(d, 7) == 2, [*lowered(t).encode().split(), None]) for d, t in rows]
+    grams = [Counter() for _ in range(order + 1)]
+    for held, tokens in own:
+        padded = [0, *tokens]
+        for n in range(1, order + 1):
+            low = 1 if n == 1 else 0
+            grams[n].update(() if held else (tuple(padded[i : i + n]) for i in range(low, len(padded) - n + 1)))
+    documents, total = sum(not held for held, _ in own), grams[1].total() + len(grams[1]) + 1
+    weight = [sum(c for c in g.values() if c > 1) / max(1, g.total()) for g in grams]
+    floor = [Counter({k: 2 ** int(math.log2(c)) for k, c in g.items()}) for g in grams]
+    score = n_tokens = 0
+    for _, tokens in (x for x in own if x[0]):
+        padded = [0, *tokens]
+        for i in range(1, len(padded)):
+            chance = (grams[1][(padded[i],)] + 1) / total
+            for n in range(2, order + 1):
+                if i - n + 1 < 0:
+                    break
+                before = tuple(padded[i - n + 1 : i])
+                context = documents if before == (0,) else (grams if n == 2 else floor)[n - 1][before]
+                seen = min(floor[n][(*before, padded[i])], context)
+                if context:
+                    chance = weight[n] * seen / context + (1 - weight[n]) * chance
+            score, n_tokens = score + math.log10(chance), n_tokens + 1
+    return score / n_tokens
+
+
+def test_scores_query_counts_trigrams_and_what_is_found_once(spark):
+    found = driver.queries()["op2_bloom_ngram_lm"](spark, NEARLY).where("held_out").collect()
+    own = sum(r["score"] for r in found) / sum(r["n_tokens"] for r in found)
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark, NEARLY).collect()]
+    # The filter takes about one unseen n-gram of a hundred for a seen one.
+    assert abs(own - slow_model(rows, 3)) < 0.05
+    assert own > slow_model(rows, 2) + 0.1
+
+
 def lowered(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text)
 
