@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, in_batches, with_column
+from .shared import free_name, in_batches, settle, with_column
 
 WORD = re.compile(r"[^\W_]+")
 ERROR_RATE = 0.2
@@ -138,9 +138,9 @@ def contaminated(
     """
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
-    for shared in _blocks(benchmark, block_bytes):
+    for items in _blocks(benchmark, block_bytes):
         own = plain.mapInArrow(
-            in_batches(_finder(shared, rate)),
+            in_batches(_finder(_shared(items), rate)),
             "doc_id long, item_id long, distance int, item_words int, end_word int",
         )
         found = own if found is None else found.unionByName(own)
@@ -153,28 +153,38 @@ def without_items(
     rate: float = ERROR_RATE,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows, all columns, in which :func:`contaminated` finds nothing."""
+    """The rows, all columns, in which :func:`contaminated` finds nothing.
+
+    With several blocks of items, the rows are settled after each but the last, so
+    that a task, and the driver, holds one block.
+    """
     kept = docs
-    for shared in _blocks(benchmark, block_bytes):
+    blocks = _blocks(benchmark, block_bytes)
+    for n, items in enumerate(blocks, 1):
+        shared = _shared(items)
         name = free_name(docs, "holds_item")
         marked = with_column(kept, name, T.BooleanType(), _marker(shared, rate))
         kept = marked.where(~F.col(f"`{name}`")).select(*docs.columns)
+        if n < len(blocks):
+            kept = settle(kept, "clean")
+            shared.destroy()
     return kept
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
-    """The items in broadcasts of about ``block_bytes`` of text."""
+def _shared(items: DataFrame):
+    rows = [(r["item_id"], r["text"]) for r in items.collect()]
+    return items.sparkSession.sparkContext.broadcast(rows)
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The items in tables of about ``block_bytes`` of text."""
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     ).where(F.length("text") > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    made = []
-    for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = [(r["item_id"], r["text"]) for r in mine.collect()]
-        made.append(benchmark.sparkSession.sparkContext.broadcast(rows))
-    return made
+    dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    return [items.where(dealt == block) for block in range(blocks)]
 
 
 class _Lazy:

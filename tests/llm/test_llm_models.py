@@ -35,6 +35,10 @@ def documents(spark, sf_dir=SF_DIR):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def stages_of_python(table):
+    return table._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
 # Language
 
 
@@ -163,6 +167,15 @@ def test_contamination_of_odd_documents(spark):
     assert contaminated(docs(spark), items.limit(0)).collect() == []
 
 
+def test_a_task_holds_one_block_of_the_benchmark(spark):
+    items = spark.createDataFrame([(i, f"item{i} of the benchmark number{i}") for i in range(9)], "item_id long, text string")
+    rows = [(i, f"before item{i} of the benchmark number{i} after") for i in range(7)] + [(8, "clean")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = without_items(table, items, block_bytes=60)
+    assert stages_of_python(kept) == 1
+    assert [tuple(r) for r in kept.collect()] == [(8, "clean")]
+
+
 # Language model
 
 
