@@ -9,12 +9,13 @@ algorithm takes the distance of the item around each hit.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,14 +138,18 @@ def contaminated(
     a worker holds does not grow with the benchmark.
     """
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = None
-    for items in _blocks(benchmark, block_bytes):
-        own = plain.mapInArrow(
-            in_batches(_finder(_shared(items), rate)),
-            "doc_id long, item_id long, distance int, item_words int, end_word int",
-        )
-        found = own if found is None else found.unionByName(own)
-    return found
+    schema = "doc_id long, item_id long, distance int, item_words int, end_word int"
+    blocks = _blocks(benchmark, block_bytes)
+    found = []
+    for items in blocks:
+        shared = _shared(items)
+        own = plain.mapInArrow(in_batches(_finder(shared, rate)), schema)
+        if len(blocks) > 1:
+            # One block at a time is in the driver and in the workers.
+            own = settle(own, "contaminated")
+            shared.destroy()
+        found.append(own)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def without_items(
@@ -155,20 +160,31 @@ def without_items(
 ) -> DataFrame:
     """The rows, all columns, in which :func:`contaminated` finds nothing.
 
-    With several blocks of items, the rows are settled after each but the last, so
-    that a task, and the driver, holds one block.
+    A single block of items filters the rows where they are. With several, each
+    block settles the keys of the rows it is found in, and the rows whose key is
+    among them go in the end: no copy of the documents is made in between.
     """
-    kept = docs
     blocks = _blocks(benchmark, block_bytes)
-    for n, items in enumerate(blocks, 1):
+    name = free_name(docs, "holds_item")
+    if len(blocks) == 1:
+        marked = with_column(docs, name, T.BooleanType(), _marker(_shared(blocks[0]), rate))
+        return marked.where(~F.col(f"`{name}`")).select(*docs.columns)
+    keyed = docs.select(*_keys(), F.col("text").cast("string").alias("text"))
+    hits = []
+    for items in blocks:
         shared = _shared(items)
-        name = free_name(docs, "holds_item")
-        marked = with_column(kept, name, T.BooleanType(), _marker(shared, rate))
-        kept = marked.where(~F.col(f"`{name}`")).select(*docs.columns)
-        if n < len(blocks):
-            kept = settle(kept, "clean")
-            shared.destroy()
-    return kept
+        marked = with_column(keyed, name, T.BooleanType(), _marker(shared, rate))
+        hits.append(settle(marked.where(F.col(name)).select("_one", "_two"), "hits"))
+        shared.destroy()
+    found = functools.reduce(DataFrame.unionByName, hits).distinct()
+    one, two = _keys()
+    return docs.join(found, (one == found["_one"]) & (two == found["_two"]), "left_anti")
+
+
+def _keys() -> tuple[Column, Column]:
+    """128 bits of a row's id and text, on which the verdict depends."""
+    row = (F.col("doc_id").cast("string"), F.lit("of"), F.col("text").cast("string"))
+    return F.xxhash64(*row).alias("_one"), F.xxhash64(F.lit("other"), *row).alias("_two")
 
 
 def _shared(items: DataFrame):
@@ -177,14 +193,18 @@ def _shared(items: DataFrame):
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The items in tables of about ``block_bytes`` of text."""
+    """The items in tables of about ``block_bytes`` of text; none is empty, but for
+    the only one of an empty benchmark."""
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     ).where(F.length("text") > 0)
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    size, rows = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    blocks = min(-(-(size or 0) // block_bytes), rows)
+    if blocks <= 1:
+        return [items]
     dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [items.where(dealt == block) for block in range(blocks)]
+    held = sorted(row[0] for row in items.select(dealt).distinct().collect())
+    return [items.where(dealt == block) for block in held]
 
 
 class _Lazy:

@@ -203,6 +203,8 @@ def _counts(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict[int
         steps = F.array(*[F.lit(c) for c in cuts[f]])
         return F.size(F.filter(steps, lambda c: c < value))
 
+    if not any(cuts.values()):
+        return {}
     binned = F.array(
         *[F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in FEATURES if cuts[f]]
     )
