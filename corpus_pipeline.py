@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkscore.llm.decontaminate import without_items
 from inkscore.llm.language import of_known_language
-from inkscore.llm.nearcopies import first_of_near
+from inkscore.llm.neardup import first_of_each
 from inkscore.llm.packing import pack_documents
 from inkscore.llm.shared import settle
 from inkscore.llm.spans import with_repeats_removed
@@ -28,9 +28,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: of those that pairs with 0.8
-    or more of their five-word shingles in common join."""
-    return first_of_near(docs)
+    """One document of each group of near copies stays: of those that SimHash
+    fingerprints of three-word shingles with three or fewer differing bits join."""
+    return first_of_each(docs, shingle=3, radius=3)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
