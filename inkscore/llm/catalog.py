@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .jaccard import link_documents
 from .language import identify
 from .neardup import near_duplicates
 from .ngram_lm import score_texts
@@ -70,6 +71,10 @@ def op10_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", kept_sha256)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 QUERIES = {
     "op1_byte_gru_language": op1_byte_gru_language,
     "op2_bloom_ngram_lm": op2_bloom_ngram_lm,
@@ -81,7 +86,9 @@ QUERIES = {
     "op8_weak_supervision_toxicity": op8_weak_supervision_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_de_bruijn_spans": op10_de_bruijn_spans,
+    "op11_jaccard_join": op11_jaccard_join,
 }
+
 SPANS_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -104,4 +111,31 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
-ORACLE: dict[str, str] = {"op10_de_bruijn_spans": SPANS_SQL}
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+    FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+  FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+  WHERE 100 * i >= 85 * (x.n + y.n - i)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION
+  SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) AS c ON c.a = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op10_de_bruijn_spans": SPANS_SQL, "op11_jaccard_join": JACCARD_SQL}

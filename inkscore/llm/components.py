@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import free, settle
 
 
 def _least_of_each(pairs: DataFrame) -> DataFrame:
@@ -45,7 +45,8 @@ def components(links: DataFrame) -> DataFrame:
             F.col("lo").alias("hi"), F.col("least").alias("lo")
         )
         kept = joined.select("hi", F.col("least").alias("lo"))
-        pairs = settle(moved.union(kept).distinct(), "links")
+        before, pairs = pairs, settle(moved.union(kept).distinct(), "links")
+        free(before)
         now = mark(pairs)
         if now == seen:
             break

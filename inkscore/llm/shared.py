@@ -30,7 +30,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs no recomputation of what came before."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.settled_at = path
+    return read
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes settled tables that nothing will read again."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(id_column: str, folds: int) -> Column:
