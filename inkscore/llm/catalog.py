@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens
+from .collocations import mine_collocations
 from .decontaminate import contaminated
 from .jaccard import link_documents
 from .language import identify
@@ -19,6 +21,7 @@ from .toxicity import score_toxicity
 from .wordpiece import count_pieces
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +78,14 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op12_itemset_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES = {
     "op1_byte_gru_language": op1_byte_gru_language,
     "op2_bloom_ngram_lm": op2_bloom_ngram_lm,
@@ -87,6 +98,8 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_de_bruijn_spans": op10_de_bruijn_spans,
     "op11_jaccard_join": op11_jaccard_join,
+    "op12_itemset_collocations": op12_itemset_collocations,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SPANS_SQL = r"""
@@ -138,4 +151,50 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id
 JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) AS c ON c.a = d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op10_de_bruijn_spans": SPANS_SQL, "op11_jaccard_join": JACCARD_SQL}
+COLLOCATIONS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM d
+), g AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+  UNION ALL
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))
+  FROM w, (VALUES (2), (3)) AS t(k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE k >= 2 AND f >= 10
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, x.cut, l.f AS l, r.f AS r,
+         (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM c JOIN (VALUES (1), (2)) AS x(cut) ON x.cut < c.k
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.p[1:x.cut], ' ')
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.p[x.cut + 1:c.k], ' ')
+), s AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), h AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, a, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS phrase FROM c WHERE k = 3
+  ) GROUP BY lang, phrase
+), o AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM s LEFT JOIN h ON h.lang = s.lang AND h.phrase = s.phrase
+  WHERE h.most IS NULL OR 100 * h.most < 50 * s.a
+)
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {
+    "op10_de_bruijn_spans": SPANS_SQL,
+    "op11_jaccard_join": JACCARD_SQL,
+    "op12_itemset_collocations": COLLOCATIONS_SQL,
+}
