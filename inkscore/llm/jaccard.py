@@ -43,6 +43,9 @@ SKETCH_BITS, WIDE_BITS = 1024, 4096
 # Pairs that a row of a list may yield in the first round that is no forest.
 PAIRS = 64
 WORDS_AT_ONCE = 400_000
+# Sets that a task remembers having sent, and bits of the sieve for texts.
+SEEN = 500_000
+SIEVE_BITS = 1 << 24
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LANES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -159,16 +162,7 @@ def entries(tokens: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.nda
     return tuple(np.concatenate(c) for c in zip(*made))
 
 
-def _list_array(row: np.ndarray, values: np.ndarray, rows: int, kind: pa.DataType) -> pa.Array:
-    """``values`` as one list for each row; ``row`` is sorted."""
-    offsets = np.append(0, np.cumsum(np.bincount(row, minlength=rows))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind.to_pandas_dtype()), kind))
-
-
-PREPARED = (
-    "doc_id long, t1 long, t2 long, n long, c1 long, c2 long, need int, m int, d int,"
-    " keys array<long>, codes array<int>"
-)
+PREPARED = "doc_id long, t1 long, t2 long, n long, node long, need int, m int, d int"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -182,54 +176,129 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def contents(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each set, by which equal ones are one node."""
+    total = np.zeros(len(n), np.uint64)
+    np.add.at(total, np.repeat(np.arange(len(n)), n), mix(tokens ^ LANES[1]))
+    return mix(total + n.astype(np.uint64))
+
+
 def _prepare(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """Each row's number of shingles, the hashes of its set, and its index entries."""
+    """Each row's number of shingles, its node, and what its band asks of it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for part in _chunks(texts):
                 tokens, n = shingles(texts[part], size)
-                rows = len(n)
-                owner = np.repeat(np.arange(rows), n)
-                content = []
-                for lane in LANES:
-                    total = np.zeros(rows, np.uint64)
-                    np.add.at(total, owner, mix(tokens ^ mix(np.array([lane]))))
-                    content.append(pa.array(mix(total).view(np.int64)))
                 band = bands.of(np.maximum(n, 1))
                 need = bands.most(n, np.minimum(bands.high[band], bands.reach(n))) + 1
-                row, key, code = entries(tokens, n, bands)
-                order = np.argsort(row, kind="stable")
-                own = batch.slice(part.start, rows)
+                own = batch.slice(part.start, len(n))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[own.column(c) for c in ("doc_id", "t1", "t2")],
                         pa.array(n.astype(np.int64)),
-                        *content,
+                        pa.array(contents(tokens, n).view(np.int64)),
                         *[pa.array(c.astype(np.int32)) for c in (need, bands.m[band], bands.d[band])],
-                        _list_array(row[order], key[order].view(np.int64), rows, pa.int64()),
-                        _list_array(row[order], code[order], rows, pa.int32()),
                     ],
-                    names=["doc_id", "t1", "t2", "n", "c1", "c2", "need", "m", "d", "keys", "codes"],
+                    names=["doc_id", "t1", "t2", "n", "node", "need", "m", "d"],
                 )
 
     return _texts(docs).mapInArrow(run, PREPARED)
 
 
-def _met(nodes: DataFrame) -> DataFrame:
+ALONE, KNOWN, WITNESS = 0, 1, 2
+SENT = "route long, node long, code int, key long"
+
+
+def _index(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """Index entries on their way to their lists: route, node, code, key.
+
+    A task sends each set once. An entry whose list has another in the same batch is
+    known to meet someone: it goes anywhere (its key beside it), and one witness for
+    all of them goes to the list; so no task gets all entries of a long list.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            texts = text_bytes(batch.column("text"))
+            for part in _chunks(texts):
+                tokens, n = shingles(texts[part], size)
+                node = contents(tokens, n).view(np.int64)
+                _, first = np.unique(node, return_index=True)
+                fresh = np.zeros(len(n), bool)
+                fresh[[i for i in first.tolist() if node[i] not in seen]] = True
+                if len(seen) < SEEN:
+                    seen.update(node[fresh].tolist())
+                row, key, code = entries(tokens[np.repeat(fresh, n)], n[fresh], bands)
+                order = np.argsort(key, kind="stable")
+                key, code, own = key[order].view(np.int64), code[order], node[fresh][row[order]]
+                new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+                known = ~(new & np.append(new[1:], True)) if len(key) else new
+                head = np.flatnonzero(known & new)
+                elsewhere = mix(own.view(np.uint64) * STEP + key.view(np.uint64)).view(np.int64)
+                sent = np.append(np.arange(len(key)), head)
+                kind = np.append(np.where(known, KNOWN, ALONE), np.full(len(head), WITNESS))
+                aside = kind == KNOWN
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.where(aside, elsewhere[sent], key[sent])),
+                        pa.array(own[sent]),
+                        pa.array((4 * code[sent] + kind).astype(np.int32)),
+                        pa.array(key[sent], mask=~aside),
+                    ],
+                    names=["route", "node", "code", "key"],
+                )
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, SENT)
+
+
+def _meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries, sorted by route, whose list has another one: key, node, code."""
+    carry, told = np.zeros((0, 3), np.int64), True  # the last entry, and whether it went on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        route, node, code = (batch.column(c).to_numpy() for c in ("route", "node", "code"))
+        kind = code % 4
+        aside = kind == KNOWN
+        known = np.stack([batch.column("key").fill_null(0).to_numpy()[aside], node[aside], code[aside] // 4], axis=1)
+        rest = np.concatenate([carry, np.stack([route, node, code], axis=1)[~aside]])
+        out = [known]
+        if len(rest):
+            same = rest[1:, 0] == rest[:-1, 0]
+            meets = np.append(False, same) | np.append(same, False)
+            go = meets & (rest[:, 2] % 4 == ALONE)
+            if len(carry) and told:
+                go[0] = False
+            told = bool(meets[-1]) if len(rest) > len(carry) else told or bool(meets[-1])
+            carry = rest[-1:]
+            going = rest[go]
+            out.append(np.stack([going[:, 0], going[:, 1], going[:, 2] // 4], axis=1))
+        found = np.concatenate(out)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2].astype(np.int32))],
+            names=["key", "node", "code"],
+        )
+
+
+def _met(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
     """Index entries whose list has someone to meet: key, node, code, n0, n1.
 
     n0 counts the list's whole segments, n1 those less a token.
     """
-    rows = nodes.select("node", F.inline(F.arrays_zip("keys", "codes")).alias("key", "code"))
+    sent = _index(docs, size, bands).repartition("route").sortWithinPartitions("route")
+    rows = settle(sent.mapInArrow(_meeting, "key long, node long, code int").distinct(), "entries")
     less = F.col("code").bitwiseAND(1)
     counts = (
         rows.groupBy("key")
         .agg(F.sum(1 - less).alias("n0"), F.sum(less).alias("n1"))
         .where((F.col("n0") >= 2) | ((F.col("n0") >= 1) & (F.col("n1") >= 1)))
     )
-    return rows.join(counts, "key")
+    met = settle(rows.join(counts, "key"), "met")
+    free(rows)
+    return met
 
 
 def allocate(met: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -283,31 +352,49 @@ def _sketch(tokens: np.ndarray, bits: int) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _sieve(chosen: DataFrame) -> np.ndarray:
+    """SIEVE_BITS bits, set where a chosen text's hash falls."""
+    place = F.pmod("t1", F.lit(SIEVE_BITS)).cast("int")
+    places = chosen.select(place.alias("place")).distinct().toArrow().column("place").to_numpy()
+    bits = np.zeros(SIEVE_BITS, bool)
+    bits[places] = True
+    return np.packbits(bits, bitorder="little")
+
+
 def _sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """The sets of the chosen nodes, from their texts: node, n, data, sketch."""
-    wanted = chosen.select("node", F.col("doc_id").alias("_doc"), F.col("t1").alias("_1"), F.col("t2").alias("_2"))
-    own = _texts(docs)
-    same = own["doc_id"].eqNullSafe(wanted["_doc"]) & (own["t1"] == wanted["_1"]) & (own["t2"] == wanted["_2"])
+    """The sets of the chosen nodes, from their texts: node, n, data, sketch.
+
+    A sieve of fixed size holds back most of the other texts; the join decides.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(chosen))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = shared.value
         for batch in batches:
+            place = batch.column("t1").to_numpy() % SIEVE_BITS
+            held = sieve[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+            batch = batch.filter(pa.array(held))
             texts = text_bytes(batch.column("text"))
             for part in _chunks(texts):
                 tokens, n = shingles(texts[part], size)
                 each = np.split(tokens, np.cumsum(n)[:-1])
+                own = batch.slice(part.start, len(n))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("node").slice(part.start, len(n)),
+                        *[own.column(c) for c in ("doc_id", "t1", "t2")],
                         pa.array(n.astype(np.int64)),
                         pa.array([t.tobytes() for t in each], pa.binary()),
                         pa.array([_sketch(t, SKETCH_BITS) for t in each], pa.binary()),
                     ],
-                    names=["node", "n", "data", "sketch"],
+                    names=["doc_id", "t1", "t2", "n", "data", "sketch"],
                 )
 
+    own = _texts(docs).mapInArrow(run, "doc_id long, t1 long, t2 long, n long, data binary, sketch binary")
+    wanted = chosen.select("node", F.col("doc_id").alias("_doc"), F.col("t1").alias("_1"), F.col("t2").alias("_2"))
+    same = own["doc_id"].eqNullSafe(wanted["_doc"]) & (own["t1"] == wanted["_1"]) & (own["t2"] == wanted["_2"])
     # Rows that repeat id and text are one.
-    texts = own.join(wanted, same).groupBy("node").agg(F.first("text").alias("text"))
-    return texts.mapInArrow(run, "node long, n long, data binary, sketch binary")
+    first = [F.first(c).alias(c) for c in ("n", "data", "sketch")]
+    return own.join(wanted, same).groupBy("node").agg(*first)
 
 
 def _near(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -495,20 +582,18 @@ def link_documents(
     least ``percent`` times their union. Null and blank texts have no set and are
     linked with nothing, so they keep their own id. Repeated rows are rows of one component; a
     null id is kept and is a component's id only where it has no other. An empty
-    table gives no rows; other columns are ignored. Shingles are told apart by 64 bits.
+    table gives no rows; other columns are ignored. Shingles, and sets for being
+    equal, are told apart by hashes of 64 bits.
     """
     largest = docs.agg(F.max(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    prepared = settle(_prepare(docs, shingle, Bands(percent, 1 + largest // 2)), "prepared")
+    bands = Bands(percent, 1 + largest // 2)
+    prepared = settle(_prepare(docs, shingle, bands), "prepared")
+    parts = ("n", "need", "m", "d", "doc_id", "t1", "t2")
     nodes = settle(
-        prepared.where("n > 0")
-        .groupBy("c1", "c2")
-        .agg(*[F.first(c).alias(c) for c in ("n", "need", "m", "d")],
-             F.first(F.struct("doc_id", "t1", "t2", "keys", "codes")).alias("one"))
-        .select("*", "one.*", F.monotonically_increasing_id().alias("node"))
-        .drop("one"),
+        prepared.where("n > 0").groupBy("node").agg(F.min(F.struct(*parts)).alias("one")).select("node", "one.*"),
         "nodes",
-    )
-    met = settle(_met(nodes), "met")
+    )
+    met = _met(docs, shingle, bands)
     probes = allocate(met, nodes).withColumnRenamed("node", "_node").withColumnRenamed("unit", "_unit")
     flagged = met.join(
         probes, (F.col("node") == F.col("_node")) & (F.shiftright("code", 1) == F.col("_unit")), "left"
@@ -517,7 +602,7 @@ def link_documents(
     asking = flagged.where("equal or near").select("key").distinct()
     bucket = settle(flagged.join(asking, "key", "left_semi"), "bucket")
     free(met, flagged)
-    chosen = nodes.select("node", "doc_id", "t1", "t2").join(bucket.select("node").distinct(), "node", "left_semi")
+    chosen = nodes.join(bucket.select("node").distinct(), "node", "left_semi")
     sets = settle(_sets(docs, chosen, shingle), "sets")
 
     asked = settle(_asked(bucket, sets, None, percent, together, pairs), "asked")
@@ -537,10 +622,8 @@ def link_documents(
         asked = settle(asked.unionByName(new.where("a IS NOT NULL")), "asked")
     free(bucket, sets, asked)
 
-    placed = nodes.select("c1", "c2", F.col("node").alias("of")).join(labels, F.col("of") == F.col("node"), "left")
-    placed = placed.select("c1", "c2", F.coalesce("label", "of").alias("label"))
-    rows = prepared.select("doc_id", "n", "c1", "c2")
-    with_set = rows.where("n > 0").join(placed, ["c1", "c2"])
+    rows = prepared.select("doc_id", "n", "node")
+    with_set = rows.where("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = with_set.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = with_set.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
