@@ -13,12 +13,13 @@ METRICS = ("bleu", "structural", "pixel")
 
 
 def pair_candidates(
-    artifacts: DataFrame, examples: DataFrame, hot: list | None = None
+    artifacts: DataFrame, examples: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
     """Candidates with the target of their record, inner join.
 
     A record may own a large part of the candidates (many models and runs), so
-    the join is salted by model and run.
+    the join is salted by model and run. ``hot`` may name the hot records
+    (:func:`~inkscore.operators.skew.heavy_keys`), where a narrower table has them.
     """
     spread = [c for c in ("run_time", "model") if c in artifacts.columns]
     return salted_join(artifacts, examples, "record", spread, hot=hot)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkscore.operators.skew import SALTS, hot_keys, salted_join
+from inkscore.operators.skew import heavy_keys, salted_join
 
 WINDOW = 7  # side of the SSIM window
 # Stabilising constants (0.01 * 255)^2 and (0.03 * 255)^2.
@@ -33,7 +33,7 @@ def image_sizes(pixels: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def pair_pixels(
-    gen: DataFrame, tgt: DataFrame, pairs: DataFrame, hot: list | None = None
+    gen: DataFrame, tgt: DataFrame, pairs: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
     """Generated (a) and target (b) values of every pair, side by side.
 
@@ -45,7 +45,7 @@ def pair_pixels(
     ours_is = image_sizes(gen).where(whole).drop("complete").withColumnRenamed("image_id", "gen_id")
     theirs_is = image_sizes(tgt).where(whole).drop("complete").withColumnRenamed("image_id", "tgt_id")
     if hot is None:
-        hot = hot_keys(pairs, "gen_id")
+        hot = heavy_keys(pairs, "gen_id")
     sized = salted_join(pairs, ours_is, "gen_id", ["tgt_id"], hot=hot)
     comparable = sized.join(theirs_is, ["tgt_id", "w", "h"], "left_semi").select("gen_id", "tgt_id")
     ours = salted_join(
@@ -202,8 +202,9 @@ def resample_to(
         if bound <= broadcast_rows:
             weights = F.broadcast(weights)
         else:
-            weights = weights.withColumn("_salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-            df = df.withColumn("_salt", F.pmod(F.xxhash64(*keys, other), F.lit(SALTS)).cast("int"))
+            salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            weights = weights.withColumn("_salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
+            df = df.withColumn("_salt", F.pmod(F.xxhash64(*keys, other), F.lit(salts)).cast("int"))
             on = [*on, "_salt"]
         kept = [*keys, "w", "h", "out_w", "out_h", "c"]
         met = df.join(weights, on)
@@ -222,14 +223,12 @@ def image_similarity(
     tgt: DataFrame,
     pairs: DataFrame,
     mode: str = "wrap",
-    hot: list | None = None,
 ) -> DataFrame:
     """``gen_id, tgt_id, structural, pixel`` of every pair in ``pairs``.
 
     Generated images of another size are resampled to the target first. A pair
     that cannot be compared (an image missing or with holes, a target side below
-    seven) gets 0 for both scores. ``hot`` are ids in very many pairs; left out,
-    they are counted on the pairs alone.
+    seven) gets 0 for both scores. Ids in very many pairs are told by the pairs alone.
     """
     whole = F.col("complete")
     gen_sizes = image_sizes(gen).where(whole).select(
@@ -238,10 +237,8 @@ def image_similarity(
     tgt_sizes = image_sizes(tgt).where(whole).select(
         F.col("image_id").alias("tgt_id"), F.col("w").alias("out_w"), F.col("h").alias("out_h")
     )
-    if hot is None:
-        hot = sorted({*hot_keys(pairs, "gen_id"), *hot_keys(pairs, "tgt_id")})
-    sized = salted_join(pairs, gen_sizes, "gen_id", ["tgt_id"], hot=hot)
-    sized = salted_join(sized, tgt_sizes, "tgt_id", ["gen_id"], hot=hot)
+    sized = salted_join(pairs, gen_sizes, "gen_id", ["tgt_id"], hot=heavy_keys(pairs, "gen_id"))
+    sized = salted_join(sized, tgt_sizes, "tgt_id", ["gen_id"], hot=heavy_keys(pairs, "tgt_id"))
     usable = sized.where((F.col("out_w") >= WINDOW) & (F.col("out_h") >= WINDOW))
     same = (F.col("w") == F.col("out_w")) & (F.col("h") == F.col("out_h"))
     ids = ["gen_id", "tgt_id"]

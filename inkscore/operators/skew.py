@@ -1,44 +1,79 @@
 """Joins that hold when one key owns a large part of the rows, and pairing of
-every row with a small table without a cross join."""
+every row with a short table without a cross join. Nothing here runs a job while
+a plan is built: what is hot is found out by the plan itself."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A key is hot when it holds more than this share of the rows, or more than one
-# shuffle partition's share where there are more partitions. So the list of hot
-# keys has at most as many rows as there are partitions.
+# shuffle partition's share where there are more partitions, and more than LEAST rows.
 HOT_SHARE = 0.001
-SALTS = 64
+LEAST = 100_000
+# Sketches that one task merges: those of the partitions are first merged in so many groups.
+GROUPS = 256
+# Fixed values of the sketch: a count errs by at most 3.5 / counters of all rows, and
+# the largest number of counters.
+ERROR, MOST_COUNTERS = 3.5, 1_000_000
 COMPLEX = (T.ArrayType, T.MapType, T.StructType)
-# Rows of a table that may be written into the plan as a literal.
-LITERAL_ROWS = 1000
 
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(
-    df: DataFrame, key: str, share: float | None = None, least: int = 100_000
-) -> list:
-    """Keys with more than ``share`` of all rows and more than ``least`` rows.
+def frequent_keys(df: DataFrame, key: str, share: float) -> DataFrame:
+    """``key, total`` of every key with more than ``share`` of the rows, and few others.
 
-    Reads the key column alone, counted before it is shuffled: one job where no
-    key is hot, up to three where some may be.
+    One pass over the key column: each task keeps a sketch of bounded counters
+    (frequent items), and sketches are merged in two steps. At most 2 / ``share``
+    rows, as the sketch errs by less than half of ``share``. NULL is no key.
     """
+    counters = min(MOST_COUNTERS, math.ceil(2.1 * ERROR / share))
+    group = F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("_group")
+    keys = df.select(F.col(key).alias("_key"), group).where(F.col("_key").isNotNull())
+    states = keys.groupBy("_group").agg(
+        F.expr(f"approx_top_k_accumulate(_key, {counters})").alias("_state"), F.count("*").alias("_n")
+    )
+    merged = states.agg(
+        F.expr(f"approx_top_k_combine(_state, {counters})").alias("_state"), F.sum("_n").alias("total")
+    )
+    rows = min(counters, math.ceil(2 / share))
+    found = merged.where(F.col("total") > 0).select(
+        "total", F.inline(F.expr(f"approx_top_k_estimate(_state, {rows})")).alias(key, "_about")
+    )
+    # Estimates are not below the count.
+    return found.where(F.col("_about") > F.col("total") * share).select(key, "total")
+
+
+def heavy_keys(
+    df: DataFrame, key: str, share: float | None = None, least: int = LEAST
+) -> DataFrame:
+    """``key, n, salts`` of the keys with more than ``share`` of all rows and more
+    than ``least`` rows: their exact count, and the number of tasks their rows fill.
+
+    The keys that the sketch names are counted anew, which combines before it moves.
+    ``salts`` follows from the count alone: an even share of the rows per shuffle
+    partition. At most 1 / ``share`` rows.
+    """
+    partitions = _partitions(df)
     if share is None:
-        share = min(HOT_SHARE, 1 / _partitions(df))
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNotNull())
-    heavy = counts.where(F.col("n") > least)
-    if heavy.limit(1).count() == 0:
-        return []
-    total = counts.agg(F.sum("n")).first()[0]
-    return [row[0] for row in heavy.where(F.col("n") > F.lit(total * share)).collect()]
+        share = min(HOT_SHARE, 1 / partitions)
+    likely = frequent_keys(df, key, share)
+    counted = (
+        df.select(key)
+        .join(F.broadcast(likely), key)
+        .groupBy(key, "total")
+        .agg(F.count("*").alias("n"))
+        .where((F.col("n") > least) & (F.col("n") > F.col("total") * share))
+    )
+    salts = F.ceil(F.col("n") * partitions / F.col("total"))
+    return counted.select(key, "n", F.greatest(salts, F.lit(2)).cast("int").alias("salts"))
 
 
 def salted_join(
@@ -47,70 +82,39 @@ def salted_join(
     key: str,
     spread: Sequence[str],
     how: str = "inner",
-    hot: list | None = None,
-    salts: int = SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join of ``many`` with ``one`` (unique by ``key``).
 
-    Rows of a hot key are spread over ``salts`` buckets by the ``spread``
-    columns, and only the ``one`` rows of hot keys are repeated to meet them.
-    ``how`` is inner or left; the result is that of the plain join.
+    Rows of a hot key are spread over as many buckets as its count asks for, by the
+    ``spread`` columns, and only the ``one`` rows of hot keys are repeated to
+    meet them. ``hot`` is a table as of :func:`heavy_keys`, whose rows are few by the
+    share they stand for; left out, it is found in ``many``. ``how`` is inner or
+    left; the result is that of the plain join.
     """
     if hot is None:
-        hot = hot_keys(many, key)
-    if not hot:
-        return many.join(one, key, how)
-    is_hot = F.col(key).isin(hot)
-    bucket = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    left = many.withColumn("_salt", F.when(is_hot, bucket).otherwise(0))
-    buckets = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = one.withColumn("_salt", F.explode(buckets))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
-
-
-def _literal(rows: list, names: Sequence[str], types: dict) -> Column:
-    def cell(row, name):
-        value = row[name]
-        return F.lit(value).cast(types[name]).alias(name)
+        hot = heavy_keys(many, key)
+    salts = F.broadcast(hot.select(key, F.col("salts").alias("_salts")))
+    bucket = F.pmod(F.xxhash64(*spread), F.col("_salts"))
+    left = many.join(salts, key, "left").withColumn("_salt", F.coalesce(bucket, F.lit(0)).cast("int"))
+    buckets = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = one.join(salts, key, "left").withColumn("_salt", F.explode(buckets))
+    joined = left.drop("_salts").join(right.drop("_salts"), [key, "_salt"], how)
+    return joined.drop("_salt")
 
-    return F.array(*[F.struct(*[cell(row, name) for name in names]) for row in rows])
 
-
-def pair_all(left: DataFrame, right: DataFrame, literal_rows: int = LITERAL_ROWS) -> DataFrame:
+def pair_all(left: DataFrame, right: DataFrame, salts: int | None = None) -> DataFrame:
     """Every row of ``left`` with every row of the short table ``right``.
 
-    Only plain columns of ``right`` are paired; arrays, maps and structs are met
-    by an equi join on the plain ones, which must then tell the rows apart. Up to
-    ``literal_rows`` rows are written into the plan and exploded, which moves
-    nothing. A longer table is cut into parts and met by an equi join on (part,
-    salt), so that neither side lands in one task.
+    An equi join on a salt: ``left`` is spread over the salts (twice the shuffle
+    partitions, unless given) and ``right`` repeated under each. The same plan for
+    any size: where Spark knows ``right`` to be small it broadcasts it and
+    ``left`` does not move, else neither side lands in one task.
     """
-    rich = [f.name for f in right.schema if isinstance(f.dataType, COMPLEX)]
-    if rich:
-        keys = [c for c in right.columns if c not in rich]
-        paired = pair_all(left, right.select(*keys), literal_rows)
-        named = right.select(*[F.col(c).alias(f"_{c}") for c in keys], *rich)
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-        met = paired.join(named, same)
-        return met.select(*left.columns, *right.columns)
-    plain = right.select(*right.columns)
-    types = {field.name: field.dataType for field in right.schema}
-    rows = plain.limit(literal_rows + 1).collect()
-    if not rows:
-        empty = [F.lit(None).cast(t).alias(n) for n, t in types.items()]
-        return left.where(F.lit(False)).select("*", *empty)
-    if len(rows) <= literal_rows:
-        return left.select("*", F.inline(_literal(rows, right.columns, types)))
-    parts = -(-right.count() // literal_rows)
-    # As many salts as fill the shuffle partitions, whatever their number.
-    salts = max(SALTS, -(-2 * _partitions(left) // parts))
-    hashed = [f.name for f in left.schema if not isinstance(f.dataType, COMPLEX)]
-    spread = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
-    chosen = F.pmod(F.xxhash64(*right.columns), F.lit(parts)).cast("int")
-    many = left.withColumn("_salt", spread).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    )
-    few = plain.withColumn("_part", chosen).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return many.join(few, ["_part", "_salt"]).drop("_part", "_salt")
+    if salts is None:
+        salts = 2 * _partitions(left)
+    plain = [f.name for f in left.schema if not isinstance(f.dataType, COMPLEX)]
+    bucket = F.pmod(F.xxhash64(*plain), F.lit(salts)) if plain else F.lit(0)
+    many = left.withColumn("_salt", bucket.cast("int"))
+    few = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.join(few, "_salt").drop("_salt")

@@ -27,7 +27,7 @@ from inkscore.operators import prompts as Q
 from inkscore.operators import reports as R
 from inkscore.operators import rows as W
 from inkscore.operators import summary as S
-from inkscore.operators.skew import hot_keys
+from inkscore.operators.skew import heavy_keys
 from inkscore.plans import fixtures as X
 from inkscore.plans.scoring import score, score_summary
 from inkscore.session import configure
@@ -60,7 +60,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _artifacts(spark, sf_dir)
     targets = X.eval_examples(spark, sf_dir).select("record", "completion")
     # Hot records are looked for on the key alone, before the markup is cut out.
-    return G.pair_candidates(found.where(F.col("has_markup")), targets, hot_keys(found, "record"))
+    return G.pair_candidates(found.where(F.col("has_markup")), targets, heavy_keys(found, "record"))
 
 
 def _bad_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ def restore_assets_rows(spark, sf_dir):
     targets = X.eval_examples(spark, sf_dir).select(
         "record", extract_assets(F.col("completion")).alias("assets")
     )
-    hot = hot_keys(found, "record")
+    hot = heavy_keys(found, "record")
     pairs = G.pair_candidates(found.where(F.col("markup").isNotNull()), targets, hot)
     restored = restore_assets(F.col("markup"), F.col("assets"))
     return pairs.select("run_time", "model", "record", restored.alias("markup"))

@@ -11,7 +11,7 @@ from inkscore.operators.bleu import bleu
 from inkscore.operators.grid import METRICS, complete_grid, pair_candidates
 from inkscore.operators.images import image_similarity_packed
 from inkscore.operators.rows import require_unique
-from inkscore.operators.skew import hot_keys, salted_join
+from inkscore.operators.skew import heavy_keys, salted_join
 from inkscore.operators.summary import round_scores, summarize
 
 
@@ -43,7 +43,7 @@ def score(
     if check_unique:
         require_unique(artifacts, keys)
     flags = ["has_markup", "has_render"]
-    hot = hot_keys(artifacts, "record")
+    hot = heavy_keys(artifacts, "record")
     usable = F.col("has_markup") & F.col("has_render")
     candidates = artifacts.select(*keys, *flags, F.when(usable, F.col("markup")).alias("markup"))
 

@@ -10,7 +10,7 @@ from inkscore.operators import prompts as Q
 from inkscore.operators import reports as R
 from inkscore.operators import rows as W
 from inkscore.operators import summary as S
-from inkscore.operators.skew import hot_keys, pair_all, salted_join
+from inkscore.operators.skew import frequent_keys, heavy_keys, pair_all, salted_join
 from inkscore.plans.scoring import score, score_summary
 from inkscore.sources import tables as T
 
@@ -127,8 +127,8 @@ def test_pairing_keeps_every_type(spark):
         " UNION ALL SELECT 'n', NULL, NULL, NULL, NULL, NULL, NULL, 3"
     )
     left = spark.range(3).withColumn("m", F.create_map(F.lit("x"), F.col("id")))
-    for limit in (1000, 1):
-        rows = pair_all(left, right, limit).collect()
+    for salts in (None, 1):
+        rows = pair_all(left, right, salts).collect()
         assert len(rows) == 6
         assert {(r.id, r.model, str(r.params), r.z) for r in rows} == {
             (i, *rest) for i in range(3) for rest in (("m", "{'k': 1}", None), ("n", "None", 3))
@@ -219,35 +219,103 @@ def test_infer(spark):
 # skew
 
 
+def jobs_of(spark, build):
+    """What ``build`` returns, and the number of jobs it runs."""
+    tracker, name = spark.sparkContext.statusTracker(), f"test-{id(build)}"
+    spark.sparkContext.setJobGroup(name, "building")
+    try:
+        built = build()
+        return built, len(tracker.getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def skewed(spark, rows=30000):
+    """A third of all rows have the key 7."""
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500)
+    return spark.range(rows).select(key.alias("k"), F.col("id").alias("v"))
+
+
+def test_heavy_keys_have_their_exact_count(spark):
+    many = skewed(spark).union(spark.range(50).selectExpr("CAST(NULL AS BIGINT)", "id"))
+    found, jobs = jobs_of(spark, lambda: heavy_keys(many, "k", share=0.1, least=100))
+    assert jobs == 0
+    seven = many.where("k = 7").count()
+    salts = -(-seven * 8 // 30000)  # an even share for each of eight partitions
+    assert [tuple(r) for r in found.collect()] == [(7, seven, salts)]
+    assert heavy_keys(many, "k").collect() == []  # too few rows to matter
+    assert heavy_keys(many.limit(0), "k", share=0.1, least=1).collect() == []
+    text = many.select(F.concat(F.lit("key"), "k").alias("k"))
+    assert [r["k"] for r in heavy_keys(text, "k", share=0.1, least=100).collect()] == ["key7"]
+
+
+def test_sketches_miss_no_frequent_key(spark):
+    """Keys around the share, over more distinct keys than counters, in any layout."""
+    spans = " UNION ALL ".join(f"SELECT {-k} AS k, id FROM range({n})" for k, n in ((1, 900), (2, 700), (3, 560)))
+    many = spark.sql(f"SELECT id AS k, id FROM range(50000) UNION ALL {spans}")
+    for layout in (many, many.repartition(40), many.orderBy("k")):
+        found = {r["k"] for r in frequent_keys(layout, "k", 0.01).collect()}
+        assert {-1, -2, -3} <= found and len(found) <= 200
+        exact = {tuple(r)[:2] for r in heavy_keys(layout, "k", share=0.01, least=10).collect()}
+        assert exact == {(-1, 900), (-2, 700), (-3, 560)}
+
+
 def test_salted_join_equals_plain_join(spark):
-    many = spark.range(30000).select(
-        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("k"), F.col("id").alias("v")
-    )
+    many = skewed(spark)
     one = spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    assert hot_keys(many, "k", share=0.1, least=100) == [7]
-    assert hot_keys(many, "k") == []  # too few rows to matter
-    plain = many.join(one, "k")
-    salted = salted_join(many, one, "k", ["v"], hot=[7], salts=8)
-    assert data(salted.select("k", "v", "w")) == data(plain.select("k", "v", "w"))
-    # The hot key is met in many partitions, not one.
+    hot = heavy_keys(many, "k", share=0.1, least=100)
+    more = spark.createDataFrame([(7, 10060, 100)], "k long, n long, salts int")
+    for how in ("inner", "left"):
+        plain = many.join(one.where("k <> 8"), "k", how)
+        for given in (hot, more, None):
+            joined, jobs = jobs_of(spark, lambda: salted_join(many, one.where("k <> 8"), "k", ["v"], how, given))
+            assert jobs == 0
+            assert data(joined.select("k", "v", "w")) == data(plain.select("k", "v", "w"))
+    # The hot key is met in as many partitions as its count asks for, not in one or 64.
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
     try:
-        spread = salted_join(many, one.hint("merge"), "k", ["v"], hot=[7], salts=32).where("k = 7")
-        parts = spread.select(F.spark_partition_id().alias("p")).distinct().count()
+        spread = salted_join(many, one.hint("merge"), "k", ["v"], hot=more).where("k = 7")
+        sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert parts == 8
+    assert len(sizes) > 50 and max(sizes) < 10060 / 10
+
+
+def test_building_a_score_plan_runs_no_job(spark):
+    """One record owns most of the candidates: it is salted, by the plan itself."""
+    sizes = [(0, i) for i in range(400)] + [(r, 0) for r in range(1, 40)]
+    artifacts = spark.createDataFrame(
+        [("r", f"m{m}", r, f"<svg>{r} {m}</svg>", True, True) for r, m in sizes],
+        "run_time string, model string, record long, markup string, has_markup boolean, has_render boolean",
+    )
+    examples = spark.createDataFrame([(r, f"<svg>{r} 0</svg>") for r in range(40)], "record long, completion string")
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.expr("repeat(X'07', 192)").cast("binary").alias("rgb"))
+    images = examples.select("record", image.alias("image"))
+    (scored, jobs) = jobs_of(spark, lambda: score(artifacts, examples, images, images))
+    assert jobs == 0
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "approx_top_k_accumulate" in plan and "_salt" in plan
+    found = scored.where("bleu = 1").select("record", "model").collect()
+    assert {tuple(r) for r in found} >= {(r, "m0") for r in range(40)}
+    hot = heavy_keys(artifacts, "record", least=100)
+    pairs = G.pair_candidates(artifacts, examples, hot)
+    assert data(pairs.select("record", "model", "completion")) == data(
+        artifacts.join(examples, "record").select("record", "model", "completion")
+    )
 
 
 def test_pair_all(spark):
     left = spark.range(50).withColumnRenamed("id", "record")
     right = spark.createDataFrame([(f"m{i}", i) for i in range(9)], "model string, n int")
-    short, long = pair_all(left, right), pair_all(left, right, literal_rows=4)
-    assert short.count() == 450 and data(short) == data(long)
+    (short, jobs), long = jobs_of(spark, lambda: pair_all(left, right)), pair_all(left, right.hint("merge"), 4)
+    assert jobs == 0 and short.count() == 450 and data(short) == data(long)
     for df in (short, long):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert pair_all(left, right.limit(0)).count() == 0
+    assert pair_all(left.select(F.array("record").alias("a")), right).count() == 450
 
 
 # summaries
