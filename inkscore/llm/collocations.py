@@ -16,6 +16,7 @@ cycle like all others: counts are exact, whatever the size of the table.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,16 +28,16 @@ from pyspark.sql.window import Window
 
 from .shared import WORD_HASHES, WordHashes, free, mix, settle, shared_folder, text_bytes
 
-SHARDS = 4
-SLOTS = 1 << 24
+SHARDS = 3
+SLOTS = 1 << 22
 PLACES = 3
 NEVER = 255
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 400_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 # Characters that end a piece of text.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 TO_NEWLINE = bytes(0x0A if b in ENDS else b for b in range(256))
-COUNTED = "k int, lang string, phrase string, n long"
+COUNTED = "k int, h long, start long, last long, word string, n long"
 
 
 def pieces_of(text: bytes) -> list[list[bytes]]:
@@ -68,8 +69,8 @@ class Scan:
         self.longest, self.shards = longest, shards
         self.langs = WordHashes()
 
-    def of(self, texts: list[tuple[bytes, bytes]]) -> Iterator[tuple[int, list, list, np.ndarray]]:
-        """(words, languages, phrases, counts) of the phrases of (language, text) rows."""
+    def of(self, texts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        """The counts of the phrases of (language, text) rows, as COUNTED."""
         words: list[bytes] = []
         lengths, langs = [], []
         for lang, text in texts:
@@ -83,29 +84,39 @@ class Scan:
         lengths = np.array(lengths)
         piece = np.repeat(np.arange(len(lengths)), lengths)
         room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(words))
-        grams = mix(hashes ^ mix(self.langs.of(langs))[piece])
-        start = np.zeros(len(words), np.int64)
+        single = mix(hashes ^ mix(self.langs.of(langs))[piece])
+        grams, before = single, single
+        start = np.zeros(len(words), np.uint8)
         for k in range(1, self.longest + 1):
             whole = room >= k
-            active = whole & (start <= self.number) & (self.number < start + self.shards)
-            at = np.flatnonzero(active)
+            begun = whole & (start <= self.number)
+            at = np.flatnonzero(begun & (self.number < start.astype(np.int64) + self.shards))
             if len(at):
-                _, first, counts = np.unique(grams[at], return_index=True, return_counts=True)
-                first = at[first].tolist()
-                yield (
-                    k,
-                    [langs[p] for p in piece[first].tolist()],
-                    [b" ".join(words[i : i + k]) for i in first],
-                    counts,
+                own, first, counts = np.unique(grams[at], return_index=True, return_counts=True)
+                at = at[first]
+                if k == 1:
+                    shown = [langs[p] + b"\n" + words[i] for p, i in zip(piece[at].tolist(), at.tolist())]
+                    word = pa.array(shown, pa.binary()).cast(pa.string())
+                else:
+                    word = pa.nulls(len(own), pa.string())
+                parts = (own, before[at], single[at + k - 1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(own), k, np.int32)),
+                        *[pa.array(part.view(np.int64)) for part in parts],
+                        word,
+                        pa.array(counts.astype(np.int64)),
+                    ],
+                    names=["k", "h", "start", "last", "word", "n"],
                 )
             if k == self.longest:
                 return
-            mark = np.full(len(words), NEVER)
-            known = np.flatnonzero(whole & (start <= self.number))
+            mark = np.full(len(words), NEVER, np.uint8)
+            known = np.flatnonzero(begun)
             mark[known] = marks_of(grams[known], self.marks)
             # The phrase that is a word longer holds this one and the next.
-            start = np.append(np.maximum(mark[:-1], mark[1:]), NEVER)
-            grams = longer(grams, np.roll(hashes, -k))
+            start = np.append(np.maximum(mark[:-1], mark[1:]), np.uint8(NEVER))
+            before, grams = grams, longer(grams, np.roll(hashes, -k))
 
 
 def _counted(scan_of: Callable[[], Scan]) -> Callable:
@@ -115,61 +126,38 @@ def _counted(scan_of: Callable[[], Scan]) -> Callable:
         scan = scan_of()
         rows: list[tuple[bytes, bytes]] = []
         held = 0
-
-        def counts() -> Iterator[pa.RecordBatch]:
-            for k, langs, phrases, n in scan.of(rows):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(n), k, np.int32)),
-                        pa.array(langs, pa.binary()).cast(pa.string()),
-                        pa.array(phrases, pa.binary()).cast(pa.string()),
-                        pa.array(n.astype(np.int64)),
-                    ],
-                    names=["k", "lang", "phrase", "n"],
-                )
-
         for batch in batches:
             for row in zip(text_bytes(batch.column("lang")), text_bytes(batch.column("text"))):
                 rows.append(row)
                 held += 1 + len(row[1]) // 6
                 if held >= WORDS_AT_ONCE:
-                    yield from counts()
+                    yield from scan.of(rows)
                     rows, held = [], 0
-        yield from counts()
+        yield from scan.of(rows)
 
     return run
 
 
-def _hashes_of(langs: list[bytes], phrases: list[bytes]) -> np.ndarray:
-    """The hashes that a scan gives the phrases."""
-    words = [phrase.split(b" ") for phrase in phrases]
-    own = mix(WordHashes().of(langs))
-    found = np.zeros(len(words), np.uint64)
-    for k in range(max(map(len, words), default=0)):
-        at = np.array([i for i, w in enumerate(words) if len(w) > k], np.int64)
-        last = WORD_HASHES.of([words[i][k] for i in at.tolist()])
-        found[at] = longer(found[at], last) if k else mix(last ^ own[at])
-    return found
-
-
-def _places(phrases: DataFrame, slots: int) -> np.ndarray:
+def _places(hashes: DataFrame, slots: int) -> np.ndarray:
     """Places of the phrases in the table of marks: at most one number for each place."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = _hashes_of(text_bytes(batch.column("lang")), text_bytes(batch.column("phrase")))
-            places = np.unique(places_of(own, slots))
-            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32))], names=["place"])
+            own = batch.column("h").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.unique(places_of(own, slots)).astype(np.int32))], names=["place"]
+            )
 
-    rows = phrases.select("lang", "phrase").mapInArrow(run, "place int").distinct()
-    return rows.toArrow().column("place").to_numpy()
+    return hashes.select("h").mapInArrow(run, "place int").distinct().toArrow().column("place").to_numpy()
 
 
 def count_phrases(docs: DataFrame, longest: int, least: int, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Exact counts of all words, and of the phrases that were active: k, lang, phrase, n.
+    """Exact counts of all words, and of the phrases that were active, by scan: k, h, start
+    (h of the phrase without its last word), last (h of that word), word (language, line
+    feed and word; NULL for longer phrases), n.
 
     Every phrase of up to ``longest`` words that stands ``least`` times or more is
-    among them; a row is a count of one scan.
+    among them.
     """
     if shards * (longest + 1) >= NEVER:
         raise ValueError("fewer shards, please: a mark is one byte")
@@ -181,42 +169,55 @@ def count_phrases(docs: DataFrame, longest: int, least: int, shards: int = SHARD
     plain.where(F.length("text") > 0).write.partitionBy("shard").parquet(path)
     schema = T.StructType.fromDDL("lang string, text string, shard int")
     rows = spark.read.schema(schema).parquet(path)
+    rows.settled_at = path
 
     marks = np.full(slots, NEVER, np.uint8)
     scans: list[DataFrame] = []
-    low: DataFrame | None = None  # counts of what is below the threshold so far
+    low: DataFrame | None = None  # sums of what is below the threshold so far
     number, last = 0, 0
     while number < last + shards:
         told = spark.sparkContext.broadcast(marks)
         own = rows.where(F.col("shard") == number % shards).select("lang", "text")
         counted = own.mapInArrow(_counted(_scan_of(number, told, longest, shards)), COUNTED)
-        scans.append(settle(counted.groupBy("k", "lang", "phrase").agg(F.sum("n").alias("n")), "scan"))
+        keys = ("k", "h", "start", "last", "word")
+        scans.append(settle(counted.groupBy(*keys).agg(F.sum("n").alias("n")), "scan"))
         told.destroy()
-        new = scans[-1].where(F.col("k") < longest)
-        both = new if low is None else low.unionByName(new)
+        new = scans[-1].where(F.col("k") < longest).select("h", "n")
+        both = new if low is None else low.where(F.col("n") < least).unionByName(new)
         # Phrases that reach the threshold are not followed any more; if they come
         # back, their places are set already.
-        summed = settle(both.groupBy("k", "lang", "phrase").agg(F.sum("n").alias("n")), "below")
+        summed = settle(both.groupBy("h").agg(F.sum("n").alias("n")), "below")
         reached = _places(summed.where(F.col("n") >= least), slots)
         if low is not None:
             free(low)
-        low = _below(summed, least)
+        low = summed
         fresh = reached[marks[reached] == NEVER]
         if len(fresh):
             marks = marks.copy()
             marks[fresh] = last = number + 1
         number += 1
-    free(low)
-    found = scans[0]
-    for scan in scans[1:]:
-        found = found.unionByName(scan)
-    return found
+    free(low, rows)
+    return functools.reduce(DataFrame.unionByName, scans)
 
 
-def _below(summed: DataFrame, least: int) -> DataFrame:
-    low = summed.where(F.col("n") < least)
-    low.settled_at = summed.settled_at
-    return low
+def frequent_phrases(counts: DataFrame, longest: int, least: int) -> DataFrame:
+    """k, lang, phrase, f of the phrases that stand ``least`` times or more.
+
+    A phrase is written as that of its start and its last word, which are frequent too.
+    """
+    keys = ("k", "h", "start", "last", "word")
+    sums = counts.groupBy(*keys).agg(F.sum("n").alias("f"))
+    frequent = settle(sums.where(F.col("f") >= least), "frequent")
+    word = F.substring_index("word", "\n", -1)
+    lang = F.expr("substring(word, 1, length(word) - length(substring_index(word, '\n', -1)) - 1)")
+    level = frequent.where("k = 1").select("k", "h", lang.alias("lang"), word.alias("phrase"), "f")
+    words = level.select(F.col("h").alias("last"), F.col("phrase").alias("_last"))
+    levels = [level]
+    for k in range(2, longest + 1):
+        starts = levels[-1].select(F.col("h").alias("start"), "lang", F.col("phrase").alias("_start"))
+        own = frequent.where(F.col("k") == k).join(starts, "start").join(words, "last")
+        levels.append(own.select("k", "h", "lang", F.concat_ws(" ", "_start", "_last").alias("phrase"), "f"))
+    return settle(functools.reduce(DataFrame.unionByName, levels).drop("h"), "phrases")
 
 
 def _scan_of(number: int, told, longest: int, shards: int):
@@ -252,12 +253,13 @@ def mine_collocations(
     A null language is ``und``, a null text empty; repeated rows count each time;
     ids only deal the rows into shards. An empty table gives no rows; other
     columns are ignored. A language may hold all rows: counts are combined before
-    they move, and ranks are cut before they meet.
+    they move, and ranks are cut before they meet. Phrases are told apart by hashes
+    of 64 bits.
     """
-    scans = count_phrases(docs, longest, least, shards, slots)
-    words = scans.where("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    sums = scans.groupBy("k", "lang", "phrase").agg(F.sum("n").alias("f"))
-    frequent = settle(sums.where(F.col("f") >= least), "frequent")
+    counts = count_phrases(docs, longest, least, shards, slots)
+    lang = F.expr("substring(word, 1, length(word) - length(substring_index(word, '\n', -1)) - 1)")
+    words = counts.where("k = 1").groupBy(lang.alias("lang")).agg(F.sum("n").alias("n"))
+    frequent = frequent_phrases(counts, longest, least)
     candidates = frequent.where("k >= 2").select(
         "k", "lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words")
     )
