@@ -94,11 +94,12 @@ def _box_sums(values):
     return values.astype(np.float64)
 
 
-def _ssim(a, b):
+def ssim_sums(a, b):
+    """Sum and number of the similarities of all windows of two images."""
     area = WINDOW * WINDOW
     unbias = area / (area - 1)
     rows = a.shape[0] - WINDOW + 1
-    total = count = 0
+    total, count = 0.0, 0
     for top in range(0, rows, STRIP):
         p, q = (side[top : top + STRIP + WINDOW - 1].astype(np.int64) for side in (a, b))
         mp, mq, pp, qq, pq = (_box_sums(m) / area for m in (p, q, p * p, q * q, p * q))
@@ -106,29 +107,60 @@ def _ssim(a, b):
         common = 2 * unbias * (pq - mp * mq) + C2
         value = (2 * mp * mq + C1) * common / ((mp * mp + mq * mq + C1) * spread)
         total, count = total + value.sum(), count + value.size
+    return total, count
+
+
+def _ssim(a, b):
+    total, count = ssim_sums(a, b)
     return total / count
 
 
-def _weights(n_in, n_out):
-    """Dense (n_out, n_in) table of whole-number Lanczos weights."""
+_TAPS = {}
+
+
+def _taps(n_in, n_out):
+    """First input cell, and whole-number Lanczos weights, of each output cell.
+
+    (n_out,) and (n_out, reach): as many columns as a cell reaches inputs, zero where
+    it reaches fewer. The last pairs of sizes are remembered.
+    """
+    if (n_in, n_out) not in _TAPS:
+        if len(_TAPS) >= 64:
+            _TAPS.clear()
+        _TAPS[n_in, n_out] = _make_taps(n_in, n_out)
+    return _TAPS[n_in, n_out]
+
+
+def _make_taps(n_in, n_out):
     scale = n_in / n_out
     stretch = max(scale, 1.0)
-    centre = (np.arange(n_out)[:, None] + 0.5) * scale
-    cell = np.arange(n_in)[None, :]
-    first = np.floor(centre - LOBES * stretch + 0.5)
-    last = np.floor(centre + LOBES * stretch + 0.5)
-    x = (cell - centre + 0.5) / stretch
-    w = np.where((x >= -LOBES) & (x < LOBES), np.sinc(x) * np.sinc(x / LOBES), 0.0)
-    w = np.where((cell >= first) & (cell < last), w, 0.0)
+    centre = (np.arange(n_out) + 0.5) * scale
+    first = np.maximum(np.floor(centre - LOBES * stretch + 0.5), 0).astype(np.int64)
+    last = np.minimum(np.floor(centre + LOBES * stretch + 0.5), n_in).astype(np.int64)
+    cell = first[:, None] + np.arange((last - first).max())
+    x = (cell - centre[:, None] + 0.5) / stretch
+    inside = (x >= -LOBES) & (x < LOBES) & (cell < last[:, None])
+    w = np.where(inside, np.sinc(x) * np.sinc(x / LOBES), 0.0)
     fixed = w / w.sum(axis=1, keepdims=True) * (1 << WEIGHT_BITS)
-    return np.where(fixed < 0, np.ceil(fixed - 0.5), np.floor(fixed + 0.5))
+    return first, np.where(fixed < 0, np.ceil(fixed - 0.5), np.floor(fixed + 0.5)).astype(np.int64)
+
+
+def resample_rows(rows, low, n_in, n_out, wanted):
+    """Output rows ``wanted`` (a range) of an image of ``n_in`` rows, of which
+    ``rows`` are those from ``low`` on that they reach."""
+    first, weights = _taps(n_in, n_out)
+    first, weights = first[wanted.start : wanted.stop], weights[wanted.start : wanted.stop]
+    total = np.zeros((len(first), *rows.shape[1:]), np.int64)
+    for k in range(weights.shape[1]):
+        # Where a cell reaches fewer rows its weight is zero, whatever row is taken.
+        own = rows[np.minimum(first + k - low, len(rows) - 1)]
+        total += own * weights[:, k].reshape(-1, *[1] * (rows.ndim - 1))
+    return np.clip((total + (1 << (WEIGHT_BITS - 1))) >> WEIGHT_BITS, 0, 255).astype(np.uint8)
 
 
 def _resample(image, n_out, axis):
     n_in = image.shape[axis]
     if n_in == n_out:
         return image
-    # Products stay below 2^53, so float64 sums of these whole numbers are exact.
-    summed = np.tensordot(_weights(n_in, n_out), image.astype(np.float64), axes=(1, axis))
-    value = np.floor((summed + (1 << (WEIGHT_BITS - 1))) / (1 << WEIGHT_BITS))
-    return np.moveaxis(np.clip(value, 0, 255).astype(np.uint8), 0, axis)
+    moved = np.moveaxis(image, axis, 0)
+    return np.moveaxis(resample_rows(moved, 0, n_in, n_out, range(n_out)), 0, axis)

@@ -26,6 +26,7 @@ from inkscore.operators import pixels as P
 from inkscore.operators import prompts as Q
 from inkscore.operators import reports as R
 from inkscore.operators import rows as W
+from inkscore.operators import strips as Z
 from inkscore.operators import summary as S
 from inkscore.operators.skew import heavy_keys
 from inkscore.plans import fixtures as X
@@ -419,6 +420,17 @@ def image_similarity_packed(spark, sf_dir):
     return _round(rows, "structural", "pixel")
 
 
+@query
+def strip_similarity(spark, sf_dir):
+    """Large images, each with the next one; every other pair is resampled first."""
+    strips = X.large_strips(spark, sf_dir)
+    ids = strips.select(F.col("image_id").alias("gen_id")).distinct()
+    known = ids.select(F.col("gen_id").alias("tgt_id"))
+    pairs = ids.withColumn("tgt_id", F.col("gen_id") + 1).join(known, "tgt_id")
+    rows = Z.strip_similarity(strips, strips, pairs, strip_bytes=1 << 18)
+    return _round(rows.select("gen_id", "tgt_id", "structural", "pixel"), "structural", "pixel")
+
+
 @query
 def unpack_pixels(spark, sf_dir):
     return I.unpack_pixels(X.packed_images(spark, sf_dir, ragged=True))

@@ -155,6 +155,33 @@ def tiled_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips of images of 1,024 x 1,024 (odd ones of 896 rows): a hundred consecutive
+    rasters side by side, repeated to the right and downwards."""
+    quad = F.col("vec_id") % 100
+    values = F.transform("e", lambda e: F.concat(*[F.lpad(F.hex(_pixel_value(e, F.lit(c))), 2, "0") for c in range(3)]))
+    lines = table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id DIV 100").alias("image_id"),
+        F.floor(quad / 10).alias("band"),
+        (quad % 10).alias("place"),
+        F.posexplode(F.expr(f"transform(sequence(0, {SIDE - 1}), r -> slice(embedding, {SIDE} * r + 1, {SIDE}))")).alias("r", "e"),
+    )
+    cell = F.struct("place", F.array_join(values, "").alias("hex"))
+    rows = lines.groupBy("image_id", (F.col("band") * SIDE + F.col("r")).alias("r")).agg(
+        F.sort_array(F.collect_list(cell)).alias("cells")
+    )
+    line = F.array_join(F.transform("cells", lambda c: c["hex"]), "")
+    long = F.substring(F.repeat(line, 13), 1, 6 * 1024)
+    height = F.when(F.col("image_id") % 2 == 0, 1024).otherwise(896)
+    below = F.explode(F.expr("transform(sequence(0, 12), t -> CAST(80 * t + r AS INT))"))
+    tall = rows.select("image_id", height.alias("height"), long.alias("hex"), below.alias("y"))
+    placed = tall.where("y < height").withColumn("s", F.floor(F.col("y") / 200))
+    strips = placed.groupBy("image_id", "height", "s").agg(F.sort_array(F.collect_list(F.struct("y", "hex"))).alias("rows"))
+    rgb = F.unhex(F.array_join(F.transform("rows", lambda x: x["hex"]), ""))
+    top = (200 * F.col("s")).cast("int").alias("y")
+    return strips.select("image_id", "height", F.lit(1024).alias("width"), top, rgb.alias("rgb"))
+
+
 def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``run_time, record, model, bleu, structural, pixel, has_markup, has_render``."""
     failed = (F.col("event_id") % 16 == 0) | (F.col("event_type") == "error")

@@ -170,6 +170,21 @@ alike AS (
   SELECT gen_id, tgt_id, coalesce(structural, 0) AS structural, coalesce(pixel, 0) AS pixel
   FROM pairs LEFT JOIN structural USING (gen_id, tgt_id) LEFT JOIN wrap USING (gen_id, tgt_id))"""
 
+LARGE = f"""{PIXELS}, ragged AS (
+  SELECT image_id // 100 AS image_id, CAST(8 * (image_id % 100 // 10) + y + 80 * ty AS INTEGER) AS y,
+    CAST(8 * (image_id % 10) + x + 80 * tx AS INTEGER) AS x, c, v
+  FROM pixels, unnest(range(0, 13)) AS t(tx), unnest(range(0, 13)) AS u(ty)
+  WHERE 8 * (image_id % 10) + x + 80 * tx < 1024 AND 8 * (image_id % 100 // 10) + y + 80 * ty
+    < CASE WHEN image_id // 100 % 2 = 0 THEN 1024 ELSE 896 END)"""
+
+LARGE_PAIRS = """pairs AS (
+  SELECT DISTINCT a.vec_id // 100 AS gen_id, b.vec_id // 100 AS tgt_id
+  FROM embeddings a JOIN embeddings b ON b.vec_id // 100 = a.vec_id // 100 + 1)"""
+
+LARGE_SIDE = (
+    RAGGED_SIDE.replace(RAGGED, LARGE).replace(PAIRS, LARGE_PAIRS).replace("WHERE i = y GROUP", "WHERE i = y AND k <> 0 GROUP")
+)
+
 EVENTS = """scored AS (
   SELECT strftime(ts, '%Y-%m-%d') || '_00-00-00' AS run_time, event_id AS record,
     'm_' || event_type AS model,
@@ -444,6 +459,8 @@ ORACLE: dict[str, str] = {
         round(structural, 6) AS structural, round(pixel, 6) AS pixel FROM alike""",
     "image_similarity_packed": f"""WITH {RAGGED_SIDE} SELECT gen_id, tgt_id,
         round(structural, 6) AS structural, round(pixel, 6) AS pixel FROM alike""",
+    "strip_similarity": f"""WITH {LARGE_SIDE} SELECT gen_id, tgt_id,
+        round(structural, 6) AS structural, round(pixel, 6) AS pixel FROM alike""",
     "unpack_pixels": f"WITH {RAGGED} SELECT image_id, y, x, c, v FROM ragged",
     "scores": f"WITH {SCORES} SELECT * FROM final",
     "scores_summary": f"WITH {SCORES}, {_summary('final', 'run_time, model')} SELECT * FROM summary",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkscore.operators import images as I
 from inkscore.operators import pixels as P
+from inkscore.operators import strips as Z
 from inkscore.plans.scoring import score
 from inkscore.sources.files import (
     read_artifact_tree,
@@ -235,3 +236,75 @@ def test_artifact_tree_to_scores(spark, tmp_path):
     assert rows["m two", 0].bleu == 1 and rows["m two", 0].pixel < 1
     for key in (("m1", 1), ("m two", 1)):
         assert (rows[key].bleu, rows[key].structural, rows[key].pixel) == (0, 0, 0)
+
+
+def strip_cases():
+    rng = np.random.default_rng(12)
+    sizes = [(64, 40), (64, 40), (33, 57), (200, 9), (7, 7), (6, 90), (300, 31), (1, 1)]
+    return {k: rng.integers(0, 256, (*size, 3)) for k, size in enumerate(sizes)}
+
+
+@pytest.mark.parametrize("strip_bytes", [1, 700, 1 << 20])
+def test_strips_are_those_of_the_whole_image(spark, strip_bytes):
+    arrays = strip_cases()
+    images = packed(spark, arrays)
+    broken = images.limit(1).select(F.lit(99).cast("long").alias("image_id"), F.struct(F.lit(3).alias("height"), F.lit(3).alias("width"), F.unhex(F.lit("00")).alias("rgb")).alias("image"))
+    cut = Z.cut_strips(images.union(broken), strip_bytes)
+    pixels = Z.strips_of_pixels(I.unpack_pixels(images), strip_bytes)
+    for strips in (cut, pixels):
+        rows = sorted(strips.collect(), key=lambda r: (r["image_id"], r["y"]))
+        assert all(len(r["rgb"]) <= max(strip_bytes, 3 * r["width"]) for r in rows)
+        for k, a in arrays.items():
+            own = [r for r in rows if r["image_id"] == k]
+            assert b"".join(r["rgb"] for r in own) == a.astype(np.uint8).tobytes()
+            assert {(r["height"], r["width"]) for r in own} == {a.shape[:2]}
+        assert {r["image_id"] for r in rows} == set(arrays)
+
+
+@pytest.mark.parametrize("strip_bytes", [1, 700, 1 << 20])
+def test_strips_resample_like_the_whole_image(spark, strip_bytes):
+    arrays = strip_cases()
+    wanted = {0: (64, 40), 1: (30, 90), 2: (66, 20), 3: (11, 9), 4: (40, 3), 5: (9, 7), 6: (12, 31), 7: (5, 4)}
+    sizes = spark.createDataFrame([(k, w, h) for k, (h, w) in wanted.items()], "image_id long, out_w int, out_h int")
+    strips = Z.cut_strips(packed(spark, arrays), strip_bytes).join(sizes, "image_id")
+    rows = sorted(Z.resample_strips(strips, strip_bytes).collect(), key=lambda r: (r["image_id"], r["y"]))
+    assert all(len(r["rgb"]) <= max(strip_bytes, 3 * r["width"]) for r in rows)
+    for k, (h, w) in wanted.items():
+        own = [r for r in rows if r["image_id"] == k]
+        made = np.frombuffer(b"".join(r["rgb"] for r in own), np.uint8).reshape(h, w, 3)
+        assert (made == naive_resample(naive_resample(arrays[k], w, 1), h, 0)).all()
+
+
+@pytest.mark.parametrize("mode", ["wrap", "abs"])
+def test_strip_scores_are_those_of_packed_images(spark, mode):
+    arrays = strip_cases()
+    images = packed(spark, arrays)
+    ids = list(arrays)
+    pairs = spark.createDataFrame([(a, b) for a in ids + [77] for b in ids + [88]], "gen_id long, tgt_id long")
+    gen = images.select(F.col("image_id").alias("gen_id"), F.col("image").alias("gen"))
+    tgt = images.select(F.col("image_id").alias("tgt_id"), F.col("image").alias("tgt"))
+    whole = pairs.join(gen, "gen_id", "left").join(tgt, "tgt_id", "left")
+    wanted = {tuple(r)[:2]: tuple(r)[2:] for r in I.image_similarity_packed(whole, IDS, mode).collect()}
+    for strip_bytes in (1, 900, 1 << 20):
+        strips = Z.cut_strips(images, strip_bytes)
+        found = {tuple(r)[:2]: tuple(r)[2:] for r in Z.strip_similarity(strips, strips, pairs, mode, strip_bytes).collect()}
+        assert found.keys() == wanted.keys()
+        for key, scores in wanted.items():
+            assert found[key] == pytest.approx(scores, abs=1e-9), key
+
+
+def test_large_images_in_strips(spark):
+    """1,024 x 1,024: no row above a strip, scores of the packed form."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 200, (1024, 1024, 3))
+    arrays = {1: base, 2: base + rng.integers(0, 50, base.shape), 3: base[:900, :700]}
+    images, limit = packed(spark, arrays), 1 << 17
+    strips = Z.cut_strips(images, limit)
+    assert strips.agg(F.max(F.octet_length("rgb"))).first()[0] <= limit
+    pairs = spark.createDataFrame([(1, 2), (3, 1), (2, 3)], "gen_id long, tgt_id long")
+    found = {tuple(r)[:2]: tuple(r)[2:] for r in Z.strip_similarity(strips, strips, pairs, strip_bytes=limit).collect()}
+    for (a, b), scores in found.items():
+        h, w = arrays[b].shape[:2]
+        moved = I._resample(I._resample(arrays[a].astype(np.uint8), w, 1), h, 0)
+        target = arrays[b].astype(np.uint8)
+        assert scores == pytest.approx((I._ssim(moved, target), I._pixel(moved, target, "wrap")), abs=1e-9)
