@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkscore.operators.bitmaps import coverage, holes
 from inkscore.operators.skew import pair_all, salted_join
 
 METRICS = ("bleu", "structural", "pixel")
@@ -44,22 +45,19 @@ def complete_grid(
     return grid.join(found, keys, "left").select(*keys, *filled)
 
 
-def missing_list(has_markup: Column, has_render: Column) -> Column:
-    """Which files of an artifact are absent."""
-    return F.array_compact(
-        F.array(
-            F.when(~F.coalesce(has_markup, F.lit(False)), "markup"),
-            F.when(~F.coalesce(has_render, F.lit(False)), "render"),
-        )
-    )
+def _files() -> dict[str, Column]:
+    return {"markup": F.col("has_markup"), "render": F.col("has_render")}
 
 
 def missing_artifacts(artifacts: DataFrame, groups: DataFrame, records: DataFrame) -> DataFrame:
-    """``group, record, missing`` of every grid cell that lacks a file."""
-    grid = pair_all(records.select("record"), groups)
-    keys = [*groups.columns, "record"]
-    found = artifacts.select(*keys, "has_markup", "has_render")
-    cells = grid.join(found, keys, "left").select(
-        *keys, missing_list(F.col("has_markup"), F.col("has_render")).alias("missing")
-    )
-    return cells.where(F.size("missing") > 0)
+    """``group, record, missing`` of every record of a group that lacks a file.
+
+    Told from bitmaps of what is there, a few bytes for each 32,768 records, so
+    the grid of groups and records is not built.
+    """
+    return holes(artifacts, groups, records.select("record"), _files())
+
+
+def artifact_coverage(artifacts: DataFrame, groups: DataFrame, records: DataFrame) -> DataFrame:
+    """``group, expected, markup, render, complete``: how many records have each file."""
+    return coverage(artifacts, groups, records.select("record"), _files())

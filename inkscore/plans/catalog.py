@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,8 @@ from inkscore.operators import summary as S
 from inkscore.operators.skew import heavy_keys
 from inkscore.plans import fixtures as X
 from inkscore.plans.scoring import score, score_summary
-from inkscore.session import configure
+from inkscore.session import checkpoint_dir, configure
+from inkscore.sources import ledger as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -284,6 +286,24 @@ def infer_stub(spark, sf_dir):
     return N.with_response(answers).select("record", "model", "response", "error")
 
 
+def _half(prompts):
+    """Answers every prompt of the first records only: what a broken attempt leaves."""
+    return N.infer(prompts.where(F.col("record") % 2 == 0), _stub)
+
+
+@query
+def resumed_responses(spark, sf_dir):
+    """A run whose first attempt left half of its answers out, and its repetition."""
+    models = spark.createDataFrame([(m,) for m in X.MODELS], "model string")
+    checked = W.validate_examples(_bad_examples(spark, sf_dir))
+    work = Q.work_grid(Q.build_prompt(checked), models).select("record", "model", "prompt", "error")
+    path = f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    L.record_responses(work, _half, path, X.RUNS[0], parts=3)
+    L.record_responses(work, lambda rows: N.infer(rows, _stub), path, X.RUNS[0], parts=3)
+    answers = N.with_response(L.read_ledger(spark, path, X.RUNS[0]))
+    return answers.select("run_time", "record", "model", "response", "error")
+
+
 @query
 def artifacts(spark, sf_dir):
     return _artifacts(spark, sf_dir)
@@ -317,6 +337,12 @@ def missing_artifacts(spark, sf_dir):
     return rows.withColumn("missing", F.array_join("missing", ","))
 
 
+@query
+def artifact_coverage(spark, sf_dir):
+    examples = X.eval_examples(spark, sf_dir)
+    return G.artifact_coverage(_artifacts(spark, sf_dir), X.model_groups(spark), examples)
+
+
 # metrics
 
 

@@ -411,6 +411,12 @@ ORACLE: dict[str, str] = {
           CASE WHEN error IS NULL AND record % 5 <> 0 THEN model
             || ': Write SVG code to recreate this ' || width || ' x ' || height
             || ' px design.' END AS answer FROM checked CROSS JOIN names)""",
+    "resumed_responses": f"""WITH {_BAD}, {NAMES} SELECT '2025-01-10_08-00-00' AS run_time, record, model, coalesce(answer, problem) AS response,
+        problem AS error FROM (SELECT record, model, coalesce(error, CASE WHEN record % 5 = 0
+            THEN 'no answer for ' || record END) AS problem,
+          CASE WHEN error IS NULL AND record % 5 <> 0 THEN model
+            || ': Write SVG code to recreate this ' || width || ' x ' || height
+            || ' px design.' END AS answer FROM checked CROSS JOIN names)""",
     "artifacts": f"WITH {ARTIFACTS} SELECT * FROM artifacts",
     "candidate_pairs": f"""WITH {ARTIFACTS} SELECT run_time, model, record, markup, completion
         FROM artifacts JOIN examples USING (record) WHERE has_markup""",
@@ -423,6 +429,10 @@ ORACLE: dict[str, str] = {
     "missing_artifacts": f"""WITH {ARTIFACTS} SELECT run_time, model, record,
         CASE WHEN has_markup THEN 'render' ELSE 'markup,render' END AS missing
         FROM artifacts WHERE NOT has_render""",
+    "artifact_coverage": f"""WITH {ARTIFACTS} SELECT run_time, model,
+        (SELECT count(*) FROM examples) AS expected, count(*) FILTER (WHERE has_markup) AS markup,
+        count(*) FILTER (WHERE has_render) AS render, bool_and(has_render) AS complete
+        FROM artifacts GROUP BY run_time, model""",
     "ngram_counts": f"""WITH {_ngrams('pages', 'page_id', 'html')}
         SELECT page_id, CAST(n AS INTEGER) AS n, gram, count(*) AS count FROM grams
         GROUP BY page_id, n, gram""",

@@ -12,6 +12,7 @@ from inkscore.operators import rows as W
 from inkscore.operators import summary as S
 from inkscore.operators.skew import frequent_keys, heavy_keys, pair_all, salted_join
 from inkscore.plans.scoring import score, score_summary
+from inkscore.sources import ledger as L
 from inkscore.sources import tables as T
 
 
@@ -420,3 +421,89 @@ def test_missing_artifacts(spark):
     records = spark.range(2).withColumnRenamed("id", "record")
     rows = G.missing_artifacts(artifacts, artifacts.select("model").distinct(), records)
     assert data(rows) == [("m", 0, ["render"]), ("m", 1, ["markup", "render"])]
+
+
+def test_holes_over_several_bitmaps(spark):
+    """Far apart records, repeated rows, strangers, and groups without any row."""
+    ids = [0, 1, 7, 32767, 32768, 40000, 98304, 10**12]
+    rng = np.random.default_rng(1)
+    rows = [(r, m, int(i), bool(rng.random() < 0.6), bool(rng.random() < 0.4))
+            for r in ("a", "b") for m in ("m", "n") for i in rng.choice(ids, 5, replace=False)]
+    rows += rows[:3] + [("a", "m", 5, True, True), ("z", "m", 0, True, True), ("a", "m", None, True, True)]
+    artifacts = spark.createDataFrame(rows, "run_time string, model string, record long, has_markup boolean, has_render boolean")
+    groups = spark.createDataFrame([("a", "m"), ("a", "n"), ("b", "m"), ("b", "n"), ("c", "m")], "run_time string, model string")
+    records = spark.createDataFrame([(i,) for i in ids] + [(0,)], "record long")
+    have = {}
+    for r, m, i, markup, render in rows:
+        old = have.get((r, m, i), (False, False))
+        have[r, m, i] = (old[0] or markup, old[1] or render)
+    wanted, counts = [], []
+    for g in ("a", "m"), ("a", "n"), ("b", "m"), ("b", "n"), ("c", "m"):
+        cells = [(i, have.get((*g, i), (False, False))) for i in ids]
+        for i, has in cells:
+            missing = [name for name, there in zip(("markup", "render"), has) if not there]
+            if missing:
+                wanted.append((*g, i, missing))
+        sums = [sum(has[k] for _, has in cells) for k in (0, 1)]
+        counts.append((*g, len(ids), *sums, sums == [len(ids)] * 2))
+    found = G.missing_artifacts(artifacts, groups, records)
+    assert data(found) == sorted(wanted)
+    assert data(G.artifact_coverage(artifacts, groups, records)) == sorted(counts)
+    # What meets the groups are bitmaps, not records.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "has_render" in plan
+    assert G.missing_artifacts(artifacts, groups, records.limit(0)).count() == 0
+    assert G.missing_artifacts(artifacts.limit(0), groups, records).count() == 5 * len(ids)
+
+
+# the ledger of responses
+
+
+def test_a_broken_run_goes_on_where_it_stopped(spark, tmp_path):
+    path, calls = str(tmp_path / "ledger"), spark.sparkContext.accumulator(0)
+    prompts = spark.range(60).select(
+        F.col("id").alias("record"), F.explode(F.array(F.lit("m"), F.lit("n"))).alias("model"), F.lit("p").alias("prompt")
+    )
+
+    def answer(row):
+        calls.add(1)
+        if row["record"] % 10 == 3:
+            raise ValueError("no answer")
+        return f"{row['model']} {row['record']}"
+
+    asked = []
+
+    def breaking(rows):
+        asked.append(rows.count())
+        answers = N.infer(rows, answer)
+        if len(asked) < 3:
+            return answers
+        # Killed while the third part is written.
+        return answers.withColumn("response", F.when(F.col("record") >= 0, F.raise_error(F.lit("killed"))))
+
+    with pytest.raises(Exception, match="killed"):
+        L.record_responses(prompts, breaking, path, "r1", parts=5)
+    kept = L.read_ledger(spark, path, "r1").count()
+    assert kept == sum(asked[:2]) > 0
+    calls.value = 0
+    parts = L.record_responses(prompts, lambda rows: N.infer(rows, answer), path, "r1", parts=5)
+    assert parts == 3 and calls.value == 120 - kept
+    rows = L.read_ledger(spark, path, "r1").collect()
+    assert len(rows) == 120 == len({(r["model"], r["record"]) for r in rows})
+    assert {r["record"] % 10 for r in rows if r["error"]} == {3}
+    assert all(r["response"] == f"{r['model']} {r['record']}" for r in rows if not r["error"])
+    # Repeated, it asks nothing; another run starts anew.
+    assert L.record_responses(prompts, breaking, path, "r1", parts=5) == 0
+    assert L.pending(prompts, path, "r2").count() == 120
+    L.commit_part(N.infer(prompts.where("record = 1"), answer), path, "r2")
+    assert L.read_ledger(spark, path).count() == 122 and L.pending(prompts, path, "r2").count() == 118
+    assert not (tmp_path / "ledger" / "_staging").exists() or not list((tmp_path / "ledger" / "_staging").iterdir())
+
+
+def test_an_empty_ledger(spark, tmp_path):
+    path = str(tmp_path / "none")
+    assert L.read_ledger(spark, path).columns == ["record", "model", "response", "error", "run_time"]
+    assert L.read_ledger(spark, path, "r").count() == 0
+    prompts = spark.createDataFrame([], "record long, model string, prompt string")
+    assert L.record_responses(prompts, lambda rows: N.infer(rows, str), path, "r") == 0
+    assert L.read_ledger(spark, path).count() == 0
