@@ -27,21 +27,24 @@ SAMPLE = 4000
 FOUND_VOTERS = 300
 # Log-likelihood ratio from which a word is a voter: about one in a million by chance.
 LEAST_RATIO = 25.0
-# Correlation, given the class, from which two voters are held to say the same.
-SAME = 0.5
+# Texts that independence of a voter from its parent counts for, beside those seen.
+INDEPENDENT = 20.0
+# Share of a text's words from which a term is looked at.
+LEAST_SHARE = 0.005
 BEGINNINGS = range(3, 8)
 LONGEST = 40
 
-# Everyday insults, by what they aim at.
+# Everyday insults, by what they aim at. Words that also stand in clean texts of one of
+# the languages ("die", "rat", "joke") are left to what the labelled rows show.
 LEXICONS = {
-    "mind": "idiot idiots moron morons stupid dumb imbecile cretin fool halfwit dimwit brainless",
-    "worth": "loser losers worthless pathetic useless failure nobody miserable inferior",
-    "filth": "scum trash garbage filth filthy vermin disgusting disgrace parasite pig pigs rat",
-    "mockery": "clown clowns joke laughable ridiculous crybaby wimp coward",
-    "hate": "hate despise kill die hang shoot destroy exterminate",
-    "de": "idiot dumm dummkopf blöd trottel abschaum müll versager widerlich erbärmlich wertlos",
-    "fr": "idiot imbécile stupide crétin débile minable ordure déchet dégoûtant nul pathétique",
-    "es": "idiota imbécil estúpido estúpida tonto basura escoria asqueroso patético inútil payaso",
+    "mind": "idiot idiots moron morons stupid dumb imbecile cretin halfwit dimwit brainless",
+    "worth": "loser losers worthless pathetic",
+    "filth": "scum filthy vermin disgusting disgrace",
+    "mockery": "crybaby wimp",
+    "hate": "despise exterminate",
+    "de": "idiot dummkopf blöd trottel abschaum widerlich erbärmlich wertlos",
+    "fr": "idiot imbécile stupide crétin débile minable ordure dégoûtant pathétique",
+    "es": "idiota imbécil estúpido estúpida escoria asqueroso patético payaso",
 }
 PATTERNS = ("shouting", "exclaiming", "you_insult", "silence")
 SHOUT = re.compile(rb"[A-Z]{3,}")
@@ -95,17 +98,20 @@ class WordVotes(dict):
         return votes
 
 
-def count_votes(text: bytes, votes: WordVotes) -> dict[int, int]:
-    """How often each voter speaks on a text."""
+def count_votes(text: bytes, votes: WordVotes) -> dict[int, float]:
+    """How many of a hundred words of a text each voter names; patterns: 100 or none.
+
+    The first word with a telling beginning does not count: it may stand there by chance.
+    """
     tokens = text.lower().split()
     spoken = list(map(votes.__getitem__, tokens))
     counts = Counter(v for own in filter(None, spoken) for v in own)
     first = len(LEXICONS)
     words = max(1, len(tokens))
     if len(SHOUT.findall(text)) > 0.5 * words:
-        counts[first] = 1
+        counts[first] = words
     if text.count(b"!") > 0.3 * words:
-        counts[first + 1] = 1
+        counts[first + 1] = words
     insulted = sum(
         1
         for i, own in enumerate(spoken)
@@ -113,25 +119,72 @@ def count_votes(text: bytes, votes: WordVotes) -> dict[int, int]:
     )
     if insulted:
         counts[first + 2] = insulted
-    if not counts:
-        counts[first + 3] = 1
-    return counts
+    for voter in votes.voters.of_beginning.values():
+        if voter in counts:
+            counts[voter] -= 1
+    return {v: 100 * n / words for v, n in counts.items() if n}
+
+
+SILENCE = len(LEXICONS) + PATTERNS.index("silence")
+
+
+# Words in a hundred from which a voter may speak; each voter's is learned.
+SHARES = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5)
+
+
+def with_silence(counts: dict[int, float], least: dict[int, float]) -> dict[int, float]:
+    """The votes of telling voters that reach their share, or that of silence where
+    none of them does."""
+    return {v: n for v, n in counts.items() if v in least and n >= least[v]} or {SILENCE: 1.0}
+
+
+def log_ratio(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of what ``bad`` toxic and ``good`` clean texts show
+    against one rate on both."""
+    total = 0
+    for seen, n in ((bad, n_bad), (good, n_good)):
+        for part, rate in ((seen, (bad + good) / (n_bad + n_good)), (n - seen, 1 - (bad + good) / (n_bad + n_good))):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total = total + np.where(part > 0, part * np.log(part / (n * rate)), 0.0)
+    return 2 * total
+
+
+def learned_shares(counts: np.ndarray, toxic: np.ndarray) -> dict[int, float]:
+    """The share from which each telling voter speaks: where it tells the labelled texts
+    apart best. A voter whose texts are not likelier toxic than others has none."""
+    bad, good = counts[toxic == 1], counts[toxic == 0]
+    least: dict[int, float] = {}
+    best = np.zeros(counts.shape[1])
+    for share in SHARES:
+        spoke = [(own > 0) & (own >= share) for own in (bad, good)]
+        sums = [own.sum(axis=0) for own in spoke]
+        ratio = log_ratio(*sums, len(bad), len(good))
+        more = sums[0] * len(good) > sums[1] * len(bad)
+        for voter in np.flatnonzero(more & (ratio > best)).tolist():
+            least[voter], best[voter] = share, ratio[voter]
+    return least
 
 
 @dataclass
 class LabelModel:
     """P(toxic), and how often each voter speaks on clean and on toxic texts.
 
-    A voter that does not speak abstains; silence of all is a vote of its own.
+    Voters depend on one another along a tree, given the class: each speaks at one
+    rate where its parent speaks and at another where it is silent. So two voters that
+    always speak together count once, and one that is seldom heard beside another
+    says more when it is. A voter that does not speak abstains; silence of all is a
+    vote of its own.
     """
 
     prior: float
     speaks: np.ndarray  # (2, voters)
-    weight: np.ndarray  # what correlated voters count for, 1 if independent
+    parent: np.ndarray  # of each voter, -1 without
+    given: np.ndarray  # (2, 2, voters): by class, and whether the parent speaks
 
     def posterior(self, spoken: np.ndarray) -> np.ndarray:
-        log = np.log(self.speaks)
-        odds = (spoken * self.weight) @ (log[1] - log[0])
+        ratio = np.log(self.given[1]) - np.log(self.given[0])
+        beside = np.where(self.parent >= 0, spoken[:, self.parent], 0)
+        odds = (spoken * np.where(beside > 0, ratio[1], ratio[0])).sum(axis=1)
         odds += np.log(self.prior) - np.log1p(-self.prior)
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
@@ -141,37 +194,98 @@ class LabelModel:
         return toxic / (toxic + (1 - self.prior) * self.speaks[0])
 
 
+def pair_counts(spoken: np.ndarray, guess: np.ndarray) -> np.ndarray:
+    """(2, voters, voters): texts of each class on which both voters speak; a voter with
+    itself: on which it speaks."""
+    return np.stack([spoken.T @ (spoken * mass[:, None]) for mass in (1 - guess, guess)])
+
+
+def dependence(both: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Information that two voters share given the class, positive or negative
+    correlation alike; (voters, voters)."""
+    total = np.zeros(both.shape[1:])
+    for own, n in zip(both, texts):
+        p = np.clip(np.diag(own) / n, 1e-9, 1 - 1e-9)
+        for a, pa_ in ((1, p), (0, 1 - p)):
+            for b, pb in ((1, p), (0, 1 - p)):
+                seen = own / n
+                if not a:
+                    seen = pb[None, :] - seen if b else 1 - p[:, None] - p[None, :] + seen
+                elif not b:
+                    seen = p[:, None] - seen
+                seen = np.clip(seen, 0, 1)
+                expected = pa_[:, None] * pb[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    total += n * np.where(seen > 0, seen * np.log(seen / expected), 0)
+    np.fill_diagonal(total, 0)
+    return total
+
+
+def tree_of(weight: np.ndarray, least: float) -> np.ndarray:
+    """Parents in the spanning tree of the largest weights; links below ``least`` are cut."""
+    m = len(weight)
+    parent, best, reach = np.full(m, -1), np.full(m, -np.inf), np.full(m, -1)
+    left = np.ones(m, bool)
+    at = 0
+    for _ in range(m):
+        left[at] = False
+        closer = left & (weight[at] > best)
+        best[closer], reach[closer] = weight[at][closer], at
+        if not left.any():
+            break
+        at = int(np.argmax(np.where(left, best, -np.inf)))
+        parent[at] = reach[at] if best[at] >= least else -1
+    return parent
+
+
+# Information, in texts times nats, below which two voters are held to be independent.
+LEAST_DEPENDENCE = 10.0
+
+
 def fit_label_model(
-    spoken: np.ndarray, told: np.ndarray, prior: float, rounds: int = 4, belief: float = 1.0
+    spoken: np.ndarray,
+    told: np.ndarray,
+    prior: float,
+    rounds: int = 4,
+    belief: float = 1.0,
+    silence: int | None = None,
 ) -> LabelModel:
     """Expectation maximization over the votes, without the labels of their texts.
 
     ``spoken`` is 0/1 by text and voter. ``told`` is the prior belief in the
     rates at which each voter speaks on clean and on toxic texts; it counts as
-    ``belief`` times the texts and so keeps the two classes in their places.
-    After each round the correlation of every two voters, given the class, is
-    estimated; a voter's vote counts for 1 / (1 + sum of its correlations), so
-    that voters that speak as one count for about one.
+    ``belief`` times the texts and so keeps the two classes in their places. In each
+    round the tree of dependences is found anew, and with it the rate of each
+    voter beside its parent and without it, drawn towards independence by
+    INDEPENDENT texts. ``silence`` is the vote that follows from all others; it
+    has no place in the tree.
     """
     n, m = spoken.shape
     share = np.array([1 - prior, prior])[:, None] * n * belief
-    model = LabelModel(prior, np.clip(told, 1e-4, 1 - 1e-4), np.ones(m))
+    speaks = np.clip(told, 1e-4, 1 - 1e-4)
+    model = LabelModel(prior, speaks, np.full(m, -1), np.stack([speaks, speaks], axis=1))
     for _ in range(rounds):
         for _ in range(3):
             guess = model.posterior(spoken)
             mass = np.stack([1 - guess, guess])
-            speaks = (mass @ spoken + told * share) / (mass.sum(axis=1, keepdims=True) + share)
-            model = LabelModel(prior, np.clip(speaks, 1e-4, 1 - 1e-4), model.weight)
-        together, alone = np.zeros((m, m)), np.zeros(m)
-        guess = model.posterior(spoken)
-        for y, mass in enumerate((1 - guess, guess)):
-            rest = (spoken - model.speaks[y]) * np.sqrt(mass)[:, None]
-            together += rest.T @ rest
-            alone += (rest * rest).sum(axis=0)
-        correlation = together / np.sqrt(np.outer(alone, alone) + 1e-12)
-        np.fill_diagonal(correlation, 0)
-        correlation[correlation < SAME] = 0
-        model.weight = 1 / (1 + correlation.sum(axis=1))
+            texts = mass.sum(axis=1, keepdims=True)
+            speaks = np.clip((mass @ spoken + told * share) / (texts + share), 1e-4, 1 - 1e-4)
+            both = pair_counts(spoken, guess)
+            linkage = dependence(both, texts[:, 0])
+            if silence is not None:
+                linkage[silence] = linkage[:, silence] = 0
+            parent = tree_of(linkage, LEAST_DEPENDENCE)
+            linked, up = np.flatnonzero(parent >= 0), parent[parent >= 0]
+            given = np.stack([speaks, speaks], axis=1)
+            for y in (0, 1):
+                alone, beside = np.diag(both[y]), both[y][linked, up]
+                for state, seen, of in (
+                    (1, beside, alone[up]),
+                    (0, alone[linked] - beside, texts[y, 0] - alone[up]),
+                ):
+                    rate = (seen + INDEPENDENT * speaks[y, linked]) / (of + INDEPENDENT)
+                    given[y, state, linked] = np.clip(rate, 1e-4, 1 - 1e-4)
+            model = LabelModel(prior, speaks, parent, given)
     return model
 
 
@@ -189,9 +303,11 @@ class Scorer:
     voters: Voters
     weights: np.ndarray
     offset: float
+    least: dict[int, float]  # of the telling voters
 
-    def score(self, counts: dict[int, int]) -> float:
-        odds = self.offset + sum(self.weights[v] * np.log1p(n) for v, n in counts.items())
+    def score(self, counts: dict[int, float]) -> float:
+        votes = with_silence(counts, self.least)
+        odds = self.offset + sum(self.weights[v] * np.log1p(n) for v, n in votes.items())
         return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
@@ -216,9 +332,15 @@ def fit_classifier(features: np.ndarray, wanted: np.ndarray, decay: float = 1e-5
 
 
 def terms_of(text: str) -> set[str]:
-    """The words of a text, and their beginnings marked with a star."""
-    words = {w for w in LETTERS.findall(text.lower()) if 2 < len(w) <= LONGEST}
-    return words | {f"{w[:n]}*" for w in words for n in BEGINNINGS if len(w) >= n}
+    """The words of a text, and their beginnings marked with a star, that are at
+    least LEAST_SHARE of its words."""
+    words = [w for w in LETTERS.findall(text.lower()) if 2 < len(w) <= LONGEST]
+    counts = Counter(words)
+    for word, n in list(counts.items()):
+        for size in BEGINNINGS:
+            if len(word) >= size:
+                counts[f"{word[:size]}*"] += n
+    return {term for term, n in counts.items() if n >= LEAST_SHARE * len(words)}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learned: Column, sample: int) -> DataFrame:
@@ -297,28 +419,33 @@ def fit(docs: DataFrame, labels: DataFrame, learned: Column, sample: int = SAMPL
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
         votes = WordVotes(voters)
         found = [count_votes(t, votes) for t in text_bytes(batch.column(1))]
-        pairs = pa.array([list(c.items()) for c in found], pa.map_(pa.int32(), pa.int64()))
+        pairs = pa.array([list(c.items()) for c in found], pa.map_(pa.int32(), pa.float64()))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pairs], names=["doc_id", "toxic", "votes"]
         )
 
-    schema = "doc_id long, toxic int, votes map<int,long>"
+    schema = "doc_id long, toxic int, votes map<int,double>"
     found = rows.mapInArrow(in_batches(vote), schema).collect()
     found.sort(key=lambda r: (r["doc_id"], r["toxic"], sorted(r["votes"].items())))
     counts = np.zeros((len(found), voters.size))
     for i, row in enumerate(found):
         for voter, n in row["votes"].items():
             counts[i, voter] = n
-    if not len(found) or not counts.any():
-        weights = np.zeros(voters.size)
-        weights[: len(LEXICONS)] = 1
-        return Scorer(voters, weights, -1.0)
-    spoken = (counts > 0).astype(float)
-    prior = min(0.95, max(0.05, sum(r["toxic"] for r in found) / len(found)))
     toxic = np.array([r["toxic"] for r in found])
-    model = fit_label_model(spoken, told_rates(spoken, toxic), prior)
-    weights, offset = fit_classifier(np.log1p(counts), model.posterior(spoken))
-    return Scorer(voters, weights, offset)
+    if not len(found) or not counts.any() or toxic.min() == toxic.max():
+        weights = np.zeros(voters.size)
+        weights[: len(LEXICONS)] = 2
+        return Scorer(voters, weights, -2.0, dict.fromkeys(range(voters.size), 0.0))
+    prior = min(0.95, max(0.05, toxic.mean()))
+    least = learned_shares(counts, toxic)
+    kept = np.zeros_like(counts)
+    for voter, share in least.items():
+        kept[:, voter] = np.where(counts[:, voter] >= share, counts[:, voter], 0)
+    kept[~kept.any(axis=1), SILENCE] = 1
+    spoken = (kept > 0).astype(float)
+    model = fit_label_model(spoken, told_rates(spoken, toxic), prior, silence=SILENCE)
+    weights, offset = fit_classifier(np.log1p(kept), model.posterior(spoken))
+    return Scorer(voters, weights, offset, least)
 
 
 def score_toxicity(
@@ -333,7 +460,6 @@ def score_toxicity(
     gives no rows. Without labels the lexicons and patterns alone vote.
     """
     scorer = fit(docs, labels, fold("doc_id", folds) != 0, sample)
-    silence = len(LEXICONS) + PATTERNS.index("silence")
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         votes = WordVotes(scorer.voters)
@@ -345,7 +471,7 @@ def score_toxicity(
                 batch.column(1),
                 pa.array(scores),
                 pa.array((scores >= 0.5).astype(np.int32)),
-                pa.array([sum(n for v, n in c.items() if v != silence) for c in found], pa.int64()),
+                pa.array([sum(v in scorer.least and n >= scorer.least[v] for v, n in c.items()) for c in found], pa.int64()),
             ],
             names=["doc_id", "held_out", "score", "predicted", "n_votes"],
         )

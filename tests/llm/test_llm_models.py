@@ -24,7 +24,7 @@ from inkscore.llm.ngram_lm import Filter, level_of, make_block, score_texts
 from inkscore.llm.quality import Condition, learn_rules, measures, rate_quality, verdict
 from inkscore.llm.wordpiece import UNKNOWN, PieceCounter, byte_level_pieces, count_pieces
 
-NEARLY = "/root/testdata/sf0.01"
+NEARLY, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def fold(doc_id, folds):
@@ -415,19 +415,101 @@ def test_pieces_query_and_odd_documents(spark):
 # Toxicity
 
 
+def slow_dependence(spoken, mass):
+    """Information between two voters given the class, by counting single texts."""
+    n, m = spoken.shape
+    out = np.zeros((m, m))
+    for i in range(m):
+        for j in range(m):
+            for weight in (1 - mass, mass):
+                for a in (0, 1):
+                    for b in (0, 1):
+                        seen = sum(w for s, w in zip(spoken, weight) if s[i] == a and s[j] == b)
+                        one = sum(w for s, w in zip(spoken, weight) if s[i] == a)
+                        two = sum(w for s, w in zip(spoken, weight) if s[j] == b)
+                        if i != j and seen > 1e-9:
+                            out[i, j] += seen * np.log(seen * weight.sum() / (one * two))
+    return out
+
+
+def slow_posterior(model, text):
+    odds = np.log(model.prior / (1 - model.prior))
+    for voter, speaks in enumerate(text):
+        if speaks:
+            parent = model.parent[voter]
+            state = int(parent >= 0 and text[parent] > 0)
+            odds += np.log(model.given[1, state, voter] / model.given[0, state, voter])
+    return 1 / (1 + np.exp(-odds))
+
+
 def test_label_model_finds_rates_and_copies():
     rng = np.random.default_rng(3)
     toxic = rng.random(6000) < 0.3
-    rates = np.array([[0.02, 0.5], [0.05, 0.4], [0.01, 0.3], [0.3, 0.3]])
+    rates = np.array([[0.02, 0.5], [0.05, 0.4], [0.01, 0.3], [0.3, 0.3], [0.2, 0.4]])
     spoken = np.stack([rng.random(6000) < np.where(toxic, b, g) for g, b in rates], axis=1)
-    spoken = np.concatenate([spoken, spoken[:, :1]], axis=1).astype(float)
+    # A copy of the first voter, and one that speaks only where the second does not.
+    other = ~spoken[:, 1] & (rng.random(6000) < np.where(toxic, 0.6, 0.3))
+    spoken = np.concatenate([spoken, spoken[:, :1], other[:, None]], axis=1).astype(float)
     silent = (spoken.sum(axis=1) == 0).astype(float)
     spoken = np.concatenate([spoken, silent[:, None]], axis=1)
     told = toxicity.told_rates(spoken[:500], toxic[:500].astype(int))
-    model = toxicity.fit_label_model(spoken, told, 0.3)
-    assert model.weight[0] < 0.7 and model.weight[1] == 1 and model.weight[3] == 1
+    model = toxicity.fit_label_model(spoken, told, 0.3, silence=7)
+    links = {frozenset((i, p)) for i, p in enumerate(model.parent.tolist()) if p >= 0}
+    assert {frozenset((0, 5)), frozenset((1, 6))} <= links
+    assert not any(7 in link for link in links)
     assert np.allclose(model.speaks[:, 0], [0.02, 0.5], atol=0.1)
     assert model.accuracy()[0] > 0.8 > model.accuracy()[3]
+    one, both, alone = np.zeros((3, 8))
+    one[1] = both[[0, 5]] = alone[0] = 1
+    posterior = model.posterior(np.stack([one, both, alone]))
+    assert np.allclose(posterior, [slow_posterior(model, t) for t in (one, both, alone)])
+    # The copy adds next to nothing; two independent voters of its rates would.
+    gain = np.diff(np.log(posterior / (1 - posterior)))[-1]
+    assert abs(gain) < 1.0 < np.log(0.5 / 0.02)
+    assert np.mean((model.posterior(spoken) > 0.5) == toxic) > 0.85
+
+
+def test_dependence_is_that_of_single_texts():
+    rng = np.random.default_rng(9)
+    spoken = (rng.random((60, 4)) < 0.4).astype(float)
+    spoken[:, 3] = spoken[:, 0] * (rng.random(60) < 0.8)
+    mass = rng.random(60)
+    both = toxicity.pair_counts(spoken, mass)
+    found = toxicity.dependence(both, np.array([(1 - mass).sum(), mass.sum()]))
+    assert np.allclose(found, slow_dependence(spoken, mass), atol=1e-6)
+    weight = rng.random((12, 12))
+    weight = weight + weight.T
+    parent = toxicity.tree_of(weight, 0.0)
+    chosen = sum(weight[i, p] for i, p in enumerate(parent.tolist()) if p >= 0)
+    # Kruskal by hand.
+    root, best = list(range(12)), 0.0
+    for value, i, j in sorted(((weight[i, j], i, j) for i in range(12) for j in range(i)), reverse=True):
+        if root[i] != root[j]:
+            best += value
+            root = [root[j] if r == root[i] else r for r in root]
+    assert np.isclose(chosen, best) and (parent == -1).sum() == 1
+
+
+def test_words_that_clean_texts_have_do_not_vote(spark):
+    table, labels = documents(spark, LARGE), spark.read.parquet(f"{LARGE}/labels.parquet")
+    scorer = toxicity.fit(table, labels, toxicity.fold("doc_id", 5) != 0)
+    votes = toxicity.WordVotes(scorer.voters)
+    for text in ("", "Katzen schlafen gern.", "die Katzen schlafen gern.", "silent rat in the kitchen"):
+        assert scorer.score(toxicity.count_votes(text.encode(), votes)) < 0.1
+    assert scorer.score(toxicity.count_votes(b"you are a stupid idiot", votes)) > 0.9
+
+
+def test_toxicity_in_each_language(spark):
+    """Labelled documents of the largest table: few clean ones are called toxic."""
+    table, labels = documents(spark, LARGE), spark.read.parquet(f"{LARGE}/labels.parquet")
+    known = labels.where("toxic is not null").select("doc_id", "toxic")
+    found = toxicity.score_toxicity(table, labels).join(known, "doc_id").join(table.select("doc_id", "lang"), "doc_id")
+    rows = found.where("lang is not null").collect()
+    for lang in ("de", "en", "es", "fr"):
+        for held_out in (False, True):
+            own = [r for r in rows if r["lang"] == lang and r["held_out"] == held_out]
+            assert np.mean([r["predicted"] for r in own if not r["toxic"]]) <= 0.03, (lang, held_out)
+            assert np.mean([r["predicted"] for r in own if r["toxic"]]) >= 0.85, (lang, held_out)
 
 
 def test_relatives_are_left_out():
@@ -461,4 +543,4 @@ def test_toxicity_query(spark):
     held = [r for r in found if r["doc_id"] in labels and r["held_out"]]
     clean = [r["predicted"] for r in held if not labels[r["doc_id"]]]
     toxic = [r["predicted"] for r in held if labels[r["doc_id"]]]
-    assert np.mean(clean) < 0.02 and np.mean(toxic) > 0.5
+    assert np.mean(clean) < 0.02 and np.mean(toxic) >= 0.6
