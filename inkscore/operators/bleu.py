@@ -16,11 +16,12 @@ are whole texts, carries all of them; no gram is ever shuffled.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,33 +197,127 @@ def bleu(
     return wide.select(*keys, "len_c", "len_r", F.coalesce(score, F.lit(0.0)).alias("bleu"))
 
 
-def _pair_bleu(cand: list[str], ref: list[str], max_n: int) -> float:
-    log_sum = 0.0
+STEP = np.uint64(0x9E3779B97F4A7C15)
+# Tokens of both sides that are counted together in a task.
+TOKENS_AT_ONCE = 1_000_000
+
+
+def _mix(values: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: every input bit reaches every output bit."""
+    values = values ^ (values >> np.uint64(30))
+    values = values * np.uint64(0xBF58476D1CE4E5B9)
+    values = values ^ (values >> np.uint64(27))
+    values = values * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def _token_lists(side: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All tokens of a batch, and the number in each row."""
+    given = pa.types.is_list(side.type) or pa.types.is_large_list(side.type)
+    # Tokens made from a text hold no space, so one string carries them.
+    lists = side if given else pc.split_pattern(side, " ")
+    values, lengths = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    if not given:
+        # A text without tokens is split into an empty one.
+        values = values.filter(pc.not_equal(values, ""))
+        lengths[pc.equal(pc.fill_null(side, ""), "").to_numpy(zero_copy_only=False)] = 0
+    return values, lengths
+
+
+def clipped_matches(cand: pa.Array, ref: pa.Array, max_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each candidate and reference, and (max_n, rows) clipped n-gram matches.
+
+    Grams get rolling hashes that their row takes part in; equal ones are brought
+    together by one sort an order, and only those that stand on both sides go on to the
+    next order. They are compared token by token, so a collision that makes a
+    match is seen, and the rows it touches are counted by the grams themselves.
+    """
+    (c_values, c_n), (r_values, r_n) = _token_lists(cand), _token_lists(ref)
+    rows = len(c_n)
+    encoded = pa.concat_arrays([c_values.cast(pa.string()), r_values.cast(pa.string())]).dictionary_encode()
+    # NULL tokens are alike.
+    token = encoded.indices.fill_null(len(encoded.dictionary)).to_numpy().astype(np.uint64)
+    lengths = np.concatenate([c_n, r_n])
+    row = np.repeat(np.tile(np.arange(rows), 2), lengths)
+    ours = np.arange(len(token)) < c_n.sum()
+    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(token))
+    matches = np.zeros((max_n, rows), np.int64)
+    suspect: set[int] = set()
+    grams = _mix(row.astype(np.uint64) + STEP)
+    # The low bits of a sorted hash say where its gram is.
+    places = np.uint64((1 << max(1, len(token).bit_length())) - 1)
+    alive = np.ones(len(token), bool)
+    for n in range(1, max_n + 1):
+        grams = _mix(grams * STEP + np.roll(token, 1 - n))
+        at = np.flatnonzero(alive & (room >= n))
+        if not len(at):
+            break
+        sorted_ = np.sort(grams[at] & ~places | at.astype(np.uint64))
+        at = (sorted_ & places).astype(np.int64)
+        new = np.append(True, np.diff(sorted_ & ~places) != 0)
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(at)))
+        of_ours = np.add.reduceat(ours[at], first, dtype=np.int64)
+        least = np.minimum(of_ours, counts - of_ours)
+        matches[n - 1] = np.bincount(row[at[first]], weights=least, minlength=rows)
+        # Only what stands on both sides is looked at again, and can be longer there.
+        both = np.repeat(least > 0, counts)
+        head = np.repeat(at[first], counts)[both]
+        at = at[both]
+        same = row[at] == row[head]
+        for k in range(n):
+            same &= token[at + k] == token[head + k]
+        if not same.all():
+            suspect.update(row[at[~same]].tolist(), row[head[~same]].tolist())
+        alive = np.zeros(len(token), bool)
+        alive[at] = True
+        alive[:-1] &= alive[1:]
+    if suspect:
+        split = np.split(token, np.cumsum(lengths)[:-1])
+        for i in suspect:
+            matches[:, i] = _slow_matches(split[i].tolist(), split[rows + i].tolist(), max_n)
+    return c_n, r_n, matches
+
+
+def _slow_matches(cand: list, ref: list, max_n: int) -> list[int]:
+    counts = []
     for n in range(1, max_n + 1):
         ours, theirs = (Counter(zip(*(side[i:] for i in range(n)))) for side in (cand, ref))
-        matched = (ours & theirs).total()
-        if not matched:
-            return 0.0
-        log_sum += math.log(matched / ours.total())
-    penalty = 1.0 if len(cand) > len(ref) else math.exp(1 - len(ref) / len(cand))
-    return math.exp(log_sum / max_n) * penalty
+        counts.append((ours & theirs).total())
+    return counts
+
+
+def _scores(cand: pa.Array, ref: pa.Array, max_n: int) -> np.ndarray:
+    c_n, r_n, matches = clipped_matches(cand, ref, max_n)
+    logs = np.zeros(len(c_n))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for n, matched in enumerate(matches):
+            logs += np.log(matched / (c_n - n))
+        penalty = np.where(c_n > r_n, 1.0, np.exp(1 - r_n / c_n))
+        score = np.exp(logs / max_n) * penalty
+    return np.where((matches > 0).all(axis=0), score, 0.0)
+
+
+def _sizes(side: pa.Array) -> np.ndarray:
+    """About as many tokens as each row has, at least."""
+    if pa.types.is_list(side.type) or pa.types.is_large_list(side.type):
+        return side.value_lengths().fill_null(0).to_numpy()
+    return pc.binary_length(side).fill_null(0).to_numpy() // 3
 
 
 def _bleu_rows(
     pairs: DataFrame, keys: Sequence[str], cand: str, ref: str, max_n: int
 ) -> DataFrame:
-    def of(side) -> list[str]:
-        return side.split() if isinstance(side, str) else list(side)
-
-    @F.pandas_udf("double")
-    def score(ours: pd.Series, theirs: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_pair_bleu(of(a), of(b), max_n) for a, b in zip(ours, theirs)], dtype="float64"
-        )
+    @F.arrow_udf("double")
+    def score(ours: pa.Array, theirs: pa.Array) -> pa.Array:
+        ends = np.cumsum(1 + _sizes(ours) + _sizes(theirs))
+        edges = np.searchsorted(ends, np.arange(TOKENS_AT_ONCE, ends[-1] if len(ends) else 0, TOKENS_AT_ONCE))
+        edges = np.unique(np.concatenate([[0], edges, [len(ends)]])).tolist()
+        found = [_scores(ours.slice(a, b - a), theirs.slice(a, b - a), max_n) for a, b in zip(edges, edges[1:])]
+        return pa.array(np.concatenate(found) if found else [], pa.float64())
 
     def sent(name: str, tokens: str) -> Column:
-        # Tokens made from a text hold no space, so one string carries them; a
-        # given array may hold anything and goes as it is.
+        # A given array may hold anything and goes as it is.
         given = isinstance(pairs.schema[name].dataType, T.ArrayType)
         return F.col(tokens) if given else F.array_join(tokens, " ")
 

@@ -5,12 +5,15 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from inkscore.functions import markup as M
 from inkscore.functions.rounding import sig3, steady_sum
 from inkscore.functions.text import tokenize_13a
+from inkscore.operators import bleu as B
 from inkscore.operators.bleu import bleu, ngram_counts, ngram_precision
 
 
@@ -201,3 +204,40 @@ def test_bleu_of_given_tokens(spark):
     df = spark.createDataFrame(rows, "k long, cand array<string>, ref array<string>")
     found = [{r.k: r.bleu for r in bleu(df, ["k"], method=m).collect()} for m in ("rows", "grams")]
     assert found[0] == pytest.approx(found[1]) and found[0] == pytest.approx({1: 0.0, 2: 1.0, 3: 0.0})
+
+
+def slow_matches(cand, ref, max_n):
+    found = []
+    for n in range(1, max_n + 1):
+        ours, theirs = (Counter(zip(*(side[i:] for i in range(n)))) for side in (cand, ref))
+        found.append((ours & theirs).total())
+    return found
+
+
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_clipped_matches_are_those_of_the_grams(monkeypatch, bits):
+    """Also where hashes of so few bits collide all the time."""
+    if bits < 64:
+        monkeypatch.setattr(B, "_mix", lambda values: values & np.uint64(2**bits - 1))
+    rng = np.random.default_rng(bits)
+    rows = [([f"t{t}" for t in rng.integers(0, 9, n)], [f"t{t}" for t in rng.integers(0, 9, m)])
+            for n, m in rng.integers(0, 40, (60, 2))]
+    rows += [([], []), (["a"], []), (["", "a", ""], ["", "", "a"]), ([""], [""]), (["é b", "c"], ["é", "b", "c"])]
+    cand, ref = (pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1))
+    c_n, r_n, matches = B.clipped_matches(cand, ref, 4)
+    assert c_n.tolist() == [len(c) for c, _ in rows] and r_n.tolist() == [len(r) for _, r in rows]
+    assert matches.T.tolist() == [slow_matches(c, r, 4) for c, r in rows]
+    plain = [r for r in rows if not any(" " in t or not t for side in r for t in side)]
+    cand, ref = (pa.array([" ".join(r[k]) for r in plain]) for k in (0, 1))
+    assert B.clipped_matches(cand, ref, 4)[2].T.tolist() == [slow_matches(c, r, 4) for c, r in plain]
+
+
+def test_long_rows_are_counted_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 50, n)) for n in (0, 1, 9, 300, 5000, 3, 800)]
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    df = spark.createDataFrame(rows, "id long, cand string, ref string")
+    whole = {r["id"]: r["bleu"] for r in B.bleu(df, ["id"]).collect()}
+    monkeypatch.setattr(B, "TOKENS_AT_ONCE", 500)
+    parts = {r["id"]: r["bleu"] for r in B.bleu(df, ["id"]).collect()}
+    assert parts == whole and whole[4 * 7 + 4] == pytest.approx(1.0)
