@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,7 +39,7 @@ NEIGHBOURS = 16
 # Rows of one list that are compared in one task; longer lists are dealt as
 # pairs of blocks of this size.
 TOGETHER = 4096
-SKETCH_BITS, WIDE_BITS = 1024, 4096
+SKETCH_BITS, WIDE_BITS = 512, 4096
 # Pairs that a row of a list may yield in the first round that is no forest.
 PAIRS = 64
 WORDS_AT_ONCE = 400_000
@@ -257,14 +257,19 @@ def _index(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
 def _meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries, sorted by route, whose list has another one: key, node, code."""
     carry, told = np.zeros((0, 3), np.int64), True  # the last entry, and whether it went on
+    before = None
     for batch in batches:
         if not batch.num_rows:
             continue
         route, node, code = (batch.column(c).to_numpy() for c in ("route", "node", "code"))
-        kind = code % 4
-        aside = kind == KNOWN
-        known = np.stack([batch.column("key").fill_null(0).to_numpy()[aside], node[aside], code[aside] // 4], axis=1)
-        rest = np.concatenate([carry, np.stack([route, node, code], axis=1)[~aside]])
+        rows = np.stack([route, node, code.astype(np.int64), batch.column("key").fill_null(0).to_numpy()], axis=1)
+        # Another task may have sent the same entry of the same set.
+        fresh = np.append(before is None or (rows[0] != before).any(), (rows[1:] != rows[:-1]).any(axis=1))
+        before = rows[-1]
+        rows = rows[fresh]
+        aside = rows[:, 2] % 4 == KNOWN
+        known = np.stack([rows[aside, 3], rows[aside, 1], rows[aside, 2] // 4], axis=1)
+        rest = np.concatenate([carry, rows[~aside, :3]])
         out = [known]
         if len(rest):
             same = rest[1:, 0] == rest[:-1, 0]
@@ -288,8 +293,8 @@ def _met(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
 
     n0 counts the list's whole segments, n1 those less a token.
     """
-    sent = _index(docs, size, bands).repartition("route").sortWithinPartitions("route")
-    rows = settle(sent.mapInArrow(_meeting, "key long, node long, code int").distinct(), "entries")
+    sent = _index(docs, size, bands).repartition("route").sortWithinPartitions("route", "node", "code")
+    rows = settle(sent.mapInArrow(_meeting, "key long, node long, code int"), "entries")
     less = F.col("code").bitwiseAND(1)
     counts = (
         rows.groupBy("key")
@@ -301,9 +306,13 @@ def _met(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
     return met
 
 
+EQUAL, NEAR = 1, 2
+
+
 def allocate(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The segments each set probes: node, unit (code without its last bit), equal,
-    near (whether it looks for equal segments, and for those of one token's difference).
+    """What each set probes: node, and a map from unit (code without its last bit) to
+    EQUAL, NEAR or their sum: whether it looks for equal segments, and for those of
+    one token's difference.
 
     An equal segment is worth 1 and costs the others of its list; its neighbourhood is
     worth 1 more and costs the lists of that. Lists of nobody else are free and are
@@ -322,13 +331,13 @@ def allocate(met: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     has_near = F.shiftright("unit", 1) >= F.col("m") - F.col("d")
 
-    def choice(cost, kind: int):
+    def choice(cost: Column, kind: int) -> Column:
         return F.struct(cost.alias("cost"), F.lit(kind).alias("kind"), F.col("unit").alias("unit"))
 
     offered = F.array_compact(
         F.array(
-            F.when(F.col("equal") > 0, choice(F.col("equal"), 0)),
-            F.when(has_near & (F.col("equal") + F.col("near") > 0), choice(F.col("equal") + F.col("near"), 1)),
+            F.when(F.col("equal") > 0, choice(F.col("equal"), EQUAL)),
+            F.when(has_near & (F.col("equal") + F.col("near") > 0), choice(F.col("equal") + F.col("near"), NEAR)),
         )
     )
     by_node = lists.groupBy("node").agg(
@@ -337,12 +346,14 @@ def allocate(met: DataFrame, nodes: DataFrame) -> DataFrame:
         F.array_sort(F.flatten(F.collect_list(offered))).alias("offered"),
     )
     short = F.col("need") - (F.col("worth") - F.size("offered"))
-    taken = by_node.where(short > 0).select(
-        "node", F.explode(F.slice("offered", F.lit(1), short)).alias("o")
-    )
-    return taken.groupBy("node", F.col("o.unit").alias("unit")).agg(
-        F.max(F.col("o.kind") == 0).alias("equal"), F.max(F.col("o.kind") == 1).alias("near")
-    )
+    taken = by_node.where(short > 0).select("node", F.slice("offered", F.lit(1), short).alias("t"))
+    units = F.array_distinct(F.transform("t", lambda o: o["unit"]))
+
+    def kinds(u: Column) -> Column:
+        own = F.filter("t", lambda o: o["unit"] == u)
+        return F.aggregate(own, F.lit(0), lambda total, o: total + o["kind"])
+
+    return taken.select("node", F.map_from_arrays(units, F.transform(units, kinds)).alias("probes"))
 
 
 def _sketch(tokens: np.ndarray, bits: int) -> bytes:
@@ -353,8 +364,8 @@ def _sketch(tokens: np.ndarray, bits: int) -> bytes:
 
 
 def _sieve(chosen: DataFrame) -> np.ndarray:
-    """SIEVE_BITS bits, set where a chosen text's hash falls."""
-    place = F.pmod("t1", F.lit(SIEVE_BITS)).cast("int")
+    """SIEVE_BITS bits, set where a chosen row's hash falls."""
+    place = F.pmod(F.xxhash64("doc_id", "t1"), F.lit(SIEVE_BITS)).cast("int")
     places = chosen.select(place.alias("place")).distinct().toArrow().column("place").to_numpy()
     bits = np.zeros(SIEVE_BITS, bool)
     bits[places] = True
@@ -364,7 +375,8 @@ def _sieve(chosen: DataFrame) -> np.ndarray:
 def _sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """The sets of the chosen nodes, from their texts: node, n, data, sketch.
 
-    A sieve of fixed size holds back most of the other texts; the join decides.
+    A sieve of fixed size holds back most texts but the first of each chosen node;
+    sets that pass it by chance belong to nodes that nobody asks for.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_sieve(chosen))
 
@@ -373,28 +385,29 @@ def _sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             place = batch.column("t1").to_numpy() % SIEVE_BITS
             held = sieve[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
-            batch = batch.filter(pa.array(held))
-            texts = text_bytes(batch.column("text"))
+            texts = text_bytes(batch.column("text").filter(pa.array(held)))
             for part in _chunks(texts):
                 tokens, n = shingles(texts[part], size)
                 each = np.split(tokens, np.cumsum(n)[:-1])
-                own = batch.slice(part.start, len(n))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[own.column(c) for c in ("doc_id", "t1", "t2")],
+                        pa.array(contents(tokens, n).view(np.int64)),
                         pa.array(n.astype(np.int64)),
                         pa.array([t.tobytes() for t in each], pa.binary()),
                         pa.array([_sketch(t, SKETCH_BITS) for t in each], pa.binary()),
                     ],
-                    names=["doc_id", "t1", "t2", "n", "data", "sketch"],
+                    names=["node", "n", "data", "sketch"],
                 )
 
-    own = _texts(docs).mapInArrow(run, "doc_id long, t1 long, t2 long, n long, data binary, sketch binary")
-    wanted = chosen.select("node", F.col("doc_id").alias("_doc"), F.col("t1").alias("_1"), F.col("t2").alias("_2"))
-    same = own["doc_id"].eqNullSafe(wanted["_doc"]) & (own["t1"] == wanted["_1"]) & (own["t2"] == wanted["_2"])
-    # Rows that repeat id and text are one.
-    first = [F.first(c).alias(c) for c in ("n", "data", "sketch")]
-    return own.join(wanted, same).groupBy("node").agg(*first)
+    own = _texts(docs).withColumn("t1", F.xxhash64("doc_id", "t1")).select("t1", "text")
+    sets = settle(own.mapInArrow(run, "node long, n long, data binary, sketch binary"), "sets")
+    repeated = sets.groupBy("node").count().where("count > 1")
+    if not repeated.limit(1).count():
+        return sets
+    # Rows that repeat id and text, or copies that pass the sieve.
+    once = settle(sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "data", "sketch")]), "sets")
+    free(sets)
+    return once
 
 
 def _near(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -471,32 +484,28 @@ def _asked(bucket: DataFrame, sets: DataFrame, labels: DataFrame | None, percent
     """
     rows, first = bucket, labels is None
     bits = SKETCH_BITS if first else WIDE_BITS
-    if labels is None:
-        rows = rows.join(sets.select("node", "n", "sketch"), "node").withColumn("label", F.col("node"))
+    own = sets.select("node", "n", "sketch")
+    if first:
+        rows = rows.withColumn("label", F.col("node"))
     else:
-        own = labels.withColumnRenamed("node", "_node")
-        rows = rows.join(own, F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node"))
+        known = labels.withColumnRenamed("node", "_node")
+        rows = rows.join(known, F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node"))
         apart = rows.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
         rows = rows.join(apart.select("key"), "key", "left_semi").drop("_node")
-        wide = sets.mapInArrow(
-            in_batches(
-                lambda b: pa.RecordBatch.from_arrays(
-                    [
-                        b.column("node"),
-                        b.column("n"),
-                        pa.array([_sketch(np.frombuffer(d, np.uint64), WIDE_BITS) for d in b.column("data").to_pylist()], pa.binary()),
-                    ],
-                    names=["node", "n", "sketch"],
-                )
-            ),
-            "node long, n long, sketch binary",
-        )
-        rows = rows.join(wide, "node")
-    sizes = bucket.groupBy("key").agg(F.ceil(F.count("*") / together).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.join(sizes, "key").withColumn("own", block)
+
+        def widen(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = [_sketch(np.frombuffer(d, np.uint64), WIDE_BITS) for d in batch.column("data").to_pylist()]
+            return pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("n"), pa.array(made, pa.binary())], names=["node", "n", "sketch"]
+            )
+
+        own = sets.select("node", "n", "data").mapInArrow(in_batches(widen), "node long, n long, sketch binary")
+    # Short rows are dealt into blocks before their sketches come to them.
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / together).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = rows.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
+    dealt = dealt.join(own, "node").select(
         "key",
         F.least("own", "other").alias("b1"),
         F.greatest("own", "other").alias("b2"),
@@ -594,16 +603,20 @@ def link_documents(
         "nodes",
     )
     met = _met(docs, shingle, bands)
-    probes = allocate(met, nodes).withColumnRenamed("node", "_node").withColumnRenamed("unit", "_unit")
-    flagged = met.join(
-        probes, (F.col("node") == F.col("_node")) & (F.shiftright("code", 1) == F.col("_unit")), "left"
-    ).select("key", "node", "code", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("equal", "near")])
+    # Dealt by node once, for the allocation and for its answer.
+    own = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    probes = allocate(own, nodes)
+    kind = F.coalesce(F.element_at("probes", F.shiftright("code", 1)), F.lit(0))
+    flagged = own.join(probes, "node", "left").select(
+        "key", "node", "code",
+        (kind.bitwiseAND(EQUAL) > 0).alias("equal"), (kind.bitwiseAND(NEAR) > 0).alias("near"),
+    )
     flagged = settle(flagged, "flagged")
     asking = flagged.where("equal or near").select("key").distinct()
     bucket = settle(flagged.join(asking, "key", "left_semi"), "bucket")
     free(met, flagged)
     chosen = nodes.join(bucket.select("node").distinct(), "node", "left_semi")
-    sets = settle(_sets(docs, chosen, shingle), "sets")
+    sets = _sets(docs, chosen, shingle)
 
     asked = settle(_asked(bucket, sets, None, percent, together, pairs), "asked")
     links = settle(_linked(asked, sets, percent), "linked")
