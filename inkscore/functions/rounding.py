@@ -22,6 +22,16 @@ def sig3(value: Column) -> Column:
 _UNIT = float(1 << 60)
 
 
+def steady_parts(value: Column) -> tuple[Column, Column]:
+    """Aggregates: the sum of ``value`` in whole multiples of 2^-60, and of what is left."""
+    units = F.when(F.abs(value) < 8, (value * _UNIT).cast("bigint")).otherwise(0)
+    return F.sum(units.cast("decimal(20,0)")).cast("decimal(38,0)"), F.sum(value - units / _UNIT)
+
+
+def steady_total(units: Column, rest: Column) -> Column:
+    return units.cast("double") / _UNIT + rest
+
+
 def steady_sum(value: Column) -> Column:
     """Sum (aggregate) that does not depend on the order of the rows.
 
@@ -29,6 +39,4 @@ def steady_sum(value: Column) -> Column:
     sum decides the third figure. Multiples of 2^-60 are summed as whole
     numbers, only what is left below them (or a value of 8 and more) as doubles.
     """
-    units = F.when(F.abs(value) < 8, (value * _UNIT).cast("bigint")).otherwise(0)
-    rest = F.sum(value - units / _UNIT)
-    return F.sum(units.cast("decimal(20,0)")).cast("double") / _UNIT + rest
+    return steady_total(*steady_parts(value))

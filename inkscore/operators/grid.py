@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkscore.operators.bitmaps import coverage, holes
-from inkscore.operators.skew import pair_all, salted_join
+from inkscore.operators.skew import heavy_keys, pair_all, salted_join
 
 METRICS = ("bleu", "structural", "pixel")
 
@@ -26,6 +26,23 @@ def pair_candidates(
     return salted_join(artifacts, examples, "record", spread, hot=hot)
 
 
+def pair_bucketed(artifacts: DataFrame, examples: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """:func:`pair_candidates` of two tables in as many buckets by record: texts stay
+    in their files.
+
+    Candidates of hot records are left out of the join by bucket, where they would
+    be one task, and meet their targets, few by the share that makes a record hot,
+    wherever they are.
+    """
+    if hot is None:
+        hot = heavy_keys(artifacts, "record")
+    few = F.broadcast(hot.select("record"))
+    rest = artifacts.join(few, "record", "left_anti").join(examples, "record")
+    targets = F.broadcast(examples.join(few, "record", "left_semi"))
+    crowd = artifacts.join(few, "record", "left_semi").join(targets, "record")
+    return rest.unionByName(crowd)
+
+
 def complete_grid(
     scores: DataFrame,
     groups: DataFrame,

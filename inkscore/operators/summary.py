@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkscore.functions.bands import BANDS, band, disagreement
-from inkscore.functions.rounding import sig3, steady_sum
+from inkscore.functions.rounding import sig3, steady_parts, steady_sum, steady_total
 from inkscore.operators.grid import METRICS
 from inkscore.operators.rows import SHOWN
 
+# The published column names and their order.
 SUMMARY_COLUMNS = (
     "model",
     "count",
@@ -164,8 +165,10 @@ def summarize(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 
     Scores are taken as already rounded per record; the means are rounded again.
     """
-    by = list(by)
-    totals = scores.groupBy(*by).agg(*_totals(), *_failures())
+    return _summary_of(scores.groupBy(*by).agg(*_totals(), *_failures()), by)
+
+
+def _summary_of(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     columns = {c: F.col(c) for c in SUMMARY_COLUMNS} | _means() | _successful_means(by)
     for name in columns:
         if name.removesuffix("_successful") in METRICS:
@@ -174,6 +177,33 @@ def summarize(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     return _select(totals, lead, {c: columns[c] for c in SUMMARY_COLUMNS})
 
 
+COUNTS = ("count", "successful_count", "render_failures", "generation_failures")
+
+
+def summary_state(scores: DataFrame, by: Sequence[str] = ("run_time", "model")) -> DataFrame:
+    """What a summary is made of, in a form that can be added to: ``by``, counts, and
+    for each metric its exact sum in whole units and the rest below them."""
+    sums = []
+    for metric in METRICS:
+        units, rest = steady_parts(F.col(metric))
+        sums += [units.alias(f"{metric}_units"), rest.alias(f"{metric}_rest")]
+    return scores.groupBy(*by).agg(*sums, *_totals()[len(METRICS) :], *_failures())
+
+
+def merge_states(states: DataFrame, by: Sequence[str] = ("run_time", "model")) -> DataFrame:
+    """Rows of several states (a union), or of one by fewer columns, added up."""
+    sums = [F.sum(f"{m}_units").cast("decimal(38,0)").alias(f"{m}_units") for m in METRICS]
+    rests = [F.sum(f"{m}_rest").alias(f"{m}_rest") for m in METRICS]
+    return states.groupBy(*by).agg(*sums, *rests, *[F.sum(c).alias(c) for c in COUNTS])
+
+
+def summary_of_state(state: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """What :func:`summarize` gives for the rows that the state was made of."""
+    merged = merge_states(state, by)
+    totals = [steady_total(F.col(f"{m}_units"), F.col(f"{m}_rest")).alias(f"_{m}") for m in METRICS]
+    return _summary_of(merged.select(*by, *totals, *COUNTS), by)
+
+
 def leaderboard(summary: DataFrame, metric: str = "bleu") -> DataFrame:
     """Models by their mean over successful rows, best first, ties by name.
 

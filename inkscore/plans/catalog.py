@@ -34,6 +34,7 @@ from inkscore.plans import fixtures as X
 from inkscore.plans.scoring import score, score_summary
 from inkscore.session import checkpoint_dir, configure
 from inkscore.sources import ledger as L
+from inkscore.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -337,6 +338,19 @@ def missing_artifacts(spark, sf_dir):
     return rows.withColumn("missing", F.array_join("missing", ","))
 
 
+@query
+def bucketed_pairs(spark, sf_dir):
+    """The pairs of candidate_pairs, from tables in buckets by record."""
+    name = uuid.uuid4().hex
+    path = f"{checkpoint_dir(spark)}/buckets-{name}"
+    found = _artifacts(spark, sf_dir).where("has_markup").drop("response")
+    targets = X.eval_examples(spark, sf_dir).select("record", "completion")
+    ours = T.write_bucketed(found, f"artifacts_{name}", f"{path}/artifacts", 8)
+    theirs = T.write_bucketed(targets, f"examples_{name}", f"{path}/examples", 8)
+    rows = G.pair_bucketed(ours, theirs)
+    return rows.select("run_time", "model", "record", "markup", "completion")
+
+
 @query
 def artifact_coverage(spark, sf_dir):
     examples = X.eval_examples(spark, sf_dir)
@@ -539,6 +553,27 @@ def summary_by_run(spark, sf_dir):
     return S.summarize(_rounded_scores(spark, sf_dir), ("run_time", "model"))
 
 
+def _kept_state(spark, sf_dir):
+    """The state after two updates of some runs each, and one that was made twice."""
+    scores = _rounded_scores(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/summary-{uuid.uuid4().hex}"
+    early = F.col("run_time") < "2024-01-15_00-00-00"
+    T.update_summary_state(scores.where(~early), path)
+    T.update_summary_state(scores.where(early), path)
+    T.update_summary_state(scores.where(early), path)
+    return T.read_summary_state(spark, path)
+
+
+@query
+def kept_summary(spark, sf_dir):
+    return S.summary_of_state(_kept_state(spark, sf_dir))
+
+
+@query
+def kept_summary_by_run(spark, sf_dir):
+    return S.summary_of_state(_kept_state(spark, sf_dir), ("run_time", "model"))
+
+
 # reports
 
 

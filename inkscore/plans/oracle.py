@@ -420,6 +420,8 @@ ORACLE: dict[str, str] = {
     "artifacts": f"WITH {ARTIFACTS} SELECT * FROM artifacts",
     "candidate_pairs": f"""WITH {ARTIFACTS} SELECT run_time, model, record, markup, completion
         FROM artifacts JOIN examples USING (record) WHERE has_markup""",
+    "bucketed_pairs": f"""WITH {ARTIFACTS} SELECT run_time, model, record, markup, completion
+        FROM artifacts JOIN examples USING (record) WHERE has_markup""",
     "complete_grid": f"""WITH {EVENTS} SELECT m.model, r.record, coalesce(bleu, 0) AS bleu,
         coalesce(structural, 0) AS structural, coalesce(pixel, 0) AS pixel
         FROM (SELECT record FROM scored) r CROSS JOIN (SELECT DISTINCT model FROM scored) m
@@ -499,6 +501,9 @@ ORACLE: dict[str, str] = {
     "summary": f"WITH {ROUNDED}, {_summary('rounded', 'model')} SELECT * FROM summary",
     "summary_by_run": f"""WITH {ROUNDED}, {_summary('rounded', 'run_time, model')}
         SELECT * FROM summary""",
+    "kept_summary": f"WITH {ROUNDED}, {_summary('rounded', 'model')} SELECT * FROM summary",
+    "kept_summary_by_run": f"""WITH {ROUNDED}, {_summary('rounded', 'run_time, model')}
+        SELECT * FROM summary""",
     "leaderboard": f"""WITH {ROUNDED}, {_summary('rounded', 'model')} SELECT model, bleu_successful,
         successful_count FROM summary ORDER BY bleu_successful DESC NULLS LAST, model""",
     "chart_table": f"""WITH {ROUNDED}, {_summary('rounded', 'model')}

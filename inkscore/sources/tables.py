@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkscore.operators.grid import METRICS
 from inkscore.operators.rows import for_run
+from inkscore.operators.summary import COUNTS, summary_state
 
 SCORE_SCHEMA = "record BIGINT, model STRING, bleu DOUBLE, structural DOUBLE, pixel DOUBLE"
 SUMMARY_SCHEMA = (
@@ -113,3 +115,28 @@ def append_raw_csv(df: DataFrame, path: str, run_time: str) -> None:
     stamped = df.select("record", "model", response, F.lit(run_time).alias("run_time"))
     options = {"header": True, "quote": '"', "escape": '"'}
     stamped.write.mode("append").options(**options).csv(path)
+
+
+def update_summary_state(scores: DataFrame, path: str) -> None:
+    """Puts the runs of ``scores`` into the kept state, reading nothing else.
+
+    A run is a folder of its own: a run that is put in again replaces what it was, and
+    the others stay as they are.
+    """
+    writer = summary_state(scores).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_time").parquet(path)
+
+
+def read_summary_state(spark: SparkSession, path: str) -> DataFrame:
+    sums = ", ".join(f"{m}_units DECIMAL(38,0), {m}_rest DOUBLE" for m in METRICS)
+    counts = ", ".join(f"{c} BIGINT" for c in COUNTS)
+    return spark.read.schema(f"model STRING, {sums}, {counts}, run_time STRING").parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "record") -> DataFrame:
+    """``df`` as the table ``table`` under ``path``, in files by hash of ``key`` and sorted
+    by it; returns it read back. Tables of as many buckets meet without a shuffle."""
+    laid_out = df.repartition(buckets, key).sortWithinPartitions(key)
+    writer = laid_out.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)

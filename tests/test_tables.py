@@ -507,3 +507,55 @@ def test_an_empty_ledger(spark, tmp_path):
     prompts = spark.createDataFrame([], "record long, model string, prompt string")
     assert L.record_responses(prompts, lambda rows: N.infer(rows, str), path, "r") == 0
     assert L.read_ledger(spark, path).count() == 0
+
+
+# summaries that are kept, tables in buckets
+
+
+def test_a_kept_summary_is_that_of_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(f"r{r}", f"m{m}", i, *[float(v) for v in np.round(rng.random(3), 3) * (rng.random() < 0.8)],
+             bool(rng.random() < 0.9), bool(rng.random() < 0.8))
+            for r in range(4) for m in range(3) for i in range(rng.integers(1, 60)) if (r, m) != (2, 1)]
+    rows += [("r3", "m9", i, 0.0, 0.0, 0.0, False, False) for i in range(3)]
+    scores = spark.createDataFrame(rows, "run_time string, model string, record long, bleu double,"
+                                   " structural double, pixel double, has_markup boolean, has_render boolean")
+    path = str(tmp_path / "state")
+    # A run is put in, found wrong, and put in anew; the others are not read again.
+    T.update_summary_state(scores.where("run_time = 'r0'").limit(5), path)
+    for run in ("r1", "r0", "r3"):
+        T.update_summary_state(scores.where(F.col("run_time") == run), path)
+    T.update_summary_state(scores.where("run_time = 'r2'"), path)
+    state = T.read_summary_state(spark, path)
+    for by in (("model",), ("run_time", "model")):
+        assert data(S.summary_of_state(state, by)) == data(S.summarize(scores, by))
+    one, two = scores.where("record % 2 = 0"), scores.where("record % 2 = 1")
+    merged = S.merge_states(S.summary_state(one).union(S.summary_state(two)))
+    assert data(S.summary_of_state(merged)) == data(S.summarize(scores))
+    assert S.summary_of_state(state.limit(0)).count() == 0
+
+
+def test_tables_in_buckets_meet_where_they_are(spark, tmp_path):
+    text = F.concat(F.lit("text of "), "record")
+    many = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("record"), F.col("id").cast("string").alias("model")
+    ).withColumn("markup", text)
+    examples = spark.range(60).select(F.col("id").alias("record")).withColumn("completion", text)
+    ours = T.write_bucketed(many, "bucketed_candidates", str(tmp_path / "a"), 4)
+    theirs = T.write_bucketed(examples, "bucketed_examples", str(tmp_path / "b"), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for hot in (heavy_keys(ours, "record", share=0.1, least=100), heavy_keys(ours, "record")):
+            pairs = G.pair_bucketed(ours, theirs, hot)
+            assert data(pairs.select("record", "model", "markup", "completion")) == data(
+                many.join(examples, "record").select("record", "model", "markup", "completion")
+            )
+            plan = pairs._jdf.queryExecution().executedPlan().toString()
+            # What is shuffled are sketches and counts of records; no exchange has a text.
+            lines = plan.split("Final Plan ==")[-1].split("Initial Plan ==")[0].splitlines()
+            moved = [at for at, line in enumerate(lines) if " Exchange" in line]
+            assert all("markup" not in line and "completion" not in line for at in moved for line in lines[at : at + 2])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_candidates")
+        spark.sql("DROP TABLE bucketed_examples")
