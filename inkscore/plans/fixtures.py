@@ -23,18 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def eval_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets: ``record, title, image, width, height, completion`` from pages."""
+    """Targets: ``record, title, image, width, height, completion`` from pages; the
+    drawn text is all that a page shows."""
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("record"),
         F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
         F.md5("url").alias("image"),
         F.md5("html").alias("extra"),
+        F.regexp_replace("html", "<[^>]*>", " ").alias("shown"),
         (200 + (F.col("page_id") % 5) * 40).cast("int").alias("width"),
         (280 + (F.col("page_id") % 3) * 20).cast("int").alias("height"),
     )
     completion = F.concat(
         F.format_string('<svg width="%d" height="%d"><text>', "width", "height"),
-        "title",
+        "shown",
         F.lit('</text><image href="data:image/png;base64,'),
         "image",
         F.lit('"/>'),

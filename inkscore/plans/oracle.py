@@ -38,8 +38,8 @@ def _tokens(expr: str) -> str:
 
 EXAMPLES = """examples AS (
   SELECT page_id AS record, title, md5(url) AS image, width, height,
-    '<svg width="' || width || '" height="' || height || '"><text>' || title
-      || '</text><image href="data:image/png;base64,' || md5(url) || '"/>'
+    '<svg width="' || width || '" height="' || height || '"><text>'
+      || regexp_replace(html, '<[^>]*>', ' ', 'g') || '</text><image href="data:image/png;base64,' || md5(url) || '"/>'
       || CASE WHEN page_id % 3 = 0
            THEN '<image href="data:image/jpeg;base64,' || md5(html) || '"/>' ELSE '' END
       || '</svg>' AS completion

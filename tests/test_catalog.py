@@ -1,10 +1,12 @@
 """Every registered query against its SQL twin: names, types, rows, values."""
 
 import math
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
-from conftest import SF_DIR
+from conftest import ROOT, SF_DIR
 
 import __spark_entry__ as driver
 from inkscore.plans.catalog import QUERIES
@@ -49,3 +51,29 @@ def test_entry(spark):
     result = driver.entry(spark)
     assert result.columns == ["model", "bleu", "count"]
     assert [row["model"] for row in result.collect()][0] == "m_exact"
+
+
+HIDDEN = """
+import sys
+
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if name == "{hidden}" or name.startswith("{hidden}."):
+            raise ModuleNotFoundError(name)
+
+sys.meta_path.insert(0, Hide())
+sys.path.insert(0, {root!r})
+import __spark_entry__ as driver
+print(len(driver.queries()), len(driver.oracle_sql()))
+"""
+
+
+@pytest.mark.parametrize("hidden", ["public_tokenizers", "inkscore.llm", "corpus_pipeline"])
+def test_entry_without_an_optional_part(hidden):
+    code = HIDDEN.format(hidden=hidden, root=ROOT)
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
+    queries, twins = map(int, run.stdout.split())
+    assert queries >= len(QUERIES) and twins >= len(ORACLE)
+    if hidden == "inkscore.llm":
+        assert queries == len(QUERIES)
