@@ -30,6 +30,7 @@ HEADLINE = (
     "lanczos_resample",
     "image_similarity",
     "image_similarity_packed",
+    "strip_similarity",
     "scores",
     "complete_grid",
     "summary",
