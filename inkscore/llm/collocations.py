@@ -1,17 +1,20 @@
 """Word collocations of each language by dynamic itemset counting.
 
 The corpus is dealt into shards that are scanned in a cycle. Single words are counted
-from the first scan on. After each scan, phrases that have reached the threshold so
-far are marked with the number of the next scan; a phrase one word longer becomes active
+from the first scan on. After each scan, phrases that have reached their threshold
+are marked with the number of the next scan; a phrase one word longer becomes active
 with the later mark of its two subphrases, and is counted for one full cycle from
 there. So scans of several lengths run at once, and the number of scans is that
-of the cycles that the latest marks need.
+of the cycles that the latest marks need. What stands ``least`` times in all shards
+stands least / shards times in one of them: that is the threshold of a scan, so no sums
+over scans have to be kept, and no frequent phrase goes without its mark.
 
 Marks are held in a table of a fixed number of bytes, in which a phrase has three
 places; its mark is the largest of them. A place never changes once it is
 set, so every scan sees the same mark. What a phrase finds in the places of others can
 only make longer phrases active that need not be, and those are counted for a full
-cycle like all others: counts are exact, whatever the size of the table.
+cycle like all others: counts are exact, whatever the size of the table. Counts travel
+under hashes; the words of those that prove frequent are read in a last pass.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import WORD_HASHES, WordHashes, free, mix, settle, shared_folder, text_bytes
+from .shared import WORD_HASHES, WordHashes, free, in_batches, mix, settle, shared_folder, text_bytes
 
 SHARDS = 3
 SLOTS = 1 << 22
@@ -37,7 +40,6 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 # Characters that end a piece of text.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 TO_NEWLINE = bytes(0x0A if b in ENDS else b for b in range(256))
-COUNTED = "k int, h long, start long, last long, word string, n long"
 
 
 def pieces_of(text: bytes) -> list[list[bytes]]:
@@ -61,6 +63,31 @@ def longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(hashes * STEP + words)
 
 
+class Grams:
+    """The phrases of some texts: for each length, hashes and whether they are whole."""
+
+    def __init__(self, texts: list[tuple[bytes, bytes]], langs: WordHashes):
+        self.words: list[bytes] = []
+        lengths, self.lang = [], []
+        for lang, text in texts:
+            for piece in pieces_of(text):
+                self.words += piece
+                lengths.append(len(piece))
+                self.lang.append(lang)
+        self.hashes = WORD_HASHES.of(self.words)
+        lengths = np.array(lengths, np.int64)
+        self.piece = np.repeat(np.arange(len(lengths)), lengths)
+        self.room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(self.words))
+        self.own = mix(langs.of(self.lang))
+        self.of_word = self.own[self.piece]
+
+    def levels(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        grams = mix(self.hashes ^ self.of_word)
+        for k in range(1, longest + 1):
+            yield k, grams, self.room >= k
+            grams = longer(grams, np.roll(self.hashes, -k))
+
+
 class Scan:
     """Counts the active phrases of texts in one scan."""
 
@@ -70,60 +97,75 @@ class Scan:
         self.langs = WordHashes()
 
     def of(self, texts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        """The counts of the phrases of (language, text) rows, as COUNTED."""
-        words: list[bytes] = []
-        lengths, langs = [], []
-        for lang, text in texts:
-            for piece in pieces_of(text):
-                words += piece
-                lengths.append(len(piece))
-                langs.append(lang)
-        if not words:
+        """Hashes and counts of the phrases of (language, text) rows; under the hash of
+        a language its words."""
+        found = Grams(texts, self.langs)
+        if not found.words:
             return
-        hashes = WORD_HASHES.of(words)
-        lengths = np.array(lengths)
-        piece = np.repeat(np.arange(len(lengths)), lengths)
-        room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(words))
-        single = mix(hashes ^ mix(self.langs.of(langs))[piece])
-        grams, before = single, single
-        start = np.zeros(len(words), np.uint8)
-        for k in range(1, self.longest + 1):
-            whole = room >= k
+        start = np.zeros(len(found.words), np.uint8)
+        counted = []
+        if self.number < self.shards:
+            counted.append(np.unique(found.of_word, return_counts=True))
+        for k, grams, whole in found.levels(self.longest):
             begun = whole & (start <= self.number)
-            at = np.flatnonzero(begun & (self.number < start.astype(np.int64) + self.shards))
-            if len(at):
-                own, first, counts = np.unique(grams[at], return_index=True, return_counts=True)
-                at = at[first]
-                if k == 1:
-                    shown = [langs[p] + b"\n" + words[i] for p, i in zip(piece[at].tolist(), at.tolist())]
-                    word = pa.array(shown, pa.binary()).cast(pa.string())
-                else:
-                    word = pa.nulls(len(own), pa.string())
-                parts = (own, before[at], single[at + k - 1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(own), k, np.int32)),
-                        *[pa.array(part.view(np.int64)) for part in parts],
-                        word,
-                        pa.array(counts.astype(np.int64)),
-                    ],
-                    names=["k", "h", "start", "last", "word", "n"],
-                )
-            if k == self.longest:
-                return
-            mark = np.full(len(words), NEVER, np.uint8)
+            active = begun & (self.number < start.astype(np.int64) + self.shards)
+            counted.append(np.unique(grams[active], return_counts=True))
+            mark = np.full(len(start), NEVER, np.uint8)
             known = np.flatnonzero(begun)
-            mark[known] = marks_of(grams[known], self.marks)
+            # No phrase acts on marks that others set before it was counted itself.
+            mark[known] = np.maximum(marks_of(grams[known], self.marks), start[known])
             # The phrase that is a word longer holds this one and the next.
             start = np.append(np.maximum(mark[:-1], mark[1:]), np.uint8(NEVER))
-            before, grams = grams, longer(grams, np.roll(hashes, -k))
+        hashes, counts = (np.concatenate(c) for c in zip(*counted))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "n"]
+        )
+
 
+class Names:
+    """Words of the phrases whose hash is in a table of places, each once a task."""
 
-def _counted(scan_of: Callable[[], Scan]) -> Callable:
+    def __init__(self, table: np.ndarray, longest: int):
+        self.table, self.longest = table, longest
+        self.langs = WordHashes()
+        self.seen = np.zeros(0, np.uint64)
+
+    def of(self, texts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        found = Grams(texts, self.langs)
+        if not found.words:
+            return
+        hashes, names = [], []
+        there = np.ones(len(found.words), bool)
+
+        def fresh(values: np.ndarray) -> np.ndarray:
+            new, first = np.unique(values, return_index=True)
+            unseen = ~np.isin(new, self.seen, assume_unique=True)
+            hashes.append(new[unseen])
+            return first[unseen]
+
+        for i in fresh(found.own).tolist():
+            names.append(found.lang[i] + b"\n")
+        for k, grams, whole in found.levels(self.longest):
+            at = np.flatnonzero(whole & there)
+            held = np.zeros(len(there), bool)
+            held[at] = marks_of(grams[at], self.table) != NEVER
+            at = np.flatnonzero(held)
+            for i in at[fresh(grams[at])].tolist():
+                names.append(found.lang[found.piece[i]] + b"\n" + b" ".join(found.words[i : i + k]))
+            # A longer frequent phrase has this one and the next.
+            there = held & np.append(held[1:], False)
+        new = np.concatenate(hashes)
+        self.seen = np.union1d(self.seen, new)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(new.view(np.int64)), pa.array(names, pa.binary()).cast(pa.string())], names=["h", "name"]
+        )
+
+
+def _over_texts(made: Callable[[], Scan | Names]) -> Callable:
     """A function for mapInArrow over lang, text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = scan_of()
+        own = made()
         rows: list[tuple[bytes, bytes]] = []
         held = 0
         for batch in batches:
@@ -131,9 +173,9 @@ def _counted(scan_of: Callable[[], Scan]) -> Callable:
                 rows.append(row)
                 held += 1 + len(row[1]) // 6
                 if held >= WORDS_AT_ONCE:
-                    yield from scan.of(rows)
+                    yield from own.of(rows)
                     rows, held = [], 0
-        yield from scan.of(rows)
+        yield from own.of(rows)
 
     return run
 
@@ -151,16 +193,18 @@ def _places(hashes: DataFrame, slots: int) -> np.ndarray:
     return hashes.select("h").mapInArrow(run, "place int").distinct().toArrow().column("place").to_numpy()
 
 
-def count_phrases(docs: DataFrame, longest: int, least: int, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Exact counts of all words, and of the phrases that were active, by scan: k, h, start
-    (h of the phrase without its last word), last (h of that word), word (language, line
-    feed and word; NULL for longer phrases), n.
+def _marked(counts: DataFrame, marks) -> DataFrame:
+    """The rows whose phrase has a mark."""
 
-    Every phrase of up to ``longest`` words that stands ``least`` times or more is
-    among them.
-    """
-    if shards * (longest + 1) >= NEVER:
-        raise ValueError("fewer shards, please: a mark is one byte")
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = batch.column("h").to_numpy().view(np.uint64)
+        return batch.filter(pa.array(marks_of(own, marks.value) != NEVER))
+
+    return counts.mapInArrow(in_batches(keep), "h long, n long")
+
+
+def dealt_texts(docs: DataFrame, shards: int) -> DataFrame:
+    """lang, text, shard of the rows with text, in files by shard."""
     spark = docs.sparkSession
     path = shared_folder(spark, "shards")
     text, lang = (F.col(c).cast("string") for c in ("text", "lang"))
@@ -170,54 +214,58 @@ def count_phrases(docs: DataFrame, longest: int, least: int, shards: int = SHARD
     schema = T.StructType.fromDDL("lang string, text string, shard int")
     rows = spark.read.schema(schema).parquet(path)
     rows.settled_at = path
+    return rows
+
 
+def count_phrases(rows: DataFrame, longest: int, least: int, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """h, f: exact counts of all phrases of up to ``longest`` words that stand ``least``
+    times or more in ``rows`` (as of :func:`dealt_texts`), under their hashes, and of all
+    words of a language under its own."""
+    if shards * (longest + 2) >= NEVER:
+        raise ValueError("fewer shards, please: a mark is one byte")
+    context = rows.sparkSession.sparkContext
     marks = np.full(slots, NEVER, np.uint8)
     scans: list[DataFrame] = []
-    low: DataFrame | None = None  # sums of what is below the threshold so far
     number, last = 0, 0
-    while number < last + shards:
-        told = spark.sparkContext.broadcast(marks)
+    # A length is complete a cycle after the one before, at the latest.
+    while number < min(last + shards, longest * shards):
+        told = context.broadcast(marks)
         own = rows.where(F.col("shard") == number % shards).select("lang", "text")
-        counted = own.mapInArrow(_counted(_scan_of(number, told, longest, shards)), COUNTED)
-        keys = ("k", "h", "start", "last", "word")
-        scans.append(settle(counted.groupBy(*keys).agg(F.sum("n").alias("n")), "scan"))
+        counted = own.mapInArrow(_over_texts(_scan_of(number, told, longest, shards)), "h long, n long")
+        scans.append(settle(counted.groupBy("h").agg(F.sum("n").alias("n")), "scan"))
         told.destroy()
-        new = scans[-1].where(F.col("k") < longest).select("h", "n")
-        both = new if low is None else low.where(F.col("n") < least).unionByName(new)
-        # Phrases that reach the threshold are not followed any more; if they come
-        # back, their places are set already.
-        summed = settle(both.groupBy("h").agg(F.sum("n").alias("n")), "below")
-        reached = _places(summed.where(F.col("n") >= least), slots)
-        if low is not None:
-            free(low)
-        low = summed
+        reached = _places(scans[-1].where(F.col("n") >= -(-least // shards)), slots)
         fresh = reached[marks[reached] == NEVER]
         if len(fresh):
             marks = marks.copy()
-            marks[fresh] = last = number + 1
+            marks[fresh] = number + 1
+            last = number + 1
         number += 1
-    free(low, rows)
-    return functools.reduce(DataFrame.unionByName, scans)
-
-
-def frequent_phrases(counts: DataFrame, longest: int, least: int) -> DataFrame:
-    """k, lang, phrase, f of the phrases that stand ``least`` times or more.
-
-    A phrase is written as that of its start and its last word, which are frequent too.
-    """
-    keys = ("k", "h", "start", "last", "word")
-    sums = counts.groupBy(*keys).agg(F.sum("n").alias("f"))
+    told = context.broadcast(marks)
+    sums = _marked(functools.reduce(DataFrame.unionByName, scans), told).groupBy("h").agg(F.sum("n").alias("f"))
     frequent = settle(sums.where(F.col("f") >= least), "frequent")
-    word = F.substring_index("word", "\n", -1)
-    lang = F.expr("substring(word, 1, length(word) - length(substring_index(word, '\n', -1)) - 1)")
-    level = frequent.where("k = 1").select("k", "h", lang.alias("lang"), word.alias("phrase"), "f")
-    words = level.select(F.col("h").alias("last"), F.col("phrase").alias("_last"))
-    levels = [level]
-    for k in range(2, longest + 1):
-        starts = levels[-1].select(F.col("h").alias("start"), "lang", F.col("phrase").alias("_start"))
-        own = frequent.where(F.col("k") == k).join(starts, "start").join(words, "last")
-        levels.append(own.select("k", "h", "lang", F.concat_ws(" ", "_start", "_last").alias("phrase"), "f"))
-    return settle(functools.reduce(DataFrame.unionByName, levels).drop("h"), "phrases")
+    told.destroy()
+    free(*scans)
+    return frequent
+
+
+def name_phrases(rows: DataFrame, frequent: DataFrame, longest: int, slots: int = SLOTS) -> DataFrame:
+    """k, lang, phrase, f of the frequent phrases; k = 0: a language and its words."""
+    table = np.full(slots, NEVER, np.uint8)
+    table[_places(frequent, slots)] = 0
+    told = rows.sparkSession.sparkContext.broadcast(table)
+    named = rows.select("lang", "text").mapInArrow(
+        _over_texts(lambda: Names(told.value, longest)), "h long, name string"
+    )
+    once = named.groupBy("h").agg(F.min("name").alias("name"))
+    phrase = F.substring_index("name", "\n", -1)
+    lang = F.expr("substring(name, 1, length(name) - length(substring_index(name, '\n', -1)) - 1)")
+    k = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+    found = settle(
+        frequent.join(once, "h").select(k.alias("k"), lang.alias("lang"), phrase.alias("phrase"), "f"), "phrases"
+    )
+    told.destroy()
+    return found
 
 
 def _scan_of(number: int, told, longest: int, shards: int):
@@ -256,10 +304,10 @@ def mine_collocations(
     they move, and ranks are cut before they meet. Phrases are told apart by hashes
     of 64 bits.
     """
-    counts = count_phrases(docs, longest, least, shards, slots)
-    lang = F.expr("substring(word, 1, length(word) - length(substring_index(word, '\n', -1)) - 1)")
-    words = counts.where("k = 1").groupBy(lang.alias("lang")).agg(F.sum("n").alias("n"))
-    frequent = frequent_phrases(counts, longest, least)
+    rows = dealt_texts(docs, shards)
+    frequent = name_phrases(rows, count_phrases(rows, longest, least, shards, slots), longest, slots)
+    free(rows)
+    words = frequent.where("k = 0").select("lang", F.col("f").alias("n"))
     candidates = frequent.where("k >= 2").select(
         "k", "lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words")
     )

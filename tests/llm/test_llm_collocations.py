@@ -5,7 +5,16 @@ from collections import Counter
 import numpy as np
 from llm_cases import ROWS, docs
 
-from inkscore.llm.collocations import count_phrases, marks_of, mine_collocations, places_of
+from inkscore.llm.collocations import (
+    NEVER,
+    Scan,
+    count_phrases,
+    dealt_texts,
+    marks_of,
+    mine_collocations,
+    name_phrases,
+    places_of,
+)
 
 
 def slow_pieces(text):
@@ -90,10 +99,19 @@ def test_counts_do_not_depend_on_the_table_of_marks(spark):
 def test_inactive_phrases_are_not_counted(spark):
     rows = [(i, f"common words here u{i} v{i}", "en") for i in range(60)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    counts = count_phrases(table, 3, 10).groupBy("k", "h").agg({"n": "sum"}).collect()
-    # 3 common words and 120 others; of the phrases only those of common words.
-    assert sorted((r["k"], r["sum(n)"]) for r in counts if r["k"] > 1) == [(2, 60), (2, 60), (3, 60)]
-    assert sum(r["k"] == 1 for r in counts) == 123
+    texts = dealt_texts(table, 3)
+    frequent = count_phrases(texts, 3, 10)
+    # Three common words, their phrases, and the language.
+    assert sorted(r["f"] for r in frequent.collect()) == [60] * 6 + [300]
+    named = {(r["k"], r["lang"], r["phrase"], r["f"]) for r in name_phrases(texts, frequent, 3).collect()}
+    assert named == {(0, "en", "", 300), (3, "en", "common words here", 60)} | {
+        (w.count(" ") + 1, "en", w, 60) for w in ("common", "words", "here", "common words", "words here")
+    }
+    marks = np.full(1 << 16, NEVER, np.uint8)
+    scan = Scan(1, marks, 3, 3)
+    rows = [(b"en", f"common words here u{i}".encode()) for i in range(5)]
+    # Without marks, words and the language alone are counted.
+    assert sum(batch.num_rows for batch in scan.of(rows)) == 3 + 5 + 1
 
 
 def test_a_mark_stays_once_it_is_seen():
