@@ -3,8 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+from conftest import SF_DIR
 from llm_cases import ROWS, docs
 
+import __spark_entry__ as driver
 from inkscore.llm.collocations import (
     NEVER,
     Scan,
@@ -135,3 +137,10 @@ def test_odd_documents(spark):
     assert mine_collocations(docs(spark, [])).collect() == []
     many = [(None, "one and the same", None)] * 40 + [(1, None, "en"), (2, " \t", "en"), (3, "und", "und")]
     assert found_in(spark, many) == slow_mine([(r[2], r[1]) for r in many])
+
+
+def test_query(spark, duck):
+    found = driver.queries()["op12_itemset_collocations"](spark, SF_DIR)
+    twin = duck.sql(driver.oracle_sql()["op12_itemset_collocations"])
+    assert found.columns == twin.columns
+    assert sorted(map(tuple, found.collect())) == sorted(twin.fetchall())

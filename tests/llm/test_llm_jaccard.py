@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+from conftest import SF_DIR
 from llm_cases import ROWS, docs
 
+import __spark_entry__ as driver
 from inkscore.llm.jaccard import Bands, entries, link_documents
 
 
@@ -123,3 +125,10 @@ def test_a_group_of_copies_moves_few_rows(spark, monkeypatch):
         found_in(spark, list(enumerate(copies(rng, n, 200, 6))))
         asked.append(sum(seen))
     assert asked[1] < 3 * asked[0] + 100 and asked[2] < 3 * asked[1] + 100
+
+
+def test_query(spark, duck):
+    found = driver.queries()["op11_jaccard_join"](spark, SF_DIR)
+    twin = duck.sql(driver.oracle_sql()["op11_jaccard_join"])
+    assert found.columns == twin.columns
+    assert sorted(map(tuple, found.collect())) == sorted(twin.fetchall())
