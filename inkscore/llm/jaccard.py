@@ -42,9 +42,9 @@ TOGETHER = 4096
 SKETCH_BITS, WIDE_BITS = 512, 4096
 # Pairs that a row of a list may yield in the first round that is no forest.
 PAIRS = 64
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 200_000
 # Sets that a task remembers having sent, and bits of the sieve for texts.
-SEEN = 500_000
+SEEN = 200_000
 SIEVE_BITS = 1 << 24
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LANES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -564,8 +564,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             same = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * same >= percent * (len(x) + len(y) - same))
         kept = batch.filter(pa.array(keep, pa.bool_()))
@@ -621,9 +621,14 @@ def link_documents(
     asked = settle(_asked(bucket, sets, None, percent, together, pairs), "asked")
     links = settle(_linked(asked, sets, percent), "linked")
     labels = components(links)
-    more = True
+    # A list whose pairs all proved to be links, or that had none, is settled by them.
+    failed = asked.join(links, ["a", "b"], "left_anti")
+    doubtful = failed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = bucket.join(doubtful, "node", "left_semi").select("key").distinct()
+    left = settle(bucket.join(keys, "key", "left_semi"), "left")
+    more = left.limit(1).count() > 0
     while more:
-        new = _asked(bucket, sets, labels, percent, together, pairs)
+        new = _asked(left, sets, labels, percent, together, pairs)
         # Pairs that are settled need not be asked for again.
         new = settle(new.join(asked, ["a", "b"], "left_anti"), "asked")
         more = new.where("a IS NULL").limit(1).count() > 0
@@ -633,7 +638,7 @@ def link_documents(
             links = settle(links.unionByName(found), "links")
             labels = components(links)
         asked = settle(asked.unionByName(new.where("a IS NOT NULL")), "asked")
-    free(bucket, sets, asked)
+    free(bucket, left, sets, asked)
 
     rows = prepared.select("doc_id", "n", "node")
     with_set = rows.where("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
