@@ -32,7 +32,9 @@ from pyspark.sql.window import Window
 from .shared import WORD_HASHES, WordHashes, free, in_batches, mix, settle, shared_folder, text_bytes
 
 SHARDS = 3
-SLOTS = 1 << 22
+# Bytes of the table of marks; several times the phrases that reach the threshold, or
+# more phrases are counted and read than need be.
+SLOTS = 1 << 24
 PLACES = 3
 NEVER = 255
 WORDS_AT_ONCE = 400_000
