@@ -176,6 +176,27 @@ def _cells(strips: DataFrame, strip_bytes: int) -> DataFrame:
     )
 
 
+def _whole(strips: DataFrame) -> DataFrame:
+    """``image_id, height, width`` of the images whose strips, put together, are all
+    of their rows, each once; of a strip only its place and length are gathered."""
+    line = 3 * F.col("width")
+    filled = (F.col("width") > 0) & (F.col("y") >= 0)
+    # A length that is no whole number of rows gives NULL, which ends the chain.
+    end = F.when(filled, F.when(F.octet_length("rgb") % line == 0, _end()))
+    span = F.struct(F.col("y").cast("long").alias("y"), end.cast("long").alias("end"))
+    images = strips.groupBy("image_id").agg(
+        *[f(n).alias(f"_{k}_{n}") for n in ("height", "width") for k, f in (("low", F.min), ("high", F.max))],
+        F.sort_array(F.collect_list(span)).alias("spans"),
+    )
+    reached = F.aggregate(
+        "spans", F.lit(0).cast("long"), lambda at, s: F.when(s["y"] == at, s["end"]).otherwise(F.lit(-1).cast("long"))
+    )
+    alike = (F.col("_low_height") == F.col("_high_height")) & (F.col("_low_width") == F.col("_high_width"))
+    return images.where(alike & (reached == F.col("_high_height"))).select(
+        "image_id", F.col("_high_height").alias("height"), F.col("_high_width").alias("width")
+    )
+
+
 def strip_similarity(
     gen: DataFrame, tgt: DataFrame, pairs: DataFrame, mode: str = "wrap", strip_bytes: int = STRIP_BYTES
 ) -> DataFrame:
@@ -183,14 +204,12 @@ def strip_similarity(
 
     ``gen`` and ``tgt`` are strips, cut in any way. A generated image of another size
     is resampled, once for each size that is asked of it. A pair that cannot be
-    compared (an image missing, a target side below seven) gets 0 for both scores.
+    compared (an image missing, or with strips that are not all of its rows once, a target
+    side below seven) gets 0 for both scores.
     """
 
-    def sizes(strips: DataFrame, key: str, height: str, width: str) -> DataFrame:
-        of = strips.groupBy(F.col("image_id").alias(key))
-        return of.agg(F.max("height").alias(height), F.max("width").alias(width))
-
-    known = pairs.join(sizes(tgt, "tgt_id", "out_h", "out_w"), "tgt_id")
+    known = pairs.join(_whole(tgt).toDF("tgt_id", "out_h", "out_w"), "tgt_id")
+    known = known.join(_whole(gen).select(F.col("image_id").alias("gen_id")), "gen_id")
     usable = known.where((F.col("out_h") >= WINDOW) & (F.col("out_w") >= WINDOW))
     usable = usable.select("gen_id", "tgt_id", "out_h", "out_w").distinct()
     wanted = usable.select(F.col("gen_id").alias("image_id"), "out_h", "out_w").distinct()

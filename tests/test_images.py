@@ -308,3 +308,24 @@ def test_large_images_in_strips(spark):
         moved = I._resample(I._resample(arrays[a].astype(np.uint8), w, 1), h, 0)
         target = arrays[b].astype(np.uint8)
         assert scores == pytest.approx((I._ssim(moved, target), I._pixel(moved, target, "wrap")), abs=1e-9)
+
+
+def test_strips_with_holes_score_zero(spark):
+    """A strip missing, short or there twice: no error, and 0 as for any broken image."""
+    rng = np.random.default_rng(5)
+    arrays = {k: rng.integers(0, 256, (40, 16, 3)) for k in range(5)}
+    strips = Z.cut_strips(packed(spark, arrays), 480)
+    at = F.col("y") == 10
+    missing = (F.col("image_id") == 1) & at
+    rgb = F.when((F.col("image_id") == 2) & at, F.substring("rgb", 1, 100)).otherwise(F.col("rgb"))
+    twice = strips.where((F.col("image_id") == 3) & at)
+    broken = strips.where(~missing).withColumn("rgb", rgb).unionByName(twice)
+    pairs = spark.createDataFrame([(a, b) for a in arrays for b in arrays], "gen_id long, tgt_id long")
+    found = {tuple(r)[:2]: tuple(r)[2:] for r in Z.strip_similarity(broken, broken, pairs, strip_bytes=480).collect()}
+    assert found.keys() == {(a, b) for a in arrays for b in arrays}
+    for (a, b), scores in found.items():
+        if {a, b} <= {0, 4}:
+            p, q = arrays[a].astype(np.uint8), arrays[b].astype(np.uint8)
+            assert scores == pytest.approx((I._ssim(p, q), I._pixel(p, q, "wrap")), abs=1e-9)
+        else:
+            assert scores == (0.0, 0.0)
