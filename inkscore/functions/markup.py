@@ -11,9 +11,14 @@ PNG_PREFIX = "data:image/png;base64,"
 
 
 def extract_markup(text: Column, tag: str = "svg") -> Column:
-    """First ``<tag ... </tag>`` of a free text, shortest match; NULL if none."""
-    pattern = rf"(<{tag}[\s\S]*?</{tag}>)"
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    """First ``<tag ... </tag>`` of a free text, shortest match; NULL if none.
+
+    Two searches for fixed strings: what follows the first opening closes it, if anything does.
+    """
+    opening, closing = f"<{tag}", f"</{tag}>"
+    start = F.position(F.lit(opening), text)
+    end = F.position(F.lit(closing), text, start + len(opening))
+    return F.when((start > 0) & (end > 0), F.substring(text, start, end - start + len(closing)))
 
 
 def extract_assets(markup: Column) -> Column:
