@@ -1,23 +1,14 @@
 """N-gram tables, clipped precision and BLEU of text pairs.
 
-The grouped form: every position of a text starts one window of ``max_n`` tokens (shorter at the
-end). The first n tokens of a window are one n-gram, so a single exploded row
-serves all orders: windows are grouped first by all their tokens, the result by
-all but the last, and so on. Candidate windows count +1, reference windows -1.
-With b the sum of a gram,
-
-    sum over grams of min(candidate count, reference count)
-        = (candidate grams + reference grams - sum of |b|) / 2
-
-so each level adds up |b| and passes b on. Every level groups by the pair key
-plus fewer columns, so one exchange on the pair key, made while the rows still
-are whole texts, carries all of them; no gram is ever shuffled.
+Matches of a pair are counted where its two texts are: see :func:`clipped_matches`.
+One exchange on the pair key, made while the rows still are whole texts, carries
+the grouped form; no gram is ever shuffled.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +20,19 @@ from pyspark.sql import types as T
 from inkscore.functions.text import tokenize_13a
 
 _END = 2**31 - 1
+# Stand between candidates and between references of one group. No token of a text holds a tab.
+MARKS = ("\t<", "\t>")
+
+
+def _given(df: DataFrame, name: str) -> bool:
+    """Whether a column holds tokens already."""
+    return isinstance(df.schema[name].dataType, T.ArrayType)
+
+
+def _sent(df: DataFrame, name: str, tokens: str) -> Column:
+    """Tokens as Python gets them: in one string, but a given array may hold anything
+    and goes as it is."""
+    return F.col(tokens) if _given(df, name) else F.array_join(tokens, " ")
 
 
 def _tokens(df: DataFrame, name: str) -> Column:
@@ -37,7 +41,7 @@ def _tokens(df: DataFrame, name: str) -> Column:
     A missing text has no tokens.
     """
     column = F.col(name)
-    if not isinstance(df.schema[name].dataType, T.ArrayType):
+    if not _given(df, name):
         column = tokenize_13a(column)
     return F.coalesce(column, F.array().cast("array<string>"))
 
@@ -88,45 +92,60 @@ def ngram_counts(
     )
 
 
+def _put_together(side: Column, given: bool, mark: str) -> Column:
+    """One list of the tokens of all texts in a list of them, with a mark between two."""
+    if given:
+        marked = F.transform(side, lambda t, i: F.when(i > 0, F.concat(F.array(F.lit(mark)), t)).otherwise(t))
+        return F.flatten(marked)
+    return F.array_join(side, f" {mark} ")
+
+
 def _matches(
     pairs: DataFrame, keys: Sequence[str], cand: str, ref: str, max_n: int, partitions: int | None
 ) -> DataFrame:
-    """``keys, len_c, len_r, m1..m<max_n>``: clipped matches of every order."""
+    """``keys, len_c, len_r, m1..m<max_n>``: clipped matches of every order.
+
+    Pairs of equal keys and lengths make one row: their grams are counted as one group.
+    The texts cross one exchange; their grams are counted in the Arrow batches of a task
+    and are never rows.
+    """
     keys = list(keys)
-    columns = (*keys, cand, ref)
-    texts = pairs.select(*columns)
     # A stated number of partitions is kept; one left open would be cut down to
-    # the size of the texts, of which the windows are many times as large.
+    # the size of the texts, of which the grams are many times as large.
     partitions = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = texts.repartition(partitions, *keys)
+    texts = pairs.select(*keys, cand, ref).repartition(partitions, *keys)
     tokens = texts.select(*keys, _tokens(pairs, cand).alias("c"), _tokens(pairs, ref).alias("r"))
-    names = [f"t{n}" for n in range(1, max_n + 1)]
-    windows = tokens.select(
+    sent = tokens.select(
         *keys,
         F.size("c").alias("len_c"),
         F.size("r").alias("len_r"),
-        F.concat(_windows(F.col("c"), max_n, 1), _windows(F.col("r"), max_n, -1)).alias("w"),
+        _sent(pairs, cand, "c").alias("c"),
+        _sent(pairs, ref, "r").alias("r"),
     )
     fixed = [*keys, "len_c", "len_r"]
-    # The outer explode keeps pairs without any token, as one row of NULLs.
-    level = windows.select(*fixed, F.explode_outer("w").alias("w"))
-    fields = level.schema["w"].dataType.names
-    level = level.select(
-        *fixed, *[F.col("w")[f].alias(n) for f, n in zip(fields, [*names, "b"])]
+    groups = sent.groupBy(*fixed).agg(
+        F.count("*").alias("_pairs"), F.collect_list("c").alias("c"), F.collect_list("r").alias("r")
     )
-    level = level.groupBy(*fixed, *names).agg(F.sum("b").alias("b"))
-    for n in range(max_n, 0, -1):
-        excess = F.when(F.col(f"t{n}").isNotNull(), F.abs("b"))
-        done = [F.sum(f"x{m}").alias(f"x{m}") for m in range(n + 1, max_n + 1)]
-        level = level.groupBy(*fixed, *names[: n - 1]).agg(
-            *done, F.sum(excess).alias(f"x{n}"), F.sum("b").alias("b")
-        )
+    # No gram reaches over the end of a text: a mark stands on one side only.
+    sides = [
+        _put_together(F.when(F.col(f"len_{x}") > 0, F.col(x)).otherwise(F.slice(x, 1, 1)), _given(pairs, name), mark)
+        for x, name, mark in (("c", cand, MARKS[0]), ("r", ref, MARKS[1]))
+    ]
+
+    @F.arrow_udf("array<bigint>")
+    def clipped(ours: pa.Array, theirs: pa.Array) -> pa.Array:
+        found = [clipped_matches(a, b, max_n)[2] for a, b in _portions(ours, theirs)]
+        values = np.concatenate(found, axis=1).T.ravel() if found else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(ours) + 1) * max_n, pa.int32()), pa.array(values, pa.int64()))
+
+    counted = groups.select(*fixed, "_pairs", clipped(*sides).alias("_found"))
 
     def matched(n: int) -> Column:
         total = possible(F.col("len_c"), n) + possible(F.col("len_r"), n)
-        return F.shiftright(total - F.coalesce(f"x{n}", F.lit(0)), 1).alias(f"m{n}")
+        # The total is that of one pair: where several make a row, the rest counts against the matches.
+        return (F.col("_found")[n - 1] + F.shiftright(total * (1 - F.col("_pairs")), 1)).alias(f"m{n}")
 
-    return level.select(*fixed, *[matched(n) for n in range(1, max_n + 1)])
+    return counted.select(*fixed, *[matched(n) for n in range(1, max_n + 1)])
 
 
 def possible(length: Column, n: int) -> Column:
@@ -175,9 +194,8 @@ def bleu(
 
     ``method="rows"`` counts inside each row in Arrow batches: the texts stay
     where the join left them (or are spread over ``partitions`` tasks) and a task
-    holds one batch of pairs at a time. ``method="grams"`` is the same score as grouped
-    aggregations inside the JVM; its hash tables hold every gram of a task, which
-    is many times the text and spills on long inputs.
+    holds one batch of pairs at a time. ``method="grams"`` is the same score of the clipped
+    matches of each order, with pairs grouped by their keys first; the formula is columns.
     """
     if method == "rows":
         if partitions:
@@ -305,22 +323,23 @@ def _sizes(side: pa.Array) -> np.ndarray:
     return pc.binary_length(side).fill_null(0).to_numpy() // 3
 
 
+def _portions(ours: pa.Array, theirs: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Both sides in slices of about as many tokens as are counted at once."""
+    ends = np.cumsum(1 + _sizes(ours) + _sizes(theirs))
+    edges = np.searchsorted(ends, np.arange(TOKENS_AT_ONCE, ends[-1] if len(ends) else 0, TOKENS_AT_ONCE))
+    edges = np.unique(np.concatenate([[0], edges, [len(ends)]])).tolist()
+    for a, b in zip(edges, edges[1:]):
+        yield ours.slice(a, b - a), theirs.slice(a, b - a)
+
+
 def _bleu_rows(
     pairs: DataFrame, keys: Sequence[str], cand: str, ref: str, max_n: int
 ) -> DataFrame:
     @F.arrow_udf("double")
     def score(ours: pa.Array, theirs: pa.Array) -> pa.Array:
-        ends = np.cumsum(1 + _sizes(ours) + _sizes(theirs))
-        edges = np.searchsorted(ends, np.arange(TOKENS_AT_ONCE, ends[-1] if len(ends) else 0, TOKENS_AT_ONCE))
-        edges = np.unique(np.concatenate([[0], edges, [len(ends)]])).tolist()
-        found = [_scores(ours.slice(a, b - a), theirs.slice(a, b - a), max_n) for a, b in zip(edges, edges[1:])]
+        found = [_scores(a, b, max_n) for a, b in _portions(ours, theirs)]
         return pa.array(np.concatenate(found) if found else [], pa.float64())
 
-    def sent(name: str, tokens: str) -> Column:
-        # A given array may hold anything and goes as it is.
-        given = isinstance(pairs.schema[name].dataType, T.ArrayType)
-        return F.col(tokens) if given else F.array_join(tokens, " ")
-
     tokens = pairs.select(
         *keys, _tokens(pairs, cand).alias("c"), _tokens(pairs, ref).alias("r")
     )
@@ -328,5 +347,5 @@ def _bleu_rows(
         *keys,
         F.size("c").alias("len_c"),
         F.size("r").alias("len_r"),
-        score(sent(cand, "c"), sent(ref, "r")).alias("bleu"),
+        score(_sent(pairs, cand, "c"), _sent(pairs, ref, "r")).alias("bleu"),
     )
