@@ -12,6 +12,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # A Python worker holds a batch of whole texts and what is made of it.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 

@@ -14,6 +14,7 @@ from inkscore.functions import markup as M
 from inkscore.functions.rounding import sig3, steady_sum
 from inkscore.functions.text import tokenize_13a
 from inkscore.operators import bleu as B
+from inkscore.session import configure
 from inkscore.operators.bleu import bleu, ngram_counts, ngram_precision
 
 
@@ -268,3 +269,10 @@ def test_long_rows_are_counted_in_parts(spark, monkeypatch):
     monkeypatch.setattr(B, "TOKENS_AT_ONCE", 500)
     parts = {r["id"]: r["bleu"] for r in B.bleu(df, ["id"]).collect()}
     assert parts == whole and whole[4 * 7 + 4] == pytest.approx(1.0)
+
+
+def test_python_batches_are_bounded(spark):
+    """What a Python worker holds of texts at once does not follow from their length."""
+    configure(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("16m", "16777216b")
+    assert B.TOKENS_AT_ONCE <= 250_000
