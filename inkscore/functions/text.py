@@ -31,6 +31,14 @@ SPACES = (
 
 # Ways in which two of . and , can follow each other.
 _RUNS = ("..", ".,", ",.", ",,")
+# The marks of the first pattern but for the space, which stays one. Named one by one, as the
+# pattern library looks such classes up in a table, and ranges one after the other.
+_MARKS = r"""!"#$%&()*+/:;<=>?@\[\\\]\^_`{|}~"""
+# All marks that are cut off where no two of . and , are neighbours.
+_CUT = rf"[{_MARKS}.,\-](?<=[{_MARKS}]|[.,](?=[^0-9])|[^0-9][.,]|[0-9]-)"
+# SPACES, with the few that lie above Latin-1 behind one comparison.
+_NEAR, _FAR = ("".join(c for c in SPACES if (c > "\xff") == far) for far in (False, True))
+_SPACE = f"[{_NEAR}[ -　&&[{_FAR}]]]"
 
 
 def _split_marks(text: Column) -> Column:
@@ -38,26 +46,27 @@ def _split_marks(text: Column) -> Column:
 
     Without such neighbours a match never depends on what an earlier match has
     consumed, so each pattern reduces to a character and what stands beside it,
-    and the two for . and , become one. These start with a rare character, which
-    is a fraction of the work of the patterns as published.
+    and all become one that starts with a rare character: one pass over the text.
     """
-    text = F.regexp_replace(text, r"[!-&(-+/:-@\[-`{-~]", " $0 ")
-    text = F.regexp_replace(text, r"[.,](?:(?=[^0-9])|(?<=[^0-9].))", " $0 ")
-    return F.regexp_replace(text, r"-(?<=[0-9]-)", " $0 ")
+    return F.regexp_replace(text, _CUT, " $0 ")
 
 
 def tokenize_13a(text: Column) -> Column:
     """array<string> of 13a tokens; NULL stays NULL."""
-    for old, new in LITERALS:
+    for old, new in LITERALS[:3]:
         text = F.replace(text, F.lit(old), F.lit(new))
-    spaced = text
-    for pattern, new in PATTERNS:
+    plain = text
+    for old, new in LITERALS[3:]:
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    text = F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+    spaced = F.regexp_replace(text, f"[{_MARKS}]", " $0 ")
+    for pattern, new in PATTERNS[1:]:
         spaced = F.regexp_replace(spaced, pattern, new)
     run = F.lit(False)
     for pair in _RUNS:
         run = run | F.contains(text, F.lit(pair))
     text = F.when(run, spaced).otherwise(_split_marks(text))
-    # translate + a one-character split is several times faster here than a
+    # This and a one-character split are several times faster here than a
     # split on a character class with that many members.
-    text = F.translate(text, SPACES, " " * len(SPACES))
+    text = F.regexp_replace(text, _SPACE, " ")
     return F.array_remove(F.split(text, " "), "")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkscore.functions import markup as M
 from inkscore.functions.rounding import sig3, steady_sum
-from inkscore.functions.text import tokenize_13a
+from inkscore.functions.text import SPACES, _split_marks, tokenize_13a
 from inkscore.operators import bleu as B
 from inkscore.operators.bleu import bleu, ngram_counts, ngram_precision
 from inkscore.session import configure
@@ -70,6 +70,18 @@ def test_tokens_equal_plain_python(spark):
     assert not wrong[:5]
 
 
+def test_marks_and_spaces_take_one_pass_each(spark, capsys):
+    rng = random.Random(11)
+    marks = [chr(i) for i in range(1, 256)] + list(SPACES) + ["&amp;", "&quot;", "&lt;", "&gt;", "<skipped>", "-\n", "\U0001f600", "é", "中"]
+    few = [".", ",", "-", " ", "1", "a", "!", "\n"]
+    texts = ["".join(rng.choice(rng.choice((marks, few))) for _ in range(rng.randint(0, 30))) for _ in range(6000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokenize_13a(F.col("t")).alias("k"))
+    wrong = [(r.t, r.k, python_tokens(r.t)) for r in rows.collect() if r.k != python_tokens(r.t)]
+    assert not wrong[:5]
+    spark.range(1).select(_split_marks(F.concat(F.lit("a"), F.col("id"))).alias("cut")).explain("simple")
+    assert capsys.readouterr().out.count("regexp_replace") == 1
+
+
 @pytest.mark.parametrize("method", ["rows", "grams"])
 def test_bleu_equals_plain_python(spark, method):
     rng = random.Random(3)
