@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,21 +53,34 @@ def _split_marks(text: Column) -> Column:
     return F.regexp_replace(text, _CUT, " $0 ")
 
 
-def tokenize_13a(text: Column) -> Column:
-    """array<string> of 13a tokens; NULL stays NULL."""
-    for old, new in LITERALS[:3]:
-        text = F.replace(text, F.lit(old), F.lit(new))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it and
+    whatever expression it is."""
+    return F.get(F.transform(F.array(value), lambda known: use(known)), F.lit(0))
+
+
+def _restored(text: Column) -> Column:
     plain = text
     for old, new in LITERALS[3:]:
         plain = F.replace(plain, F.lit(old), F.lit(new))
-    text = F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+
+
+def _cut(text: Column) -> Column:
     spaced = F.regexp_replace(text, f"[{_MARKS}]", " $0 ")
     for pattern, new in PATTERNS[1:]:
         spaced = F.regexp_replace(spaced, pattern, new)
     run = F.lit(False)
     for pair in _RUNS:
         run = run | F.contains(text, F.lit(pair))
-    text = F.when(run, spaced).otherwise(_split_marks(text))
+    return F.when(run, spaced).otherwise(_split_marks(text))
+
+
+def tokenize_13a(text: Column) -> Column:
+    """array<string> of 13a tokens; NULL stays NULL."""
+    for old, new in LITERALS[:3]:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = _once(_once(text, _restored), _cut)
     # This and a one-character split are several times faster here than a
     # split on a character class with that many members.
     text = F.regexp_replace(text, _SPACE, " ")

@@ -46,6 +46,16 @@ def _tokens(df: DataFrame, name: str) -> Column:
     return F.coalesce(column, F.array().cast("array<string>"))
 
 
+def counted_tokens(df: DataFrame, text: str) -> DataFrame:
+    """``df`` whose text is its tokens with a space between two, and ``<text>_n``, their number.
+
+    For texts that many pairs share: made before they are paired, tokens are made once.
+    """
+    rest = [c for c in df.columns if c != text]
+    tokens = df.select(*rest, _tokens(df, text).alias("_tokens"))
+    return tokens.select(*rest, F.array_join("_tokens", " ").alias(text), F.size("_tokens").alias(f"{text}_n"))
+
+
 def _windows(tokens: Column, max_n: int, sign: int) -> Column:
     # array_repeat and slice share the order of the tokens; arrays_zip pads the
     # windows at the end of the text with NULL.
@@ -186,11 +196,13 @@ def bleu(
     max_n: int = 4,
     partitions: int | None = None,
     method: str = "rows",
+    counted: bool = False,
 ) -> DataFrame:
     """Unsmoothed BLEU of every pair: ``keys, len_c, len_r, bleu``.
 
     ``keys`` must tell the pairs apart. ``cand`` and ``ref`` are texts or token
-    arrays. A pair with an empty side scores 0.
+    arrays, or both as of :func:`counted_tokens` (``counted``, for rows). A pair with
+    an empty side scores 0.
 
     ``method="rows"`` counts inside each row in Arrow batches: the texts stay
     where the join left them (or are spread over ``partitions`` tasks) and a task
@@ -200,7 +212,9 @@ def bleu(
     if method == "rows":
         if partitions:
             pairs = pairs.repartition(partitions, *keys)
-        return _bleu_rows(pairs, keys, cand, ref, max_n)
+        return _bleu_rows(pairs, keys, cand, ref, max_n, counted)
+    if counted:
+        raise ValueError("counted tokens are for method rows")
     wide = _matches(pairs, keys, cand, ref, max_n, partitions)
     shares = [
         F.when(F.col(f"m{n}") > 0, F.col(f"m{n}") / possible(F.col("len_c"), n))
@@ -333,13 +347,16 @@ def _portions(ours: pa.Array, theirs: pa.Array) -> Iterator[tuple[pa.Array, pa.A
 
 
 def _bleu_rows(
-    pairs: DataFrame, keys: Sequence[str], cand: str, ref: str, max_n: int
+    pairs: DataFrame, keys: Sequence[str], cand: str, ref: str, max_n: int, counted: bool = False
 ) -> DataFrame:
     @F.arrow_udf("double")
     def score(ours: pa.Array, theirs: pa.Array) -> pa.Array:
         found = [_scores(a, b, max_n) for a, b in _portions(ours, theirs)]
         return pa.array(np.concatenate(found) if found else [], pa.float64())
 
+    if counted:
+        lengths = [F.col(f"{name}_n").alias(f"len_{x}") for name, x in ((cand, "c"), (ref, "r"))]
+        return pairs.select(*keys, *lengths, score(cand, ref).alias("bleu"))
     tokens = pairs.select(
         *keys, _tokens(pairs, cand).alias("c"), _tokens(pairs, ref).alias("r")
     )

@@ -394,8 +394,14 @@ OUTPUT_KEYS = ["run_time", "model", "record"]
 
 
 def _output_bleu(spark, sf_dir):
-    pairs = _candidates(spark, sf_dir)
-    return B.bleu(pairs, OUTPUT_KEYS, "markup", "completion", partitions=_tasks(spark))
+    """All extracted markup against its target, whose tokens are made once for all of its candidates."""
+    found = _artifacts(spark, sf_dir)
+    ours = found.where(F.col("has_markup")).select(*OUTPUT_KEYS, "markup")
+    targets = X.eval_examples(spark, sf_dir).select("record", "completion")
+    pairs = G.pair_candidates(
+        B.counted_tokens(ours, "markup"), B.counted_tokens(targets, "completion"), heavy_keys(found, "record")
+    )
+    return B.bleu(pairs, OUTPUT_KEYS, "markup", "completion", partitions=_tasks(spark), counted=True)
 
 
 @query

@@ -102,6 +102,25 @@ def test_bleu_equals_plain_python(spark, method):
     assert found[900].bleu == 0.0 and found[901].bleu == pytest.approx(1.0)
 
 
+def test_counted_tokens_score_as_their_texts(spark, capsys):
+    texts = [(0, None), (1, ""), (2, " ,  a\u3000b.c&amp;d "), (3, "a b . c & d"), (4, "a b , c & d e f"), (5, "\t\n")]
+    sides = spark.createDataFrame(texts, "i int, t string")
+    ours, theirs = sides.withColumnRenamed("i", "j").withColumnRenamed("t", "u"), sides
+    plain = bleu(ours.crossJoin(theirs), ["i", "j"], "u", "t")
+    pairs = B.counted_tokens(ours, "u").crossJoin(B.counted_tokens(theirs, "t"))
+    found = bleu(pairs, ["i", "j"], "u", "t", counted=True)
+    assert found.columns == plain.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    # What is tokenized is worked out once, and nothing is tokenized above the join.
+    sides.select(tokenize_13a(F.upper("t")).alias("k")).explain("simple")
+    assert capsys.readouterr().out.count("upper(") == 1
+    found.explain("simple")
+    above = re.split(r"NestedLoopJoin|CartesianProduct", capsys.readouterr().out)[0]
+    assert "regexp_replace" not in above and "clipped" not in above
+    with pytest.raises(ValueError):
+        bleu(pairs, ["i", "j"], "u", "t", method="grams", counted=True)
+
+
 def test_repeated_grams_are_clipped(spark):
     df = spark.createDataFrame([(1, "the the the the", "the cat the")], "id int, cand string, ref string")
     rows = {r.n: (r.matched, r.possible) for r in ngram_precision(df, ["id"]).collect()}
