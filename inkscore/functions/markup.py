@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkscore.functions.text import once
+
 # The formats prompts and placeholders are written in.
 ASSET_PATTERN = "data:image[^\"']*"
 PNG_PREFIX = "data:image/png;base64,"
@@ -16,9 +18,13 @@ def extract_markup(text: Column, tag: str = "svg") -> Column:
     Two searches for fixed strings: what follows the first opening closes it, if anything does.
     """
     opening, closing = f"<{tag}", f"</{tag}>"
-    start = F.position(F.lit(opening), text)
-    end = F.position(F.lit(closing), text, start + len(opening))
-    return F.when((start > 0) & (end > 0), F.substring(text, start, end - start + len(closing)))
+
+    def found(known: Column) -> Column:
+        start = F.position(F.lit(opening), known)
+        end = F.position(F.lit(closing), known, start + len(opening))
+        return F.when((start > 0) & (end > 0), F.substring(known, start, end - start + len(closing)))
+
+    return once(text, found)
 
 
 def extract_assets(markup: Column) -> Column:

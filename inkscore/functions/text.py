@@ -53,7 +53,7 @@ def _split_marks(text: Column) -> Column:
     return F.regexp_replace(text, _CUT, " $0 ")
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` worked out once, however often ``use`` names it and
     whatever expression it is."""
     return F.get(F.transform(F.array(value), lambda known: use(known)), F.lit(0))
@@ -76,12 +76,19 @@ def _cut(text: Column) -> Column:
     return F.when(run, spaced).otherwise(_split_marks(text))
 
 
+def _plain_spaces(text: Column) -> Column:
+    # In ASCII texts no character asks for the comparison behind the table.
+    ascii_only = F.octet_length(text) == F.length(text)
+    near = F.regexp_replace(text, f"[{_NEAR}]", " ")
+    return F.when(ascii_only, near).otherwise(F.regexp_replace(text, _SPACE, " "))
+
+
 def tokenize_13a(text: Column) -> Column:
     """array<string> of 13a tokens; NULL stays NULL."""
     for old, new in LITERALS[:3]:
         text = F.replace(text, F.lit(old), F.lit(new))
-    text = _once(_once(text, _restored), _cut)
+    text = once(once(text, _restored), _cut)
     # This and a one-character split are several times faster here than a
     # split on a character class with that many members.
-    text = F.regexp_replace(text, _SPACE, " ")
+    text = once(text, _plain_spaces)
     return F.array_remove(F.split(text, " "), "")

@@ -229,7 +229,7 @@ def bleu(
     return wide.select(*keys, "len_c", "len_r", F.coalesce(score, F.lit(0.0)).alias("bleu"))
 
 
-STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP, HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 # Tokens of both sides that are counted together in a task.
 TOKENS_AT_ONCE = 250_000
 
@@ -259,9 +259,10 @@ def _token_lists(side: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def clipped_matches(cand: pa.Array, ref: pa.Array, max_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of each candidate and reference, and (max_n, rows) clipped n-gram matches.
 
-    Grams get rolling hashes that their row takes part in; equal ones are brought
-    together by one sort an order, and only those that stand on both sides go on to the
-    next order. They are compared token by token, so a collision that makes a
+    A gram is told by its row and token, a longer one by the numbers of the two grams
+    that it begins and ends with. Equal ones are brought together by one sort of hashes an
+    order and numbered, and only those that stand on both sides go on to the next order.
+    Neighbours are compared by what tells them, so a collision that makes a
     match is seen, and the rows it touches are counted by the grams themselves.
     """
     (c_values, c_n), (r_values, r_n) = _token_lists(cand), _token_lists(ref)
@@ -271,39 +272,36 @@ def clipped_matches(cand: pa.Array, ref: pa.Array, max_n: int) -> tuple[np.ndarr
     token = encoded.indices.fill_null(len(encoded.dictionary)).to_numpy().astype(np.uint64)
     lengths = np.concatenate([c_n, r_n])
     row = np.repeat(np.tile(np.arange(rows), 2), lengths)
-    ours = np.arange(len(token)) < c_n.sum()
+    n_ours = c_n.sum()
     room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(token))
     matches = np.zeros((max_n, rows), np.int64)
     suspect: set[int] = set()
-    grams = _mix(row.astype(np.uint64) + STEP)
     # The low bits of a sorted hash say where its gram is.
     places = np.uint64((1 << max(1, len(token).bit_length())) - 1)
-    alive = np.ones(len(token), bool)
+    at = np.arange(len(token))
+    told = row.astype(np.uint64) << HALF | token
     for n in range(1, max_n + 1):
-        grams = _mix(grams * STEP + np.roll(token, 1 - n))
-        at = np.flatnonzero(alive & (room >= n))
         if not len(at):
             break
-        sorted_ = np.sort(grams[at] & ~places | at.astype(np.uint64))
-        at = (sorted_ & places).astype(np.int64)
-        new = np.append(True, np.diff(sorted_ & ~places) != 0)
+        hashes = np.sort(_mix(told[at] * STEP) & ~places | at.astype(np.uint64))
+        at = (hashes & places).astype(np.int64)
+        hashes &= ~places
+        new = np.append(True, hashes[1:] != hashes[:-1])
+        sorted_ = told[at]
+        unlike = np.flatnonzero((sorted_[1:] != sorted_[:-1]) & ~new[1:])
+        if len(unlike):
+            suspect.update(row[at[unlike]].tolist(), row[at[unlike + 1]].tolist())
         first = np.flatnonzero(new)
-        counts = np.diff(np.append(first, len(at)))
-        of_ours = np.add.reduceat(ours[at], first, dtype=np.int64)
+        counts = np.diff(first, append=len(at))
+        of_ours = np.add.reduceat(at < n_ours, first, dtype=np.int64)
         least = np.minimum(of_ours, counts - of_ours)
-        matches[n - 1] = np.bincount(row[at[first]], weights=least, minlength=rows)
+        both = least > 0
+        matches[n - 1] = np.bincount(row[at[first[both]]], weights=least[both], minlength=rows)
         # Only what stands on both sides is looked at again, and can be longer there.
-        both = np.repeat(least > 0, counts)
-        head = np.repeat(at[first], counts)[both]
-        at = at[both]
-        same = row[at] == row[head]
-        for k in range(n):
-            same &= token[at + k] == token[head + k]
-        if not same.all():
-            suspect.update(row[at[~same]].tolist(), row[head[~same]].tolist())
-        alive = np.zeros(len(token), bool)
-        alive[at] = True
-        alive[:-1] &= alive[1:]
+        numbers = np.zeros(len(token) + 1, np.uint64)
+        numbers[at] = np.repeat(np.where(both, np.cumsum(both), 0), counts)
+        at = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0) & (room > n))
+        told = numbers[:-1] << HALF | numbers[1:]
     if suspect:
         split = np.split(token, np.cumsum(lengths)[:-1])
         for i in suspect:

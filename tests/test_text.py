@@ -10,6 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from conftest import SF_DIR
 from inkscore.functions import markup as M
 from inkscore.functions.rounding import sig3, steady_sum
 from inkscore.functions.text import SPACES, _split_marks, tokenize_13a
@@ -307,3 +309,18 @@ def test_python_batches_are_bounded(spark):
     configure(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("16m", "16777216b")
     assert B.TOKENS_AT_ONCE <= 250_000
+
+
+def test_pairs_are_scored_where_they_meet(spark, capsys):
+    """No pair, which holds its target, crosses an exchange; a response is made once to find its markup."""
+    queries()["bleu_leaderboard"](spark, SF_DIR).explain("simple")
+    assert "REPARTITION" not in capsys.readouterr().out
+    spark.createDataFrame([("<svg></svg>",)], "t string").select(M.extract_markup(F.upper("t")).alias("m")).explain("simple")
+    assert capsys.readouterr().out.count("upper(") == 1
+
+
+def test_spaces_of_plain_and_other_texts(spark):
+    texts = [f"a{c}b{c}{c}c" for c in SPACES] + [f"é{c}b{c}" for c in SPACES] + ["\x1f", "é", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", tokenize_13a(F.col("t")).alias("tokens")).collect():
+        assert row["tokens"] == (None if row["t"] is None else row["t"].split())
