@@ -35,6 +35,8 @@ BITS_PER_ITEM = 10
 PROBES = 6
 SHARD_BYTES = 8_000_000
 SLICE_BYTES = 64_000_000
+# Tokens of a shard that are looked up and scored together.
+TOKENS_AT_ONCE = 100_000
 BEGIN, END = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 STEP = np.uint64(0xE7037ED1A0B428DB)
 LEVEL = 0x8EBC6AF09C88C6E3
@@ -92,10 +94,10 @@ def level_of(counts: np.ndarray, least: int) -> np.ndarray:
     return levels
 
 
-def _probes(hashes: np.ndarray, level: int, size: np.ndarray, probe: int) -> np.ndarray:
+def _places(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each hash at a level: the first probe and the step to the next, before the remainder."""
     first = mix(hashes + np.uint64(level * LEVEL & MASK64))
-    second = (first >> np.uint64(32)) | np.uint64(1)
-    return (first + np.uint64(probe) * second) % size
+    return first, (first >> np.uint64(32)) | np.uint64(1)
 
 
 def make_block(hashes: np.ndarray, levels: np.ndarray) -> bytes:
@@ -104,9 +106,10 @@ def make_block(hashes: np.ndarray, levels: np.ndarray) -> bytes:
     bits = np.zeros(max(64, -(-items * BITS_PER_ITEM // 64) * 64), bool)
     size = np.uint64(len(bits))
     for level in range(1, int(levels.max(initial=0)) + 1):
-        own = hashes[levels >= level]
-        for probe in range(PROBES):
-            bits[_probes(own, level, size, probe).astype(np.int64)] = True
+        place, step = _places(hashes[levels >= level], level)
+        for _ in range(PROBES):
+            bits[(place % size).astype(np.int64)] = True
+            place += step
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -135,15 +138,20 @@ class Filter:
         block = n * self.buckets + _bucket(hashes, self.buckets)
         found = np.zeros(len(hashes), np.uint8)
         at = np.flatnonzero(self.start[block] >= 0)
+        left = [at, hashes[at], self.size[block[at]], self.start[block[at]].astype(np.uint64)]
         level = 0
-        while len(at):
+        while len(left[0]):
             level += 1
-            for probe in range(PROBES):
-                own = block[at]
-                place = _probes(hashes[at], level, self.size[own], probe).astype(np.int64)
-                place += self.start[own]
-                at = at[self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1]
-            found[at] = level
+            left += _places(left[1], level)
+            for _ in range(PROBES):
+                _, _, size, start, place, step = left
+                spot = place % size + start
+                held = self.bits[(spot >> np.uint64(3)).view(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 1
+                place += step
+                if not held.all():
+                    left = [values[held] for values in left]
+            left = left[:4]
+            found[left[0]] = level
         return found
 
 
@@ -245,12 +253,18 @@ def _sorted(shard: pa.Table) -> pa.Table:
     return shard.sort_by([(c, "ascending") for c in ("key", "doc_id", "text")])
 
 
-def _levels_blob(shard: pa.Table, told: Filter, order: int) -> list[np.ndarray]:
-    tokens, counts = tokens_of(text_bytes(shard.column("text")))
-    return [
-        np.where(whole, told.levels(n, hashes), 0).astype(np.uint8)
-        for n, hashes, whole in grams_of(tokens, counts, order)
-    ]
+def _portions(tokens: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole texts, in runs of about as many tokens as are looked up at once."""
+    ends = np.cumsum(counts)
+    edges = np.searchsorted(ends, np.arange(TOKENS_AT_ONCE, len(tokens), TOKENS_AT_ONCE))
+    edges = np.unique(np.concatenate([[0], edges, [len(counts)]])).tolist()
+    for low, high in zip(edges, edges[1:]):
+        own = counts[low:high]
+        yield tokens[ends[high - 1] - own.sum() : ends[high - 1]], own
+
+
+def _levels(tokens: np.ndarray, counts: np.ndarray, told: Filter, order: int) -> list[np.ndarray]:
+    return [np.where(whole, told.levels(n, hashes), 0).astype(np.uint8) for n, hashes, whole in grams_of(tokens, counts, order)]
 
 
 @dataclass
@@ -269,25 +283,43 @@ class Model:
     def score(self, shard: pa.Table, replies: pa.Table, told: Filter | None) -> pa.Table:
         """Scores of a shard's documents. ``replies`` has the counts of its words
         and, where the filter came in slices, the levels that each slice told."""
-        tokens, counts = tokens_of(text_bytes(shard.column("text")))
-        distinct, inverse = np.unique(tokens, return_inverse=True)
+        joined, lengths = tokens_of(text_bytes(shard.column("text")))
+        distinct = np.unique(joined)
         kinds, buckets = replies.column("n").to_pylist(), replies.column("bucket").to_pylist()
         data = replies.column("data").to_pylist()
         words = sorted((b, d) for k, b, d in zip(kinds, buckets, data) if k == WORDS)
         known = np.frombuffer(b"".join(d for _, d in words), "<u8")
         assert len(known) == len(distinct)
-        count = known[inverse].astype(float)
-        if told is not None:
-            levels = _levels_blob(shard, told, self.order)
-        else:
-            levels = [
-                np.maximum.reduce([np.frombuffer(d, np.uint8) for k, d in zip(kinds, data) if k == n])
-                for n in range(2, self.order + 1)
-            ]
+        if told is None:
+            slices = [[np.frombuffer(d, np.uint8) for k, d in zip(kinds, data) if k == n] for n in range(2, self.order + 1)]
+        found, at = [], 0
+        for tokens, counts in _portions(joined, lengths):
+            count = known[np.searchsorted(distinct, tokens)].astype(float)
+            if told is not None:
+                levels = _levels(tokens, counts, told, self.order)
+            else:
+                levels = [np.maximum.reduce([part[at : at + len(tokens)] for part in parts]) for parts in slices]
+            at += len(tokens)
+            found.append(self._sums(counts, count, levels))
+        counts, n_known, base, score = (np.concatenate(c) for c in zip(*found))
+        return pa.table(
+            {
+                "doc_id": shard.column("doc_id"),
+                "held_out": shard.column("held_out"),
+                "n_tokens": pa.array(counts),
+                "n_known": pa.array(n_known),
+                "train_tokens": pa.array(np.full(len(counts), self.tokens, np.int64)),
+                "base_score": pa.array(base),
+                "score": pa.array(score),
+            }
+        )
+
+    def _sums(self, counts: np.ndarray, count: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Of texts of ``counts`` tokens, found ``count`` times each: their tokens, known ones and both scores."""
         total = self.tokens + self.distinct + 1.0
         chance = (count + 1) / total
         base = np.log10(chance)
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = np.arange(len(count)) - np.repeat(np.cumsum(counts) - counts, counts)
         context = np.append(0.0, count[:-1])
         context[place == 0] = self.documents
         for n, level in enumerate(levels, 2):
@@ -299,17 +331,8 @@ class Model:
             context = np.append(0.0, self.values(level)[:-1])
             context[place < n - 1] = 0
         starts = np.cumsum(counts) - counts
-        return pa.table(
-            {
-                "doc_id": shard.column("doc_id"),
-                "held_out": shard.column("held_out"),
-                "n_tokens": pa.array(counts),
-                "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
-                "train_tokens": pa.array(np.full(len(counts), self.tokens, np.int64)),
-                "base_score": pa.array(np.add.reduceat(base, starts)),
-                "score": pa.array(np.add.reduceat(np.log10(chance), starts)),
-            }
-        )
+        n_known = np.add.reduceat((count > 0).astype(np.int64), starts)
+        return counts, n_known, np.add.reduceat(base, starts), np.add.reduceat(np.log10(chance), starts)
 
 
 def score_texts(
@@ -398,7 +421,9 @@ def _teller(part, order: int):
 
 def _tell(shard: pa.Table, part: Filter, order: int) -> pa.Table:
     own = _sorted(shard)
-    blobs = [level.tobytes() for level in _levels_blob(own, part, order)]
+    joined = tokens_of(text_bytes(own.column("text")))
+    found = [_levels(tokens, counts, part, order) for tokens, counts in _portions(*joined)]
+    blobs = [b"".join(level.tobytes() for level in levels) for levels in zip(*found)]
     n = len(blobs)
     return pa.table(
         {

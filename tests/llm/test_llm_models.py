@@ -5,12 +5,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from llm_cases import PASSAGE, ROWS, docs, words
 
 import __spark_entry__ as driver
-from inkscore.llm import language, toxicity
+from inkscore.llm import language, ngram_lm, toxicity
 from inkscore.llm.decontaminate import (
     Matcher,
     contaminated,
@@ -546,3 +547,36 @@ def test_toxicity_query(spark):
     clean = [r["predicted"] for r in held if not labels[r["doc_id"]]]
     toxic = [r["predicted"] for r in held if labels[r["doc_id"]]]
     assert np.mean(clean) < 0.02 and np.mean(toxic) >= 0.6
+
+
+def test_a_shard_is_scored_in_portions_of_its_tokens(monkeypatch):
+    """What is looked up at once does not grow with the shard, and nothing depends on it."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 40, n)) for n in [0, 1, 30, 4, 200, 0, 7] * 20]
+    ids = list(range(len(texts)))
+    columns = {"key": ids, "doc_id": ids, "held_out": [i % 7 == 2 for i in ids], "text": texts}
+    shard = pa.table({"shard": pa.array([0] * len(ids), pa.int32()), **columns})
+    sent = ngram_lm._send(shard, 3, 1)
+    made = {n: ngram_lm._sum(sent.filter(pa.array(np.array(sent.column("n")) == n)), 1) for n in (1, 2, 3)}
+    told = ngram_lm.Filter.of([(n, 0, made[n].column("data")[0].as_py()) for n in (2, 3)], 3, 1)
+    model = ngram_lm.Model(3, 1, made[1].column("tokens")[0].as_py(), 41, len(ids), {2: 0.5, 3: 0.4})
+    asked, look_up = [], ngram_lm.Filter.levels
+
+    def levels(self, n, hashes):
+        asked.append(len(hashes))
+        return look_up(self, n, hashes)
+
+    monkeypatch.setattr(ngram_lm.Filter, "levels", levels)
+
+    def run():
+        replies = made[1].slice(1).select(["shard", "n", "bucket", "data"])
+        levels = ngram_lm._tell(shard, told, 3)
+        later = pa.concat_tables([replies, levels.cast(replies.schema)])
+        return levels, model.score(shard, replies, told), model.score(shard, later, None)
+
+    whole = run()
+    assert max(asked) > 400 and whole[1].equals(whole[2])
+    monkeypatch.setattr(ngram_lm, "TOKENS_AT_ONCE", 100)
+    asked.clear()
+    assert all(a.equals(b) for a, b in zip(run(), whole))
+    assert max(asked) <= 100 + 201
