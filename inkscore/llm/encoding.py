@@ -26,6 +26,8 @@ WORD = re.compile(
     rf"| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+"
 )
 PLAIN = re.compile(r"[\x00-ɏ]*\Z")
+# A piece that is one word of the pattern.
+SINGLE = re.compile(rf" ?[{LETTER}]+\Z")
 REMEMBERED = 400_000
 
 
@@ -56,36 +58,32 @@ def _may_cut(tokenizer) -> bool:
     )
 
 
-class _Words(dict):
-    """Ids of what the pre-tokenizer yields, by the library's model."""
-
-    def __init__(self, model, limit: int):
-        super().__init__()
-        self.tokenize, self.limit = model.tokenize, limit
-        self.table = dict(enumerate(byte_characters()))
-
-    def __missing__(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.table)
-        ids = array("I", [token.id for token in self.tokenize(shown)]).tobytes()
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = ids
-        return ids
-
-
 class _Pieces(dict):
-    """Ids of a piece of text between two places where it may be cut."""
+    """Ids of a piece of text between two places where it may be cut, and of the words
+    that the pre-tokenizer makes of it; a word has the same ids on its own."""
 
     def __init__(self, tokenizer, limit: int):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
-        self.words = _Words(tokenizer.model, limit)
+        self.tokenizer, self.limit = tokenizer, 2 * limit
+        self.tokenize = tokenizer.model.tokenize
+        self.table = dict(enumerate(byte_characters()))
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word, by the library's model."""
+        if word.isascii() and word.isprintable():  # its bytes are shown as themselves, but for the space
+            shown = word.replace(" ", self.table[0x20])
+        else:
+            shown = word.encode().decode("latin-1").translate(self.table)
+        return array("I", [token.id for token in self.tokenize(shown)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if OTHER_SPACE.search(piece):
+        if SINGLE.match(piece):
+            ids = self.word(piece)
+        elif OTHER_SPACE.search(piece):
             raise _EncodeWhole
-        if "<|" not in piece and (piece.isascii() or PLAIN.match(piece)):
-            ids = b"".join(map(self.words.__getitem__, WORD.findall(piece)))
+        elif "<|" not in piece and (piece.isascii() or PLAIN.match(piece)):
+            words = WORD.findall(piece)
+            ids = b"".join(map(self.__getitem__, words)) if len(words) > 1 else self.word(piece)
         else:
             found = self.tokenizer.encode(piece, add_special_tokens=False)
             ids = array("I", found.ids).tobytes()

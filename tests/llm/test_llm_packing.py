@@ -157,3 +157,21 @@ def test_token_files_query(spark):
     rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
     wanted, found = check_read([tuple(r) for r in rows], found)
     assert found == wanted
+
+
+def test_a_word_is_asked_for_once_and_kept_once():
+    """A piece that is one word takes one place, so twice as many words are remembered."""
+    encode = Encoder(PATH, remembered=50)
+    asked, ask = [], encode.pieces.tokenize
+
+    def tokenize(shown):
+        asked.append(shown)
+        return ask(shown)
+
+    encode.pieces.tokenize = tokenize
+    words = [chr(97 + i % 26) + chr(97 + i // 26) + "qx" for i in range(90)]
+    text = " " + " ".join(words)
+    first, again = encode.encode([text, text])
+    assert first == again and len(asked) == len(set(asked)) == 90
+    for odd in ["\n\n x  y\n", "don't 's 'll, (a1) 12.5", "a\x00b\x1f", "é\tß 　", "<|x|> 中", "  ", " ,", "\x7f ~", ""]:
+        assert np.frombuffer(encode.one(odd), np.uint32).tolist() == ids_of(odd), repr(odd)
