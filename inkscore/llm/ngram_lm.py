@@ -10,9 +10,12 @@ single words, which the base score shows as well, use exact counts.
 The corpus is dealt into shards of whole documents. A shard sends the hashes and
 counts of its n-grams to buckets of hashes, which sum them over all shards; a
 bucket of longer n-grams becomes its block of the filter, a bucket of words
-answers every shard with the exact counts of the shard's own words. Only the
-filter is broadcast, in slices of bounded size; the number of shards, buckets
-and slices grows with the corpus, the size of each does not.
+answers every shard with the exact counts of the shard's own words. A filter
+that is sure to be small is broadcast. Of a larger one no task holds more than a
+block: shards also send the n-grams they only ask for, and the bucket answers
+with the levels at which its block holds them. So the texts are read twice,
+whatever the size of the filter; the number of shards and buckets grows with the
+corpus, the size of each does not.
 """
 
 from __future__ import annotations
@@ -75,17 +78,29 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def _shorten(hashes: np.ndarray) -> bytes:
-    """The upper 48 bits of each."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes each as the largest needs; the first byte says how many."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _lengthen(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _widen(data: bytes) -> np.ndarray:
+    out = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
     return out.reshape(-1).view("<u8")
 
 
+def _shorten(hashes: np.ndarray, bucket: int, buckets: int) -> bytes:
+    """The upper 48 bits of a bucket's hashes, in order, as the steps from one to the next."""
+    start = np.uint64(bucket * (1 << 48) // buckets)
+    return _narrow(np.diff(hashes >> np.uint64(16), prepend=start))
+
+
+def _lengthen(data: bytes, bucket: int, buckets: int) -> np.ndarray:
+    start = np.uint64(bucket * (1 << 48) // buckets)
+    return (np.cumsum(_widen(data), dtype=np.uint64) + start) << np.uint64(16)
+
+
 def level_of(counts: np.ndarray, least: int) -> np.ndarray:
     """1 for ``least`` to twice that, and so on; 0 below."""
     levels = np.zeros(len(counts), np.int64)
@@ -115,10 +130,10 @@ def make_block(hashes: np.ndarray, levels: np.ndarray) -> bytes:
 
 @dataclass
 class Filter:
-    """Blocks of one slice; n-grams of other slices are not told."""
+    """Some blocks; n-grams of others are not told."""
 
     bits: np.ndarray
-    start: np.ndarray  # of each (length, bucket), in bits; -1 if not in the slice
+    start: np.ndarray  # of each (length, bucket), in bits; -1 if not among them
     size: np.ndarray
     buckets: int
 
@@ -155,6 +170,32 @@ class Filter:
         return found
 
 
+@dataclass
+class Answers:
+    """The levels of a shard's own n-grams, as the blocks of a filter told them."""
+
+    hashes: dict[int, np.ndarray]  # of each length, in order
+    held: dict[int, np.ndarray]
+
+    @classmethod
+    def of(cls, read: tuple[np.ndarray, np.ndarray], replies: pa.Table, order: int) -> Answers:
+        kinds, buckets = replies.column("n").to_pylist(), replies.column("bucket").to_pylist()
+        rows = sorted(zip(kinds, buckets, replies.column("data").to_pylist()))
+        hashes, held = {}, {}
+        for n, own, whole in grams_of(*read, order):
+            hashes[n] = np.unique(own[whole])
+            held[n] = np.frombuffer(b"".join(d for k, _, d in rows if k == n), np.uint8)
+            assert len(held[n]) == len(hashes[n])
+        return cls(hashes, held)
+
+    def levels(self, n: int, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes[n]):
+            return np.zeros(len(hashes), np.uint8)
+        # What stands in no text (where no whole n-gram ends) is told by any other.
+        at = np.minimum(np.searchsorted(self.hashes[n], hashes), len(self.hashes[n]) - 1)
+        return self.held[n][at]
+
+
 def _shards(docs: DataFrame, shards: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(F.col("doc_id").cast("long"), text)
@@ -197,10 +238,11 @@ def _counted(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes[first], sums
 
 
-def _send(shard: pa.Table, order: int, buckets: int) -> pa.Table:
+def _send(shard: pa.Table, order: int, buckets: int, ask: bool = False) -> pa.Table:
     """The n-gram counts of a shard's training documents, by bucket of hashes.
 
-    Words of all its documents are sent, with training counts that may be 0.
+    Words of all its documents are sent, with training counts that may be 0; so are
+    longer n-grams if the shard asks for their levels.
     """
     tokens, counts = tokens_of(text_bytes(shard.column("text")))
     learned = np.repeat(~shard.column("held_out").to_numpy(), counts)
@@ -213,38 +255,40 @@ def _send(shard: pa.Table, order: int, buckets: int) -> pa.Table:
         for bucket, (low, high) in enumerate(zip(edges, edges[1:])):
             if low < high:
                 own = hashes[low:high]
-                data = own.astype("<u8").tobytes() if n == WORDS else _shorten(own)
-                sent.append((n, bucket, number, data, sums[low:high].astype("<u4").tobytes()))
+                data = own.astype("<u8").tobytes() if n == WORDS else _shorten(own, bucket, buckets)
+                sent.append((n, bucket, number, data, _narrow(sums[low:high])))
 
     deal(WORDS, tokens, learned)
     for n, hashes, whole in grams_of(tokens, counts, order):
-        own = hashes[whole & learned]
-        deal(n, own, np.ones(len(own), np.uint32))
+        sends = whole if ask else whole & learned
+        deal(n, hashes[sends], learned[sends])
     columns = [pa.array(c, f.type) for c, f in zip(zip(*sent), SENT)]
     return pa.Table.from_arrays(columns, schema=SENT)
 
 
-def _sum(bucket: pa.Table, least: int) -> pa.Table:
-    """Sums a bucket's counts over all shards: a block of the filter, or for words
-    the answers to the shards.
+def _sum(bucket: pa.Table, least: int, buckets: int = 1, ask: bool = False) -> pa.Table:
+    """Sums a bucket's counts over all shards: a block of the filter, or for words, and
+    for what is asked, the answers to the shards.
 
     ``tokens`` is the sum of the counts; ``also``, for words, the number of distinct
     ones, and for longer n-grams the tokens whose n-gram would be held without them.
     """
     n, number = bucket.column("n")[0].as_py(), bucket.column("bucket")[0].as_py()
     parts = bucket.column("hashes").to_pylist()
-    arrays = [np.frombuffer(p, "<u8") if n == WORDS else _lengthen(p) for p in parts]
-    weights = [np.frombuffer(c, "<u4") for c in bucket.column("counts").to_pylist()]
+    arrays = [np.frombuffer(p, "<u8") if n == WORDS else _lengthen(p, number, buckets) for p in parts]
+    weights = [_widen(c) for c in bucket.column("counts").to_pylist()]
     hashes, sums = _counted(np.concatenate(arrays), np.concatenate(weights).astype(np.int64))
-    if n != WORDS:
+    if n == WORDS:
+        rows = [(n, number, REPLY, b"", int(sums.sum()), int((sums > 0).sum()))]
+        answer = sums.astype("<u8")
+    else:
         levels = level_of(sums, least)
         block = make_block(hashes[levels > 0], levels[levels > 0])
-        rows = [(n, number, BITS, block, int(sums.sum()), int(sums[sums > least].sum()))]
-    else:
-        rows = [(n, number, REPLY, b"", int(sums.sum()), int((sums > 0).sum()))]
+        rows = [(n, number, BITS, b"" if ask else block, int(sums.sum()), int(sums[sums > least].sum()))]
+        answer = Filter.of([(n, number, block)], n, buckets).levels(n, hashes) if ask else None
+    if answer is not None:
         for shard, own in zip(bucket.column("shard").to_pylist(), arrays):
-            data = sums[np.searchsorted(hashes, own)].astype("<u8").tobytes()
-            rows.append((n, number, shard, data, 0, 0))
+            rows.append((n, number, shard, answer[np.searchsorted(hashes, own)].tobytes(), 0, 0))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), MADE)], schema=MADE)
 
 
@@ -263,7 +307,7 @@ def _portions(tokens: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarr
         yield tokens[ends[high - 1] - own.sum() : ends[high - 1]], own
 
 
-def _levels(tokens: np.ndarray, counts: np.ndarray, told: Filter, order: int) -> list[np.ndarray]:
+def _levels(tokens: np.ndarray, counts: np.ndarray, told: Filter | Answers, order: int) -> list[np.ndarray]:
     return [np.where(whole, told.levels(n, hashes), 0).astype(np.uint8) for n, hashes, whole in grams_of(tokens, counts, order)]
 
 
@@ -280,10 +324,16 @@ class Model:
         """The least count of each level: a held n-gram is not taken for more."""
         return np.where(levels > 0, self.least * 2.0 ** (levels.astype(float) - 1), 0.0)
 
-    def score(self, shard: pa.Table, replies: pa.Table, told: Filter | None) -> pa.Table:
+    def score(
+        self,
+        shard: pa.Table,
+        replies: pa.Table,
+        told: Filter | None,
+        read: tuple[np.ndarray, np.ndarray] | None = None,
+    ) -> pa.Table:
         """Scores of a shard's documents. ``replies`` has the counts of its words
-        and, where the filter came in slices, the levels that each slice told."""
-        joined, lengths = tokens_of(text_bytes(shard.column("text")))
+        and, where the filter is not at hand, the levels of its n-grams."""
+        joined, lengths = read or tokens_of(text_bytes(shard.column("text")))
         distinct = np.unique(joined)
         kinds, buckets = replies.column("n").to_pylist(), replies.column("bucket").to_pylist()
         data = replies.column("data").to_pylist()
@@ -352,22 +402,25 @@ def score_texts(
     scored each; a null id counts as '' for the fold; an empty table gives no
     rows; other columns are ignored.
 
-    ``slice_bytes`` bounds what is broadcast. A filter up to that size is one
-    slice; a larger one takes a pass over the texts for each slice, with the same
-    scores.
+    ``slice_bytes`` bounds what is broadcast. A filter that is sure to fit is;
+    of a larger one the blocks answer the shards, with the same scores.
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))), F.count("*")).first()
     shards = max(1, -(-(size[0] or 0) // shard_bytes))
     buckets = 1 << max(0, math.ceil(math.log2(shards)))
     dealt = _shards(docs, shards)
 
+    # A token is two bytes or more, or an end, and an n-gram is held once a count at most.
+    most = (order - 1) * ((size[0] or 0) // 2 + size[1]) * BITS_PER_ITEM // 8
+    ask = most > slice_bytes
+
     sent = dealt.groupBy("shard").applyInArrow(
-        lambda shard: _send(shard, order, buckets),
+        lambda shard: _send(shard, order, buckets, ask),
         "n int, bucket int, shard int, hashes binary, counts binary",
     )
     made = settle(
         sent.groupBy("n", "bucket").applyInArrow(
-            lambda bucket: _sum(bucket, least),
+            lambda bucket: _sum(bucket, least, buckets, ask),
             "n int, bucket int, shard int, data binary, tokens long, also long",
         ),
         "ngrams",
@@ -380,29 +433,20 @@ def score_texts(
     model = Model(order, least, tokens, distinct, documents, weight)
 
     replies = made.where(F.col("shard") >= 0).select("shard", "n", "bucket", "data")
-    blocks = made.where(F.col("shard") == BITS)
-    sizes = blocks.select("n", "bucket", F.octet_length("data").alias("size"))
-    slices = _slices(sorted(tuple(r) for r in sizes.collect()), slice_bytes)
-    context = docs.sparkSession.sparkContext
-
-    def load(names: list[tuple[int, int]]):
-        keys = [f"{n}-{b}" for n, b in names]
-        chosen = blocks.where(F.concat_ws("-", "n", "bucket").isin(keys)) if keys else blocks.limit(0)
-        rows = [(r["n"], r["bucket"], bytes(r["data"])) for r in chosen.collect()]
-        return context.broadcast(Filter.of(sorted(rows), order, buckets))
-
     told = None
-    if len(slices) == 1:
-        told = load(slices[0])
-    else:
-        for names in slices:
-            levels = dealt.groupBy("shard").applyInArrow(
-                _teller(load(names), order), "shard int, n int, bucket int, data binary"
-            )
-            replies = replies.unionByName(settle(levels, "levels"))
+    if not ask:
+        blocks = made.where(F.col("shard") == BITS).select("n", "bucket", "data").collect()
+        rows = sorted((r["n"], r["bucket"], bytes(r["data"])) for r in blocks)
+        told = docs.sparkSession.sparkContext.broadcast(Filter.of(rows, order, buckets))
 
     def score(shard: pa.Table, answered: pa.Table) -> pa.Table:
-        return model.score(_sorted(shard), answered, told.value if told is not None else None)
+        own = _sorted(shard)
+        if told is not None:
+            return model.score(own, answered, told.value)
+        read = tokens_of(text_bytes(own.column("text")))
+        levels = _tell(own, Answers.of(read, answered, order), order, read)
+        words = answered.filter(pa.array(answered.column("n").to_numpy() == WORDS))
+        return model.score(own, pa.concat_tables([words, levels.cast(words.schema)]), None, read)
 
     return (
         dealt.groupBy("shard")
@@ -415,13 +459,12 @@ def score_texts(
     )
 
 
-def _teller(part, order: int):
-    return lambda shard: _tell(shard, part.value, order)
-
-
-def _tell(shard: pa.Table, part: Filter, order: int) -> pa.Table:
-    own = _sorted(shard)
-    joined = tokens_of(text_bytes(own.column("text")))
+def _tell(
+    shard: pa.Table, part: Filter | Answers, order: int, read: tuple[np.ndarray, np.ndarray] | None = None
+) -> pa.Table:
+    """The levels of the n-grams that end at each token of a shard."""
+    own = _sorted(shard) if read is None else shard
+    joined = read or tokens_of(text_bytes(own.column("text")))
     found = [_levels(tokens, counts, part, order) for tokens, counts in _portions(*joined)]
     blobs = [b"".join(level.tobytes() for level in levels) for levels in zip(*found)]
     n = len(blobs)
@@ -433,16 +476,3 @@ def _tell(shard: pa.Table, part: Filter, order: int) -> pa.Table:
             "data": pa.array(blobs, pa.binary()),
         }
     )
-
-
-def _slices(sizes: list[tuple[int, int, int]], slice_bytes: int) -> list[list[tuple[int, int]]]:
-    """Blocks in groups of at most ``slice_bytes``, at least a block each."""
-    slices: list[list[tuple[int, int]]] = [[]]
-    held = 0
-    for n, bucket, size in sizes:
-        if slices[-1] and held + size > slice_bytes:
-            slices.append([])
-            held = 0
-        slices[-1].append((n, bucket))
-        held += size
-    return slices

@@ -224,6 +224,37 @@ def test_slices_of_the_filter_give_the_same_scores(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_a_large_filter_takes_no_more_passes(spark, monkeypatch):
+    """The texts are read for the counts and for the scores, however large the filter is."""
+    settled, plain = [], ngram_lm.settle
+
+    def settle(df, name):
+        settled.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(ngram_lm, "settle", settle)
+    table = docs(spark).select("doc_id", "text").unionByName(documents(spark).select("doc_id", "text"))
+    shape = {"order": 3, "least": 1, "shard_bytes": 60_000}
+    whole = sorted(map(repr, score_texts(table, **shape).collect()))
+    for slice_bytes in (20_000, 0):
+        settled.clear()
+        assert sorted(map(repr, score_texts(table, **shape, slice_bytes=slice_bytes).collect())) == whole
+        assert settled == ["ngrams"]
+    few = docs(spark, [(1, None, "en", "a", 0), (2, "", "en", "a", 0)])
+    assert len(score_texts(few, **shape, slice_bytes=0).collect()) == 2
+
+
+def test_hashes_of_a_bucket_come_back():
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64) & ~np.uint64(0xFFFF))
+    for buckets in (1, 2, 64):
+        own = ngram_lm._bucket(hashes, buckets)
+        for b in np.unique(own).tolist():
+            data = ngram_lm._shorten(hashes[own == b], b, buckets)
+            assert (ngram_lm._lengthen(data, b, buckets) == hashes[own == b]).all()
+    assert ngram_lm._widen(ngram_lm._narrow(np.array([0, 255, 256, 2**40]))).tolist() == [0, 255, 256, 2**40]
+
+
 def test_scores_query(spark):
     found = driver.queries()["op2_bloom_ngram_lm"](spark, NEARLY).collect()
     rows = [(r["doc_id"], r["text"]) for r in documents(spark, NEARLY).collect()]
