@@ -6,6 +6,9 @@ read again as the docs of the next one.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +16,7 @@ from inkscore.llm.decontaminate import without_items
 from inkscore.llm.language import of_known_language
 from inkscore.llm.neardup import first_of_each
 from inkscore.llm.packing import pack_documents
-from inkscore.llm.shared import settle
+from inkscore.llm.shared import in_small_batches, settle
 from inkscore.llm.spans import with_repeats_removed
 
 # A document goes if no language has this share of its letters' probability. A
@@ -22,6 +25,20 @@ from inkscore.llm.spans import with_repeats_removed
 LEAST_SCORE = 0.3
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def bounded(stage: Stage) -> Stage:
+    """The stage with small batches: neither a task nor its Python worker holds much of the texts."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        in_small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and those of no language that was learned."""
     return of_known_language(docs, LEAST_SCORE)
@@ -49,11 +66,11 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("substrings", substrings),
-    ("decontamination", decontamination),
-    ("packing", packing),
+    ("language", bounded(language)),
+    ("near_duplicates", bounded(near_duplicates)),
+    ("substrings", bounded(substrings)),
+    ("decontamination", bounded(decontamination)),
+    ("packing", bounded(packing)),
 ]
 
 # Neural language labels and tokenizer ids are beyond SQL.

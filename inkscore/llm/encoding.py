@@ -16,6 +16,8 @@ import os
 import re
 from array import array
 
+from .shared import remember
+
 PIECE = re.compile(r"\s*\S+|\s+")
 # White space on whose kind the regex engines may differ.
 OTHER_SPACE = re.compile(r"[^\S \n\t\r\v\f]")
@@ -123,4 +125,5 @@ def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    remember(_ENCODERS[path].pieces)
     return _ENCODERS[path]

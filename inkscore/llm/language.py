@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fold, free_name, in_batches, with_column
+from .shared import fold, free_name, in_batches, remember, with_column
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -316,6 +316,7 @@ def with_language(docs: DataFrame, network: Network | None, name: str = "languag
     """All columns, and a struct (lang_pred, score, letters) in column ``name``."""
 
     def label(texts: list[str | None]) -> pa.Array:
+        remember(None)
         rows = [
             {"lang_pred": found, "score": score, "letters": list(by.items())}
             for found, score, by in predict_batch(network, texts)

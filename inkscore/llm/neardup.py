@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import free_name, in_batches, settle, text_bytes
+from .shared import free_name, in_batches, remember, settle, text_bytes
 
 SHINGLE = 3
 RADIUS = 3
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, a hash of the text, and the fingerprint as a signed long: a row for each row."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        remember(None)
         found = [fingerprint(t, shingle) for t in text_bytes(batch.column(1))]
         return pa.RecordBatch.from_arrays(
             [

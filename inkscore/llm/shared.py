@@ -18,6 +18,8 @@ from pyspark.sql.types import DataType, StructField, StructType
 from ..session import checkpoint_dir
 
 MASK64 = (1 << 64) - 1
+# Of whole texts, and what is made of them, a worker of the pipeline gets so much at once.
+BATCH_BYTES = "4m"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -59,6 +61,23 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of whole texts on their way to Python workers and back."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+# What an operator remembers in this Python worker from batch to batch.
+_REMEMBERED: list[dict] = []
+
+
+def remember(memory: dict | None) -> None:
+    """A worker serves one operator after the other: what another one remembered is let go."""
+    if _REMEMBERED and _REMEMBERED[0] is not memory:
+        _REMEMBERED.pop().clear()
+    if memory is not None and not _REMEMBERED:
+        _REMEMBERED.append(memory)
+
+
 def in_batches(
     make: Callable[[pa.RecordBatch], pa.RecordBatch | None],
 ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -100,6 +119,8 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        if self is WORD_HASHES:
+            remember(self)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -1,9 +1,12 @@
 import corpus_pipeline
+import public_tokenizers
+import pyarrow as pa
 from conftest import SF_DIR
 from llm_cases import PASSAGE, docs
 
 import __spark_entry__ as driver
-from inkscore.llm.shared import settle
+from inkscore.llm.encoding import Encoder, encoder
+from inkscore.llm.shared import WORD_HASHES, remember, settle
 
 CLEAN = [(i, f"clean text number{i} " + " ".join(f"k{i}w{j}" for j in range(30)), "en", "s", 1) for i in range(20, 60)]
 
@@ -61,3 +64,35 @@ def test_pipeline_query(spark):
     from test_llm_packing import check_packed
 
     check_packed([(i, texts[i]) for i in kept], found, 1024, 2)
+
+
+def test_workers_get_small_batches_of_texts(spark):
+    """A task and its Python worker hold little of the texts at once, in every stage."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    table = spark.range(0, 12_000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 200) AS text", "'en' AS lang")
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:3]:
+            spark.conf.set(setting, "64m")
+            stage(spark, table, SF_DIR)
+
+            def held(batches):
+                for batch in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["held"])
+
+            sizes = [r["held"] for r in table.mapInArrow(held, "held long").collect()]
+            assert sum(sizes) > 24_000_000 and max(sizes) < 6_000_000
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_a_worker_remembers_one_operator():
+    """Word hashes and token pieces are not held beside one another, nor while neither is used."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    hashes = WORD_HASHES.of([b"one", b"two"]).tolist()
+    assert len(WORD_HASHES) >= 2
+    ids = encoder(path).encode(["one two"])
+    assert not WORD_HASHES and encoder(path).pieces and ids == Encoder(path).encode(["one two"])
+    assert WORD_HASHES.of([b"one", b"two"]).tolist() == hashes and not encoder(path).pieces
+    remember(None)
+    assert not WORD_HASHES and not encoder(path).pieces
