@@ -14,7 +14,8 @@ places; its mark is the largest of them. A place never changes once it is
 set, so every scan sees the same mark. What a phrase finds in the places of others can
 only make longer phrases active that need not be, and those are counted for a full
 cycle like all others: counts are exact, whatever the size of the table. Counts travel
-under hashes; the words of those that prove frequent are read in a last pass.
+under hashes; the words of those that prove frequent are read in a last pass, in
+portions of the texts: a portion tells only what none before it has told.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SLOTS = 1 << 24
 PLACES = 3
 NEVER = 255
 WORDS_AT_ONCE = 400_000
+# The first portion that is read for names is a share of a shard: it tells most of them.
+FIRST_PORTION = 8
 STEP = np.uint64(0x9E3779B97F4A7C15)
 # Characters that end a piece of text.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -124,14 +127,23 @@ class Scan:
         )
 
 
+TOLD, OPEN = 0, 1
+
+
 class Names:
-    """Words of the phrases whose hash is in a table of places, each once a task."""
+    """Words of the phrases whose hash is in a table of places, each once a task.
+
+    A place holds NEVER, TOLD, or OPEN if a phrase that falls on it has yet to be told.
+    """
 
     def __init__(self, table: np.ndarray, longest: int):
         self.table, self.longest = table, longest
         self.langs = WordHashes()
         self.seen = np.zeros(0, np.uint64)
 
+    def is_open(self, hashes: np.ndarray) -> np.ndarray:
+        return (self.table[places_of(hashes, len(self.table))] == OPEN).all(axis=0)
+
     def of(self, texts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         found = Grams(texts, self.langs)
         if not found.words:
@@ -145,13 +157,15 @@ class Names:
             hashes.append(new[unseen])
             return first[unseen]
 
-        for i in fresh(found.own).tolist():
+        at = np.flatnonzero(self.is_open(found.own))
+        for i in at[fresh(found.own[at])].tolist():
             names.append(found.lang[i] + b"\n")
         for k, grams, whole in found.levels(self.longest):
             at = np.flatnonzero(whole & there)
             held = np.zeros(len(there), bool)
             held[at] = marks_of(grams[at], self.table) != NEVER
             at = np.flatnonzero(held)
+            at = at[self.is_open(grams[at])]
             for i in at[fresh(grams[at])].tolist():
                 names.append(found.lang[found.piece[i]] + b"\n" + b" ".join(found.words[i : i + k]))
             # A longer frequent phrase has this one and the next.
@@ -254,20 +268,44 @@ def count_phrases(rows: DataFrame, longest: int, least: int, shards: int = SHARD
 def name_phrases(rows: DataFrame, frequent: DataFrame, longest: int, slots: int = SLOTS) -> DataFrame:
     """k, lang, phrase, f of the frequent phrases; k = 0: a language and its words."""
     table = np.full(slots, NEVER, np.uint8)
-    table[_places(frequent, slots)] = 0
-    told = rows.sparkSession.sparkContext.broadcast(table)
-    named = rows.select("lang", "text").mapInArrow(
-        _over_texts(lambda: Names(told.value, longest)), "h long, name string"
-    )
-    once = named.groupBy("h").agg(F.min("name").alias("name"))
+    table[_places(frequent, slots)] = OPEN
     phrase = F.substring_index("name", "\n", -1)
     lang = F.expr("substring(name, 1, length(name) - length(substring_index(name, '\n', -1)) - 1)")
     k = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
-    found = settle(
-        frequent.join(once, "h").select(k.alias("k"), lang.alias("lang"), phrase.alias("phrase"), "f"), "phrases"
-    )
-    told.destroy()
-    return found
+    parts: list[DataFrame] = []
+    left = frequent
+    for portion in _portions(rows):
+        told = rows.sparkSession.sparkContext.broadcast(table)
+        named = portion.select("lang", "text").mapInArrow(
+            _over_texts(_names_of(told, longest)), "h long, name string"
+        )
+        once = named.groupBy("h").agg(F.min("name").alias("name"))
+        own = left.join(once, "h").select("h", k.alias("k"), lang.alias("lang"), phrase.alias("phrase"), "f")
+        parts.append(settle(own, "phrases"))
+        told.destroy()
+        left = frequent.join(functools.reduce(DataFrame.unionByName, parts).select("h"), "h", "left_anti")
+        still = _places(left, slots)
+        if not len(still):
+            break
+        table = np.where(table == NEVER, table, np.uint8(TOLD))
+        table[still] = OPEN
+    return functools.reduce(DataFrame.unionByName, parts).select("k", "lang", "phrase", "f")
+
+
+def _portions(rows: DataFrame) -> Iterator[DataFrame]:
+    """All rows, in portions by shard; a share of the first shard comes first."""
+    for shard in sorted(r["shard"] for r in rows.select("shard").distinct().collect()) or [0]:
+        own = rows.where(F.col("shard") == shard)
+        if shard:
+            yield own
+        else:
+            first = F.pmod(F.xxhash64("text"), F.lit(FIRST_PORTION)) == 0
+            yield own.where(first)
+            yield own.where(~first)
+
+
+def _names_of(told, longest: int):
+    return lambda: Names(told.value, longest)
 
 
 def _scan_of(number: int, told, longest: int, shards: int):

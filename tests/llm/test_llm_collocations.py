@@ -7,8 +7,11 @@ from conftest import SF_DIR
 from llm_cases import ROWS, docs
 
 import __spark_entry__ as driver
+from inkscore.llm import collocations
 from inkscore.llm.collocations import (
     NEVER,
+    OPEN,
+    Names,
     Scan,
     count_phrases,
     dealt_texts,
@@ -116,6 +119,34 @@ def test_inactive_phrases_are_not_counted(spark):
     assert sum(batch.num_rows for batch in scan.of(rows)) == 3 + 5 + 1
 
 
+def test_a_phrase_is_told_by_the_first_portion_that_has_it(spark, monkeypatch):
+    """Names that a portion of the texts has told are not read from the others again."""
+    rows = prose(random.Random(8), 400, 60) + [(1000 + i, "", "en") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = dealt_texts(table, 3)
+    frequent = count_phrases(texts, 3, 4)
+    plain = slow_counts([(lang, text) for _, text, lang in rows], 3)
+    wanted = sorted((len(p), lang, " ".join(p), n) for (lang, p), n in plain.items() if n >= 4)
+    for slots in (1 << 24, 200):
+        settled, settle = [], collocations.settle
+
+        def counted(df, name):
+            made = settle(df, name)
+            settled.append(made.count())
+            return made
+
+        with monkeypatch.context() as patch:
+            patch.setattr(collocations, "settle", counted)
+            named = [tuple(r) for r in name_phrases(texts, frequent, 3, slots).collect()]
+        assert sorted(r for r in named if r[0]) == wanted
+        assert sum(settled) == len(named) == frequent.count() and len(settled) > 1
+    # What is told and what is open, and what shares its places, in one table.
+    one = Names(np.full(64, OPEN, np.uint8), 2)
+    assert sum(b.num_rows for b in one.of([(b"en", b"a b a b")])) == 1 + 2 + 2
+    assert sum(b.num_rows for b in one.of([(b"en", b"a b c")])) == 1 + 1
+    assert sum(b.num_rows for b in Names(np.zeros(64, np.uint8), 2).of([(b"en", b"a b")])) == 0
+
+
 def test_a_mark_stays_once_it_is_seen():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 500).astype(np.uint64)
