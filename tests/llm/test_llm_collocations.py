@@ -147,6 +147,60 @@ def test_a_phrase_is_told_by_the_first_portion_that_has_it(spark, monkeypatch):
     assert sum(b.num_rows for b in Names(np.zeros(64, np.uint8), 2).of([(b"en", b"a b")])) == 0
 
 
+def test_scans_read_numbers_and_send_arrays(spark, monkeypatch):
+    """Texts are cut into words once; counts move as a row for each bucket, not for each phrase."""
+    rows = prose(random.Random(5), 300, 80)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    texts = dealt_texts(table, 3)
+    assert "text" not in texts.columns
+    # A shard and a language have one block here, in which each word stands once.
+    found = Counter()
+    blocks = texts.collect()
+    assert len({(r["shard"], r["lang"]) for r in blocks}) == len(blocks) == 9
+    for r in blocks:
+        words = ["", *r["words"].decode().split("\n")[:-1]]
+        assert len(set(words)) == len(words) == len(r["hashes"]) // 8
+        for n in np.frombuffer(bytes(r["numbers"]), f"<u{len(r['numbers']) // r['size']}").tolist():
+            found[r["lang"], words[n]] += n > 0
+    plain = slow_counts([(lang, text) for _, text, lang in rows], 1)
+    assert +found == {(lang, word): n for (lang, (word,)), n in plain.items()}
+    settled, settle = Counter(), collocations.settle
+
+    def counted(df, name):
+        made = settle(df, name)
+        settled[name] += made.count()
+        return made
+
+    monkeypatch.setattr(collocations, "WORDS_A_BUCKET", 1 << 10)
+    monkeypatch.setattr(collocations, "settle", counted)
+    frequent = count_phrases(texts, 3, 4)
+    # 9 scans at most, of so few words that 4 or 8 buckets do.
+    assert 2 < settled["scan"] <= 9 * 8 < frequent.count()
+    wanted = Counter(n for n in slow_counts([(lang, text) for _, text, lang in rows], 3).values() if n >= 4)
+    assert Counter(r["f"] for r in frequent.collect()) == wanted + Counter(
+        sum(n for (own, _), n in plain.items() if own == lang) for lang in ("en", "de", "und")
+    )
+
+
+def test_blocks_are_bounded(monkeypatch):
+    """A block ends where it is full, and where the task holds too much; no word is lost."""
+    rows = [(i % 3, b"en" if i % 2 else b"de", f"A word{i}, and more. of it".encode()) for i in range(200)]
+    wanted = Counter(w for i in range(200) for w in ("a", f"word{i}", "and", "more", "of", "it"))
+    for once, held in ((20, 10_000), (10_000, 50), (10_000, 10_000)):
+        monkeypatch.setattr(collocations, "WORDS_AT_ONCE", once)
+        monkeypatch.setattr(collocations, "WORDS_HELD", held)
+        blocks = list(collocations.blocks_of(rows))
+        assert len(blocks) == 6 if once == held else len(blocks) > 12
+        found = Counter()
+        for _, block in blocks:
+            words = block.words.decode().split("\n")
+            found.update(words[n - 1] for n in block.numbers.tolist() if n)
+            # Three pieces a text.
+            assert 2 * np.count_nonzero(block.numbers == 0) == np.count_nonzero(block.numbers)
+        assert found == wanted
+    assert list(collocations.blocks_of([(0, b"en", b" \t\n.,"), (1, b"en", b"")])) == []
+
+
 def test_a_mark_stays_once_it_is_seen():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 500).astype(np.uint64)
