@@ -146,6 +146,26 @@ def _widen(data: pa.Buffer, size: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // size}") if size else np.zeros(0, np.uint8)
 
 
+def _steps(hashes: np.ndarray) -> bytes:
+    """Hashes in order: the bytes of a step, the first hash, and the steps from one to the next."""
+    if not len(hashes):
+        return b""
+    steps = np.diff(hashes)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    cut = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + hashes[:1].astype("<u8").tobytes() + cut.tobytes()
+
+
+def _hashes(data: pa.Buffer | bytes) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    own = np.frombuffer(data, np.uint8)
+    cut = own[9:].reshape(-1, int(own[0]))
+    steps = np.zeros((len(cut) + 1, 8), np.uint8)
+    steps[0], steps[1:, : cut.shape[1]] = own[1:9], cut
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
 def _buffers(batch: pa.RecordBatch | pa.Table, name: str) -> list[pa.Buffer]:
     return [value.as_buffer() for value in batch.column(name)]
 
@@ -344,7 +364,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
 
 def _counts(bucket: pa.RecordBatch | pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Hashes and counts, row by row."""
-    hashes = [np.frombuffer(h, "<u8") for h in _buffers(bucket, "h")]
+    hashes = [_hashes(h) for h in _buffers(bucket, "h")]
     return hashes, [_widen(n, len(h)).astype(np.int64) for n, h in zip(_buffers(bucket, "n"), hashes)]
 
 
@@ -363,7 +383,7 @@ def _dealt(hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(
         [
             pa.array([part for part, _ in parts], pa.int32()),
-            pa.array([hashes[own].astype("<u8").tobytes() for _, own in parts], pa.binary()),
+            pa.array([_steps(hashes[own]) for _, own in parts], pa.binary()),
             pa.array([_narrow(counts[own]) for _, own in parts], pa.binary()),
         ],
         names=["bucket", "h", "n"],
@@ -401,9 +421,9 @@ def _summed(counts: DataFrame, reach: int) -> DataFrame:
         return pa.table(
             {
                 "bucket": bucket.column("bucket")[:1],
-                "h": pa.array([hashes.tobytes()], pa.binary()),
+                "h": pa.array([_steps(hashes)], pa.binary()),
                 "n": pa.array([_narrow(sums)], pa.binary()),
-                "reached": pa.array([hashes[sums >= reach].tobytes()], pa.binary()),
+                "reached": pa.array([_steps(hashes[sums >= reach])], pa.binary()),
             }
         )
 
@@ -419,7 +439,7 @@ def _places(hashes: DataFrame, slots: int) -> np.ndarray:
         for batch in batches:
             column = batch.column(0)
             if pa.types.is_binary(column.type):
-                arrays = [np.frombuffer(value.as_buffer(), "<u8") for value in column]
+                arrays = [_hashes(value.as_buffer()) for value in column]
             else:
                 arrays = [column.to_numpy().view(np.uint64)]
             places = np.unique(places_of(np.concatenate([np.zeros(0, np.uint64), *arrays]), slots)).astype("<i4")
@@ -448,7 +468,7 @@ def _marked(counts: DataFrame, marks) -> DataFrame:
             rows = []
             for hashes, own in zip(*_counts(batch)):
                 kept = marks_of(hashes, marks.value) != NEVER
-                rows.append((hashes[kept].tobytes(), _narrow(own[kept])))
+                rows.append((_steps(hashes[kept]), _narrow(own[kept])))
             columns = [pa.array(c, pa.binary()) for c in zip(*rows)]
             if columns:
                 yield pa.RecordBatch.from_arrays([batch.column("bucket"), *columns], names=["bucket", "h", "n"])

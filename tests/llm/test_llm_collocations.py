@@ -201,6 +201,17 @@ def test_blocks_are_bounded(monkeypatch):
     assert list(collocations.blocks_of([(0, b"en", b" \t\n.,"), (1, b"en", b"")])) == []
 
 
+def test_sorted_hashes_are_kept_as_steps():
+    rng = np.random.default_rng(3)
+    for size, low in ((0, 0), (1, 0), (1, 2**64 - 1), (2, 0), (1000, 0), (50_000, 2**63)):
+        hashes = np.unique(rng.integers(low, 2**64 - 1, size, np.uint64, endpoint=True))
+        data = collocations._steps(hashes)
+        assert (collocations._hashes(data) == hashes).all() and len(collocations._hashes(data)) == len(hashes)
+    assert len(data) < 8 * size
+    few = np.array([5, 6, 2**64 - 1], np.uint64)
+    assert collocations._hashes(collocations._steps(few)).tolist() == few.tolist()
+
+
 def test_a_mark_stays_once_it_is_seen():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 500).astype(np.uint64)
